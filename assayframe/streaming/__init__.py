@@ -1,0 +1 @@
+"""Intentionally empty: every operator in scope works on batch tables."""
