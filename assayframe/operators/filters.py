@@ -64,9 +64,7 @@ def fold_eligibility(manifest: DataFrame, min_test: int = MIN_TEST, min_train: i
     reason = F.concat_ws(
         ",", F.when(small_test, F.lit("test too small")), F.when(small_train, F.lit("train too small"))
     )
-    return manifest.select("*", ~(small_test | small_train) & F.lit(True), reason).toDF(
-        *manifest.columns, "eligible", "reason"
-    )
+    return manifest.select("*", (~(small_test | small_train)).alias("eligible"), reason.alias("reason"))
 
 
 def select_folds(
