@@ -98,7 +98,7 @@ def literature_block(
     cols = [(fold(lambda e, p=p: F.abs(e[p] - avg(p))) / total).alias(f"avg_dev_{p}") for p in avg_dev]
     cols += [F.sqrt(fold(lambda e, p=p: (e[p] - avg(p)) * (e[p] - avg(p))) / total).alias(f"std_dev_{p}") for p in std_dev]
     cols += [avg(p).alias(f"mean_{p}") for p in mean]
-    cols += [F.array_max(F.transform("_li_bag", lambda e, p=p: e[p])).alias(f"maximum_{p}") for p in maximum]
+    cols += [F.array_max(F.col("_li_bag")[p]).alias(f"maximum_{p}") for p in maximum]
     cols += [ratio(fold(lambda e, a=a: e[a]), fold(lambda e, b=b: e[b])).alias(n) for n, (a, b) in shares.items()]
     cols += [fold(lambda e, p=p: e[p].cast("double")).alias(n) for n, p in totals.items()]
     names = (

@@ -78,7 +78,7 @@ def properties(spark: SparkSession, sf: str) -> DataFrame:
         gap(F.col("lo") / 2, "Brand#3").alias("valence"),
         gap(F.col("price") / 1000, "Brand#5").alias("chi"),
         gap(F.col("hi").cast("double"), "Brand#9").alias("ie"),
-        gap(F.col("cheap") / 100, "Brand#12").alias("ea"),
+        gap(F.floor("cheap").cast("double"), "Brand#12").alias("ea"),
         gap(F.col("price") / 10, "Brand#7").alias("polarizability"),
         suffix(b).cast("double").alias("z"),
         (suffix(b) >= 20).cast("int").cast("double").alias("f_flag"),
@@ -151,7 +151,7 @@ props AS (SELECT element,
   CASE WHEN element NOT IN ('Brand#3') THEN lo/2.0::DOUBLE END AS valence,
   CASE WHEN element NOT IN ('Brand#5') THEN price/1000 END AS chi,
   CASE WHEN element NOT IN ('Brand#9') THEN hi::DOUBLE END AS ie,
-  CASE WHEN element NOT IN ('Brand#12') THEN cheap/100 END AS ea,
+  CASE WHEN element NOT IN ('Brand#12') THEN floor(cheap) END AS ea,
   CASE WHEN element NOT IN ('Brand#7') THEN price/10 END AS polarizability,
   CAST(regexp_extract(element,'[0-9]+') AS DOUBLE) AS z,
   CASE WHEN CAST(regexp_extract(element,'[0-9]+') AS INTEGER)>=20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_flag,
