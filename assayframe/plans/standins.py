@@ -63,7 +63,8 @@ def formulas(spark: SparkSession, sf: str, row: str = "l_orderkey", bracket: boo
 
 
 def properties(spark: SparkSession, sf: str) -> DataFrame:
-    """Property table of the brands with gaps. It has one row per brand."""
+    """Property table of the brands with gaps. It has one row per brand. Values are whole
+    or halves, so weighted sums are exact in any order."""
     b = F.col("p_brand")
     gap = lambda c, *names: F.when(~b.isin(*names), c)
     g = table(spark, sf, "part").groupBy("p_brand").agg(
@@ -74,12 +75,12 @@ def properties(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(
         b.alias("element"),
         gap(F.col("lo").cast("double"), "Brand#3", "Brand#11").alias("size"),
-        gap(F.col("price"), "Brand#5", "Brand#20").alias("price"),
+        gap(F.floor("price").cast("double"), "Brand#5", "Brand#20").alias("price"),
         gap(F.col("lo") / 2, "Brand#3").alias("valence"),
-        gap(F.col("price") / 1000, "Brand#5").alias("chi"),
+        gap(F.floor(F.col("price") % 100).cast("double"), "Brand#5").alias("chi"),
         gap(F.col("hi").cast("double"), "Brand#9").alias("ie"),
         gap(F.floor("cheap").cast("double"), "Brand#12").alias("ea"),
-        gap(F.col("price") / 10, "Brand#7").alias("polarizability"),
+        gap(F.floor(F.col("price") % 10).cast("double"), "Brand#7").alias("polarizability"),
         suffix(b).cast("double").alias("z"),
         (suffix(b) >= 20).cast("int").cast("double").alias("f_flag"),
         "states",
@@ -147,12 +148,12 @@ PROPS = """g0 AS (SELECT p_brand AS element, min(p_size) AS lo, max(p_size) AS h
   list(DISTINCT p_size-2) FILTER (WHERE p_size<=4) AS states FROM part GROUP BY 1),
 props AS (SELECT element,
   CASE WHEN element NOT IN ('Brand#3','Brand#11') THEN lo::DOUBLE END AS size,
-  CASE WHEN element NOT IN ('Brand#5','Brand#20') THEN price END AS price,
+  CASE WHEN element NOT IN ('Brand#5','Brand#20') THEN floor(price) END AS price,
   CASE WHEN element NOT IN ('Brand#3') THEN lo/2.0::DOUBLE END AS valence,
-  CASE WHEN element NOT IN ('Brand#5') THEN price/1000 END AS chi,
+  CASE WHEN element NOT IN ('Brand#5') THEN floor(price % 100) END AS chi,
   CASE WHEN element NOT IN ('Brand#9') THEN hi::DOUBLE END AS ie,
   CASE WHEN element NOT IN ('Brand#12') THEN floor(cheap) END AS ea,
-  CASE WHEN element NOT IN ('Brand#7') THEN price/10 END AS polarizability,
+  CASE WHEN element NOT IN ('Brand#7') THEN floor(price % 10) END AS polarizability,
   CAST(regexp_extract(element,'[0-9]+') AS DOUBLE) AS z,
   CASE WHEN CAST(regexp_extract(element,'[0-9]+') AS INTEGER)>=20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_flag,
   states FROM g0)"""
