@@ -111,33 +111,41 @@ class _Grid:
         self.cell = max(threshold, 1e-6) * (1 + 1e-9) + 1e-9
         self.width, self.threshold = width, threshold
 
-    def sums(self, coords: Column) -> list[Column]:
+    def sums(self, coords: Column) -> Column:
         add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        return [add(F.slice(coords, start, size)) for start, size in self.spans]
+        return F.array(*[add(F.slice(coords, start, size)) for start, size in self.spans])
 
-    def index(self, coords: Column) -> Column:
-        return F.array(*[F.floor(s / self.cell) for s in self.sums(coords)])
+    def _index(self, sums: Column) -> list[Column]:
+        return [F.floor(F.get(sums, F.lit(i)) / self.cell) for i in range(len(self.spans))]
 
-    def key(self, grp: Column, idx: Column) -> Column:
+    def key(self, grp: Column, sums: Column) -> Column:
         """64-bit cell key; a collision only adds candidates, which are checked in full."""
-        return F.xxhash64(grp, *[F.get(idx, F.lit(i)) for i in range(len(self.spans))])
+        return F.xxhash64(grp, *self._index(sums))
 
-    def around(self, grp: Column, idx: Column) -> Column:
+    def around(self, grp: Column, sums: Column) -> Column:
         """Keys of the cell and its neighbours."""
         shifts = [[]]
         for _ in self.spans:
             shifts = [s + [d] for s in shifts for d in (-1, 0, 1)]
-        keys = [F.xxhash64(grp, *[F.get(idx, F.lit(i)) + d for i, d in enumerate(s)]) for s in shifts]
-        return F.array_distinct(F.array(*keys))
+        idx = self._index(sums)
+        return F.array_distinct(F.array(*[F.xxhash64(grp, *[c + d for c, d in zip(idx, s)]) for s in shifts]))
+
+    def within(self) -> Column:
+        """Is the pair (coords, n_coords) within the threshold? The block sums, a few
+        additions, turn most candidates away before the full distance is taken."""
+        low = F.lit(0.0)
+        for i in range(len(self.spans)):
+            low = low + F.abs(F.get(F.col("sums"), F.lit(i)) - F.get(F.col("n_sums"), F.lit(i)))
+        full = distance(F.col("coords"), F.col("n_coords"), self.width) <= self.threshold
+        return (F.col("grp") == F.col("n_grp")) & (low <= self.cell) & full
 
     @property
     def fan(self) -> int:
         return 3 ** len(self.spans)
 
 
-def _hot_cells(points: DataFrame, n: int) -> DataFrame:
-    """Cells with over half a percent of the points (at most 200) and how many salts each gets."""
-    cap = max(20_000, n // 200)
+def _hot_cells(points: DataFrame, cap: int) -> DataFrame:
+    """Cells above ``cap`` points and the number of salts each gets."""
     return settle(
         points.groupBy("ck").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
         .select("ck", F.ceil(F.col("_n") / cap).cast("int").alias("_salts")),
@@ -145,26 +153,32 @@ def _hot_cells(points: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _salted(points: DataFrame, hot: DataFrame) -> DataFrame:
-    """The side that is divided: each point of a hot cell gets one of its salts."""
-    return points.join(hot, "ck", "left").withColumn(
-        "salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rank"), F.coalesce("_salts", F.lit(1)))).cast("int")
-    ).drop("_salts")
+def _salted(points: DataFrame, hot: DataFrame | None, n: int) -> DataFrame:
+    """The side that is divided: each point of a hot cell gets one of its salts. It is
+    partitioned on the join keys by point count, because pair work is heavy per byte;
+    a shuffle join uses the same partitioning."""
+    if hot is None:
+        points = points.withColumn("salt", F.lit(0))
+    else:
+        salts = F.coalesce("_salts", F.lit(1))
+        points = points.join(hot, "ck", "left").withColumn("salt", F.pmod(F.xxhash64("rank"), salts).cast("int")).drop("_salts")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return points.repartition(max(parts, n // 50_000), "ck", "salt")
 
 
-def _fanned(points: DataFrame, grid: _Grid, hot: DataFrame) -> DataFrame:
+def _fanned(points: DataFrame, grid: _Grid, hot: DataFrame | None) -> DataFrame:
     """The side that is copied: one row per neighbouring cell and salt of that cell."""
     near = points.select(
         F.col("grp").alias("n_grp"), F.col("rank").alias("n_rank"), F.col("coords").alias("n_coords"),
-        F.explode(grid.around(F.col("grp"), grid.index(F.col("coords")))).alias("ck"),
-    )
-    return near.join(hot, "ck", "left").select(
-        "n_grp", "n_rank", "n_coords", "ck",
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).alias("salt"),
+        F.col("sums").alias("n_sums"), F.explode(grid.around(F.col("grp"), F.col("sums"))).alias("ck"),
     )
+    if hot is None:
+        return near.withColumn("salt", F.lit(0))
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    return near.join(hot, "ck", "left").select("n_grp", "n_rank", "n_coords", "n_sums", "ck", F.explode(salts).alias("salt"))
 
 
-def _independent(edges: DataFrame) -> DataFrame:
+def _independent(edges: DataFrame) -> DataFrame | None:
     """Vertices dropped by the greedy rule on an edge table (grp, lo, hi), lo first.
 
     A vertex without an undecided predecessor is kept and its successors dropped;
@@ -172,11 +186,11 @@ def _independent(edges: DataFrame) -> DataFrame:
     written out, so the plan stays short and a lost executor costs one round.
     """
     dropped = []
-    lo, hi = F.col("lo").alias("v"), F.col("hi").alias("v")
     while not edges.isEmpty():
-        roots = edges.select("grp", lo).distinct().join(edges.select("grp", hi).distinct(), ["grp", "v"], "left_anti")
-        hit = edges.withColumnRenamed("lo", "v").join(roots, ["grp", "v"], "left_semi").select("grp", hi).distinct()
-        hit = settle(hit, "dropped")
+        ends = F.array(F.struct(F.col("lo").alias("v"), F.lit(0).alias("late")), F.struct(F.col("hi").alias("v"), F.lit(1).alias("late")))
+        roots = edges.select("grp", F.inline(ends)).groupBy("grp", "v").agg(F.max("late").alias("late")).where("late = 0")
+        hit = edges.join(roots.select("grp", F.col("v").alias("lo")), ["grp", "lo"], "left_semi")
+        hit = settle(hit.select("grp", F.col("hi").alias("v")).distinct(), "dropped")
         dropped.append(hit)
         for end in ("lo", "hi"):
             edges = edges.join(hit.withColumnRenamed("v", end), ["grp", end], "left_anti")
@@ -233,20 +247,21 @@ def greedy_keep(
         items = items.where(~is_seed & (distance(F.col("coords"), here, width) > threshold))
 
     # Same point, same fate: the first keeps or loses the place for all copies.
-    open_ = items.groupBy("grp", "coords").agg(F.min("rank").alias("rank"))
-    open_ = open_.withColumn("ck", grid.key(F.col("grp"), grid.index(F.col("coords"))))
-    open_ = settle(open_, "open")
-    within = (F.col("grp") == F.col("n_grp")) & (distance(F.col("coords"), F.col("n_coords"), width) <= threshold)
+    open_ = items.groupBy("grp", "coords").agg(F.min("rank").alias("rank")).withColumn("sums", grid.sums(F.col("coords")))
+    open_ = settle(open_.withColumn("ck", grid.key(F.col("grp"), F.col("sums"))), "open")
+    within = grid.within()
+    high = pts.agg(F.max("rank")).first()[0] or 0
 
     parts = [] if kept is None else [kept]
-    while True:
-        n, low, high = open_.agg(F.count(F.lit(1)), F.min("rank"), F.max("rank")).first()
+    cut = 1
+    while cut <= high:
+        n, fullest, cut = _prefix(open_, grid, cut, high, pair_budget)
         if n == 0:
             break
-        cut = _prefix(open_, grid, low, high, pair_budget or max(4_000_000, 32 * n))
+        cap = max(20_000, n // 200)
+        hot = _hot_cells(open_, cap) if fullest > cap else None
         head = open_.where(F.col("rank") < cut)
-        hot = _hot_cells(open_, n)
-        pairs = _fanned(head, grid, hot).join(_salted(head, hot), ["ck", "salt"])
+        pairs = _fanned(head, grid, hot).join(_salted(head, hot, n), ["ck", "salt"])
         edges = pairs.where((F.col("n_rank") < F.col("rank")) & within).select(
             "grp", F.col("n_rank").alias("lo"), F.col("rank").alias("hi")
         )
@@ -256,7 +271,7 @@ def greedy_keep(
         parts.append(chosen.select("grp", "rank"))
         if cut > high:
             break
-        rest = _salted(open_.where(F.col("rank") >= cut), hot)
+        rest = _salted(open_.where(F.col("rank") >= cut), hot, n)
         near = _fanned(chosen, grid, hot)
         on = (rest["ck"] == near["ck"]) & (rest["salt"] == near["salt"]) & within
         open_ = settle(rest.join(near, on, "left_anti").drop("salt"), "open")
@@ -268,18 +283,26 @@ def greedy_keep(
     return out.select("row_id") if members is None else out
 
 
-def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int, halvings: int = 24) -> int:
-    """Largest rank bound, among halvings of the rank range, whose candidate pairs fit
-    the budget. A cell of n points and its neighbours make at most fan * sum(n^2) pairs."""
-    span = high - low + 1
+def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | None, halvings: int = 24) -> tuple[int, int, int]:
+    """(points left, points in the fullest cell, rank bound): the largest bound, among
+    halvings of the rank range, whose candidate pairs fit the budget. Cells of n points
+    and their neighbours make at most fan * sum(n^2) pairs."""
     bounds = []
     for k in range(halvings + 1):
-        b = low + max(1, span >> k)
+        b = low + max(1, (high - low + 1) >> k)
         if not bounds or b != bounds[-1]:
             bounds.append(b)
-    cells = open_.groupBy("ck").agg(*[F.count_if(F.col("rank") < b).alias(f"_{i}") for i, b in enumerate(bounds)])
-    load = cells.agg(*[F.sum(F.col(f"_{i}").cast("double") * F.col(f"_{i}")).alias(f"_{i}") for i in range(len(bounds))]).first()
-    for i, b in enumerate(bounds):
-        if load[i] * grid.fan <= budget:
-            return b
-    return bounds[-1]
+    names = [f"_{i}" for i in range(len(bounds))]
+    cells = open_.groupBy("ck").agg(
+        F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col("rank") < b).alias(c) for c, b in zip(names, bounds)]
+    )
+    load = cells.agg(
+        F.sum("_all").alias("n"), F.max("_all").alias("fullest"),
+        *[F.sum(F.col(c).cast("double") * F.col(c)).alias(c) for c in names],
+    ).first()
+    n = load["n"] or 0
+    if n == 0:
+        return 0, 0, bounds[0]
+    budget = budget or max(64_000_000, 1000 * n)
+    fits = [b for c, b in zip(names, bounds) if load[c] * grid.fan <= budget]
+    return n, load["fullest"], (fits or bounds[-1:])[0]
