@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ DEFAULT_THRESHOLD = 5.0  # curation
 ARM_THRESHOLD = 0.5  # training arms
 _DIGITS = 1e9  # distances are compared at nine decimals
 _UNROLL = 48
+_SMALL_BYTES = 64 << 20  # points up to this size are broadcast
+_HOT_MIN = 20_000  # cells up to this many points are never salted
 
 
 def one_per_key(df: DataFrame, key: str, prefer_min: str | None, row_id: str) -> DataFrame:
@@ -162,8 +165,23 @@ def _salted(points: DataFrame, hot: DataFrame | None, n: int) -> DataFrame:
     else:
         salts = F.coalesce("_salts", F.lit(1))
         points = points.join(hot, "ck", "left").withColumn("salt", F.pmod(F.xxhash64("rank"), salts).cast("int")).drop("_salts")
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return points.repartition(max(parts, n // 50_000), "ck", "salt")
+    return points.repartition(_spread(points, n), "ck", "salt")
+
+
+def _spread(points: DataFrame, n: int) -> int:
+    """Partitions for n points of pair work."""
+    return max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
+
+
+def _candidates(head: DataFrame, grid: _Grid, hot: DataFrame | None, n: int) -> DataFrame:
+    """Pairs of ``head`` in the same or adjacent cells. While the points are counted to be
+    small they are broadcast and met by their copies, which each task makes for its own
+    share of points; otherwise both sides are shuffled on the cell."""
+    spread = head.repartition(_spread(head, n), "rank")
+    if n * (grid.width + 12) * 8 <= _SMALL_BYTES:
+        return _fanned(spread, grid, None).join(F.broadcast(head.withColumn("salt", F.lit(0))), ["ck", "salt"])
+    fanned = _fanned(spread, grid, hot)
+    return fanned.join(_salted(head, hot, n), ["ck", "salt"])
 
 
 def _fanned(points: DataFrame, grid: _Grid, hot: DataFrame | None) -> DataFrame:
@@ -178,15 +196,32 @@ def _fanned(points: DataFrame, grid: _Grid, hot: DataFrame | None) -> DataFrame:
     return near.join(hot, "ck", "left").select("n_grp", "n_rank", "n_coords", "n_sums", "ck", F.explode(salts).alias("salt"))
 
 
-def _independent(edges: DataFrame) -> DataFrame | None:
+def _scan_edges(edges: pd.DataFrame) -> pd.DataFrame:
+    """The greedy rule on a short edge list of one group, vertices in order."""
+    gone: set[int] = set()
+    for hi, los in edges.sort_values(["hi", "lo"]).groupby("hi")["lo"]:
+        if not gone.issuperset(los):
+            gone.add(hi)
+    return pd.DataFrame({"grp": edges["grp"].iloc[0], "v": sorted(gone)})
+
+
+def _independent(edges: DataFrame, few_edges: int) -> DataFrame | None:
     """Vertices dropped by the greedy rule on an edge table (grp, lo, hi), lo first.
 
     A vertex without an undecided predecessor is kept and its successors dropped;
     repeated on what is left, this is the sequential greedy choice. Each round is
-    written out, so the plan stays short and a lost executor costs one round.
+    written out, so the plan stays short and a lost executor costs one round. Once
+    the counted remainder is at most ``few_edges`` in all groups together, each group
+    is finished in one scan instead of many rounds over next to nothing.
     """
     dropped = []
-    while not edges.isEmpty():
+    while True:
+        left = edges.count()
+        if left == 0:
+            break
+        if left <= few_edges:
+            dropped.append(settle(edges.groupBy("grp").applyInPandas(_scan_edges, "grp string, v bigint"), "dropped"))
+            break
         ends = F.array(F.struct(F.col("lo").alias("v"), F.lit(0).alias("late")), F.struct(F.col("hi").alias("v"), F.lit(1).alias("late")))
         roots = edges.select("grp", F.inline(ends)).groupBy("grp", "v").agg(F.max("late").alias("late")).where("late = 0")
         hit = edges.join(roots.select("grp", F.col("v").alias("lo")), ["grp", "lo"], "left_semi")
@@ -210,6 +245,7 @@ def greedy_keep(
     drop_first: bool = False,
     blocks: int = 3,
     pair_budget: int | None = None,
+    few_edges: int = 100_000,
 ) -> DataFrame:
     """Greedy redundancy removal: in order of (num_atoms, row_id) keep an item iff its
     distance to every item kept before it exceeds ``threshold``.
@@ -258,14 +294,13 @@ def greedy_keep(
         n, fullest, cut = _prefix(open_, grid, cut, high, pair_budget)
         if n == 0:
             break
-        cap = max(20_000, n // 200)
+        cap = max(_HOT_MIN, n // 200)
         hot = _hot_cells(open_, cap) if fullest > cap else None
         head = open_.where(F.col("rank") < cut)
-        pairs = _fanned(head, grid, hot).join(_salted(head, hot, n), ["ck", "salt"])
-        edges = pairs.where((F.col("n_rank") < F.col("rank")) & within).select(
+        edges = _candidates(head, grid, hot, n).where((F.col("n_rank") < F.col("rank")) & within).select(
             "grp", F.col("n_rank").alias("lo"), F.col("rank").alias("hi")
         )
-        dropped = _independent(settle(edges, "edges"))
+        dropped = _independent(settle(edges, "edges"), few_edges)
         chosen = head if dropped is None else head.join(dropped.withColumnRenamed("v", "rank"), ["grp", "rank"], "left_anti")
         chosen = settle(chosen, "kept")
         parts.append(chosen.select("grp", "rank"))
@@ -283,13 +318,13 @@ def greedy_keep(
     return out.select("row_id") if members is None else out
 
 
-def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | None, halvings: int = 24) -> tuple[int, int, int]:
+def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | None, steps: int = 12) -> tuple[int, int, int]:
     """(points left, points in the fullest cell, rank bound): the largest bound, among
-    halvings of the rank range, whose candidate pairs fit the budget. Cells of n points
+    quarterings of the rank range, whose candidate pairs fit the budget. Cells of n points
     and their neighbours make at most fan * sum(n^2) pairs."""
     bounds = []
-    for k in range(halvings + 1):
-        b = low + max(1, (high - low + 1) >> k)
+    for k in range(steps + 1):
+        b = low + max(1, (high - low + 1) >> (2 * k))
         if not bounds or b != bounds[-1]:
             bounds.append(b)
     names = [f"_{i}" for i in range(len(bounds))]
