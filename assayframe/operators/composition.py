@@ -19,44 +19,68 @@ def _amount(text: Column) -> Column:
     return F.when(text == "", F.lit(1.0)).when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
-def parsed_formula(formula: Column) -> Column:
-    """array<struct<element, amount>> of a formula string, NULL when it does not parse.
+def _bound(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``, however often that mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Tokens are folded from the right with a stack of bracket multipliers, so groups
-    may nest to any depth. Square and curly brackets count as round ones. Elements
-    may repeat in the result; ``to_composition`` adds them up.
-    """
-    text = F.translate(F.regexp_replace(formula, r"\s", ""), "[]{}", "()()")
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
-    state = "struct<stack:array<double>,parts:array<struct<element:string,amount:double>>,ok:boolean>"
+
+def _element(tok: Column, times: Column | None = None) -> Column:
+    """struct<element, amount> of an element token; the amount is NULL when malformed."""
+    num = _amount(F.regexp_extract(tok, r"[0-9.]*$", 0))
+    return F.struct(F.regexp_extract(tok, r"^[A-Z][a-z]?", 0).alias("element"), (num if times is None else num * times).alias("amount"))
+
+
+_PARTS = "array<struct<element:string,amount:double>>"
+
+
+def _flat_parts(tokens: Column) -> Column:
+    """Elements of a formula without brackets."""
+    return _bound(F.transform(tokens, lambda t: _element(t)), lambda p: F.when(F.forall(p, lambda e: e["amount"].isNotNull()), p))
+
+
+def _nested_parts(tokens: Column) -> Column:
+    """Elements of a formula with brackets, nested to any depth: tokens are folded from
+    the right with a stack of bracket multipliers."""
     start = F.struct(
-        F.array(F.lit(1.0)).alias("stack"),
-        F.array().cast("array<struct<element:string,amount:double>>").alias("parts"),
-        F.lit(True).alias("ok"),
-    ).cast(state)
+        F.array(F.lit(1.0)).alias("stack"), F.array().cast(_PARTS).alias("parts"), F.lit(True).alias("ok")
+    )
 
     def step(acc: Column, tok: Column) -> Column:
         stack, parts, ok = acc["stack"], acc["parts"], acc["ok"]
-        top = F.element_at(stack, -1)
-        depth = F.size(stack)
-        closing = F.startswith(tok, F.lit(")"))
-        opening = tok == "("
-        name = F.regexp_extract(tok, r"^[A-Z][a-z]?", 0)
-        num = _amount(F.regexp_extract(tok, r"[0-9.]*$", 0))
-        new_stack = (
-            F.when(closing, F.concat(stack, F.array(top * F.coalesce(num, F.lit(1.0)))))
-            .when(opening & (depth > 1), F.slice(stack, F.lit(1), depth - 1))
-            .otherwise(stack)
+        top, depth = F.element_at(stack, -1), F.size(stack)
+        times = _amount(F.regexp_extract(tok, r"[0-9.]*$", 0))
+        close = F.struct(
+            F.concat(stack, F.array(top * F.coalesce(times, F.lit(1.0)))).alias("stack"), parts.alias("parts"),
+            (ok & times.isNotNull()).alias("ok"),
         )
-        part = F.struct(name.alias("element"), (top * num).alias("amount"))
-        new_parts = F.when(closing | opening, parts).otherwise(F.concat(parts, F.array(part)))
-        new_ok = ok & F.when(opening, depth > 1).otherwise(num.isNotNull())
-        return F.struct(new_stack.alias("stack"), new_parts.alias("parts"), new_ok.alias("ok")).cast(state)
+        open_ = F.struct(
+            F.when(depth > 1, F.slice(stack, F.lit(1), depth - 1)).otherwise(stack).alias("stack"), parts.alias("parts"),
+            (ok & (depth > 1)).alias("ok"),
+        )
+        plain = F.struct(
+            stack.alias("stack"), F.concat(parts, F.array(_element(tok, top))).alias("parts"), (ok & times.isNotNull()).alias("ok")
+        )
+        return F.when(F.startswith(tok, F.lit(")")), close).when(tok == "(", open_).otherwise(plain)
 
     end = F.aggregate(F.reverse(tokens), start, step)
-    whole = F.array_join(tokens, "") == text
-    good = whole & end["ok"] & (F.size(end["stack"]) == 1) & (F.size(end["parts"]) > 0)
-    return F.when(good, end["parts"])
+    return _bound(end, lambda s: F.when(s["ok"] & (F.size(s["stack"]) == 1), s["parts"]))
+
+
+def parsed_formula(formula: Column) -> Column:
+    """array<struct<element, amount>> of a formula string, NULL when it does not parse.
+
+    Square and curly brackets count as round ones. Elements may repeat in the result;
+    ``to_composition`` adds them up.
+    """
+    text = F.translate(F.regexp_replace(formula, r"\s", ""), "[]{}", "()()")
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
+
+    def parts(t: Column) -> Column:
+        found = F.when(t["text"].rlike(r"[()]"), _nested_parts(t["tokens"])).otherwise(_flat_parts(t["tokens"]))
+        return F.when(F.array_join(t["tokens"], "") == t["text"], found)
+
+    read = _bound(F.struct(text.alias("text"), tokens.alias("tokens")), parts)
+    return _bound(read, lambda p: F.when(F.size(p) > 0, p))
 
 
 def unparsed(df: DataFrame, formula: str) -> DataFrame:
@@ -72,13 +96,10 @@ def to_composition(df: DataFrame, row_id: str, formula: str, strict: bool = Fals
     """
     parts = parsed_formula(F.col(formula))
     if strict:
-        parts = F.when(
-            F.col(formula).isNotNull() & parts.isNull(),
-            F.raise_error(F.concat(F.lit("formula does not parse: "), F.col(formula))).cast(
-                "array<struct<element:string,amount:double>>"
-            ),
-        ).otherwise(parts)
-    flat = df.select(F.col(row_id).alias("row_id"), F.inline(parts))
+        failure = F.raise_error(F.concat(F.lit("formula does not parse: "), F.col(formula))).cast(_PARTS)
+        parts = F.when(F.col(formula).isNotNull(), F.coalesce(parts, failure))
+    # The outer form keeps the planner from adding filters that parse every formula again.
+    flat = df.select(F.col(row_id).alias("row_id"), F.inline_outer(parts)).where(F.col("element").isNotNull())
     return flat.groupBy("row_id", "element").agg(F.sum("amount").alias("amount"))
 
 
@@ -94,19 +115,20 @@ def _bags(comp: DataFrame) -> DataFrame:
 
 def gcd_of(amounts: Column) -> Column:
     """Greatest common divisor of an array of whole numbers (Euclid; 48 rounds cover 32-bit amounts)."""
-    pair = "struct<a:bigint,b:bigint>"
 
     def euclid(x: Column, y: Column) -> Column:
         done = F.aggregate(
             F.sequence(F.lit(1), F.lit(48)),
-            F.struct(x.alias("a"), y.alias("b")).cast(pair),
-            lambda s, _: F.when(s["b"] == 0, s).otherwise(
-                F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")).cast(pair)
-            ),
+            F.struct(x.alias("a"), y.alias("b")),
+            lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))),
         )
         return done["a"]
 
-    return F.aggregate(amounts, F.lit(0).cast("bigint"), lambda g, x: F.when(g == 1, g).otherwise(euclid(x, g)))
+    # Dividing by the smallest first leaves few rounds to most bags.
+    return F.aggregate(
+        F.array_sort(amounts), F.lit(0).cast("bigint"),
+        lambda g, x: F.when(g == 1, g).when(g == 0, x).when(F.try_mod(x, g) == 0, g).otherwise(euclid(x, g)),
+    )
 
 
 def reduced_key(comp: DataFrame) -> DataFrame:
@@ -115,19 +137,24 @@ def reduced_key(comp: DataFrame) -> DataFrame:
     A bag with a fractional amount cannot be reduced and keeps its amounts.
     """
     bags = _bags(comp)
-    amounts = F.transform("bag", lambda s: s["amount"])
-    whole = F.forall(amounts, lambda a: (a == F.floor(a)) & (a > 0) & (a < 2147483648))
-    g = F.when(whole, gcd_of(F.transform(amounts, lambda a: a.cast("bigint"))))
-    shown = F.transform(
-        "bag",
-        lambda s: F.concat(
-            s["element"],
-            F.lit(":"),
-            F.when(whole, (F.floor(s["amount"]) / g).cast("bigint").cast("string")).otherwise(
-                F.format_string("%.6f", s["amount"])
+
+    def scaled(t: Column) -> Column:
+        return F.transform(
+            t["bag"],
+            lambda e: F.concat(
+                e["element"], F.lit(":"),
+                F.when(t["whole"], (F.floor(e["amount"]) / t["g"]).cast("bigint").cast("string")).otherwise(
+                    F.format_string("%.6f", e["amount"])
+                ),
             ),
-        ),
-    )
+        )
+
+    def divided(t: Column) -> Column:
+        g = F.when(t["whole"], gcd_of(F.transform(t["bag"], lambda e: e["amount"].cast("bigint"))))
+        return _bound(F.struct(t["bag"].alias("bag"), t["whole"].alias("whole"), g.alias("g")), scaled)
+
+    whole = F.forall("bag", lambda e: (e["amount"] == F.floor(e["amount"])) & (e["amount"] > 0) & (e["amount"] < 2147483648))
+    shown = _bound(F.struct(F.col("bag"), whole.alias("whole")), divided)
     return bags.select("row_id", F.array_join(shown, " ").alias("key"))
 
 

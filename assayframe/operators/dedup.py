@@ -188,7 +188,7 @@ def _fanned(points: DataFrame, grid: _Grid, hot: DataFrame | None) -> DataFrame:
     """The side that is copied: one row per neighbouring cell and salt of that cell."""
     near = points.select(
         F.col("grp").alias("n_grp"), F.col("rank").alias("n_rank"), F.col("coords").alias("n_coords"),
-        F.col("sums").alias("n_sums"), F.explode(grid.around(F.col("grp"), F.col("sums"))).alias("ck"),
+        F.col("sums").alias("n_sums"), F.explode_outer(grid.around(F.col("grp"), F.col("sums"))).alias("ck"),
     )
     if hot is None:
         return near.withColumn("salt", F.lit(0))

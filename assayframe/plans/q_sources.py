@@ -227,7 +227,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("lang", "text")
-    found = docs.select("lang", F.explode(C.symbols_in(F.col("text"))).alias("e")).distinct()
+    found = docs.select("lang", F.explode_outer(C.symbols_in(F.col("text"))).alias("e")).where("e is not null").distinct()
     rows = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
     return rows.join(found.groupBy("lang").agg(F.count("e").alias("n_elements")), "lang", "left").na.fill(0, ["n_elements"])
 
