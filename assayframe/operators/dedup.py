@@ -22,7 +22,7 @@ _HOT_MIN = 20_000  # cells up to this many points are never salted
 def one_per_key(df: DataFrame, key: str, prefer_min: str | None, row_id: str) -> DataFrame:
     """One row per key: the lowest ``prefer_min`` (NULLs last, ties by row_id), or the
     lowest row_id without it. NULL keys are dropped. ``min_by`` combines map-side, so a
-    key holding most rows is reduced before the shuffle and nothing is sorted."""
+    key holding most rows is reduced to one row per task before the shuffle."""
     df = df.where(F.col(key).isNotNull())
     if prefer_min is not None and prefer_min in df.columns:
         order = F.struct(F.col(prefer_min).isNull(), F.col(prefer_min), F.col(row_id))
@@ -173,17 +173,6 @@ def _spread(points: DataFrame, n: int) -> int:
     return max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
 
 
-def _candidates(head: DataFrame, grid: _Grid, hot: DataFrame | None, n: int) -> DataFrame:
-    """Pairs of ``head`` in the same or adjacent cells. While the points are counted to be
-    small they are broadcast and met by their copies, which each task makes for its own
-    share of points; otherwise both sides are shuffled on the cell."""
-    spread = head.repartition(_spread(head, n), "rank")
-    if n * (grid.width + 12) * 8 <= _SMALL_BYTES:
-        return _fanned(spread, grid, None).join(F.broadcast(head.withColumn("salt", F.lit(0))), ["ck", "salt"])
-    fanned = _fanned(spread, grid, hot)
-    return fanned.join(_salted(head, hot, n), ["ck", "salt"])
-
-
 def _fanned(points: DataFrame, grid: _Grid, hot: DataFrame | None) -> DataFrame:
     """The side that is copied: one row per neighbouring cell and salt of that cell."""
     near = points.select(
@@ -196,17 +185,31 @@ def _fanned(points: DataFrame, grid: _Grid, hot: DataFrame | None) -> DataFrame:
     return near.join(hot, "ck", "left").select("n_grp", "n_rank", "n_coords", "n_sums", "ck", F.explode(salts).alias("salt"))
 
 
+def _near(fan: DataFrame, plain: DataFrame, grid: _Grid, hot: DataFrame | None, n: int) -> DataFrame:
+    """Pairs of a point of ``fan`` (n_ columns) and one of ``plain`` within the threshold.
+    While ``plain`` is counted to be small it is broadcast and met by the copies of
+    ``fan``, which each task makes for its own share of points; otherwise both sides
+    are shuffled on the cell."""
+    spread = fan.repartition(_spread(fan, n), "rank")
+    if n * (grid.width + 12) * 8 <= _SMALL_BYTES:
+        met = _fanned(spread, grid, None).join(F.broadcast(plain.withColumn("salt", F.lit(0))), ["ck", "salt"])
+    else:
+        met = _fanned(spread, grid, hot).join(_salted(plain, hot, n), ["ck", "salt"])
+    return met.where(grid.within())
+
+
 def _scan_edges(edges: pd.DataFrame) -> pd.DataFrame:
     """The greedy rule on a short edge list of one group, vertices in order."""
     gone: set[int] = set()
-    for hi, los in edges.sort_values(["hi", "lo"]).groupby("hi")["lo"]:
-        if not gone.issuperset(los):
+    ordered = edges.sort_values("hi")
+    for hi, lo in zip(ordered["hi"].tolist(), ordered["lo"].tolist()):
+        if lo not in gone:  # every edge into lo has been seen, as lo < hi
             gone.add(hi)
     return pd.DataFrame({"grp": edges["grp"].iloc[0], "v": sorted(gone)})
 
 
-def _independent(edges: DataFrame, few_edges: int) -> DataFrame | None:
-    """Vertices dropped by the greedy rule on an edge table (grp, lo, hi), lo first.
+def _independent(edges: DataFrame, left: int, few_edges: int) -> DataFrame | None:
+    """Vertices dropped by the greedy rule on an edge table (grp, lo, hi) of ``left`` rows, lo first.
 
     A vertex without an undecided predecessor is kept and its successors dropped;
     repeated on what is left, this is the sequential greedy choice. Each round is
@@ -215,10 +218,7 @@ def _independent(edges: DataFrame, few_edges: int) -> DataFrame | None:
     is finished in one scan instead of many rounds over next to nothing.
     """
     dropped = []
-    while True:
-        left = edges.count()
-        if left == 0:
-            break
+    while left:
         if left <= few_edges:
             dropped.append(settle(edges.groupBy("grp").applyInPandas(_scan_edges, "grp string, v bigint"), "dropped"))
             break
@@ -230,6 +230,7 @@ def _independent(edges: DataFrame, few_edges: int) -> DataFrame | None:
         for end in ("lo", "hi"):
             edges = edges.join(hit.withColumnRenamed("v", end), ["grp", end], "left_anti")
         edges = settle(edges, "edges")
+        left = edges.count()
     out = None
     for d in dropped:
         out = d if out is None else out.unionByName(d)
@@ -285,31 +286,31 @@ def greedy_keep(
     # Same point, same fate: the first keeps or loses the place for all copies.
     open_ = items.groupBy("grp", "coords").agg(F.min("rank").alias("rank")).withColumn("sums", grid.sums(F.col("coords")))
     open_ = settle(open_.withColumn("ck", grid.key(F.col("grp"), F.col("sums"))), "open")
-    within = grid.within()
     high = pts.agg(F.max("rank")).first()[0] or 0
 
     parts = [] if kept is None else [kept]
-    cut = 1
+    cut, patience = 1, 1
     while cut <= high:
-        n, fullest, cut = _prefix(open_, grid, cut, high, pair_budget)
+        n, fullest, cut = _prefix(open_, grid, cut, high, pair_budget, patience)
         if n == 0:
             break
         cap = max(_HOT_MIN, n // 200)
         hot = _hot_cells(open_, cap) if fullest > cap else None
         head = open_.where(F.col("rank") < cut)
-        edges = _candidates(head, grid, hot, n).where((F.col("n_rank") < F.col("rank")) & within).select(
-            "grp", F.col("n_rank").alias("lo"), F.col("rank").alias("hi")
-        )
-        dropped = _independent(settle(edges, "edges"), few_edges)
+        edges = _near(head, head, grid, hot, n).where(F.col("n_rank") < F.col("rank"))
+        edges = settle(edges.select("grp", F.col("n_rank").alias("lo"), F.col("rank").alias("hi")), "edges")
+        n_edges = edges.count()
+        dropped = _independent(edges, n_edges, few_edges)
         chosen = head if dropped is None else head.join(dropped.withColumnRenamed("v", "rank"), ["grp", "rank"], "left_anti")
         chosen = settle(chosen, "kept")
         parts.append(chosen.select("grp", "rank"))
         if cut > high:
             break
-        rest = _salted(open_.where(F.col("rank") >= cut), hot, n)
-        near = _fanned(chosen, grid, hot)
-        on = (rest["ck"] == near["ck"]) & (rest["salt"] == near["salt"]) & within
-        open_ = settle(rest.join(near, on, "left_anti").drop("salt"), "open")
+        rest = open_.where(F.col("rank") >= cut)
+        hits = _near(chosen, rest, grid, hot, n).select("grp", "rank").distinct()
+        open_ = settle(rest.join(hits, ["grp", "rank"], "left_anti"), "open")
+        # Candidates that seldom are edges mean sparse points: dare a longer prefix.
+        patience = patience * 4 if n_edges < n else patience
 
     out = parts[0] if parts else items.select("grp", "rank").limit(0)
     for p in parts[1:]:
@@ -318,7 +319,7 @@ def greedy_keep(
     return out.select("row_id") if members is None else out
 
 
-def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | None, steps: int = 12) -> tuple[int, int, int]:
+def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | None, patience: int = 1, steps: int = 12) -> tuple[int, int, int]:
     """(points left, points in the fullest cell, rank bound): the largest bound, among
     quarterings of the rank range, whose candidate pairs fit the budget. Cells of n points
     and their neighbours make at most fan * sum(n^2) pairs."""
@@ -338,6 +339,6 @@ def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | No
     n = load["n"] or 0
     if n == 0:
         return 0, 0, bounds[0]
-    budget = budget or max(64_000_000, 1000 * n)
+    budget = (budget or max(64_000_000, 1000 * n)) * patience
     fits = [b for c, b in zip(names, bounds) if load[c] * grid.fan <= budget]
     return n, load["fullest"], (fits or bounds[-1:])[0]
