@@ -9,6 +9,8 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.functions.draws import draw_hash
+from assayframe.operators.ranking import draw_cutoffs, with_cut
 from assayframe.sources.session import settle
 
 
@@ -19,13 +21,14 @@ def assemble(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
 
 def boosted_trees(
     df: DataFrame, target: str, features: list[str], role: str = "role", seed: int = 42,
-    max_iter: int = 20, depth: int = 4, log_target: bool = False,
+    max_iter: int = 20, depth: int = 4, log_target: bool = False, curves: bool = False,
 ) -> tuple[DataFrame, dict]:
     """Fit on role train, stop early on role val, predict role test.
 
     ``df`` has the vector ``x``. With ``log_target`` the fit sees log1p of the target and
     predictions are mapped back by expm1, without clamping. Returns the predictions and
-    the fitted facts (trees used, importances, rows).
+    the fitted facts (trees used, importances and, on request, the error after each tree
+    on both sides of the fit).
     """
     y = F.log1p(F.col(target).cast("double")) if log_target else F.col(target).cast("double")
     fit_rows = df.where(F.col(role).isin("train", "val")).select(y.alias("_y"), "x", (F.col(role) == "val").alias("_val"))
@@ -40,31 +43,50 @@ def boosted_trees(
         "n_trees": int(model.getNumTrees), "n_estimators": max_iter, "seed": seed,
         "importance": {f: float(v) for f, v in zip(features, model.featureImportances.toArray())},
     }
+    if curves:
+        facts["curves"] = {
+            (name, metric): model.evaluateEachIteration(fit_rows.where(F.col("_val") == val), loss)
+            for name, val in (("train", False), ("val", True)) for metric, loss in (("mae", "absolute"), ("mse", "squared"))
+        }
     return out, facts
 
 
-def tree_curve(model_rows: DataFrame, facts: dict) -> DataFrame:
+def importance_rows(spark, facts: dict) -> DataFrame:
     """Importances as rows (seed, feature, importance)."""
     rows = [(facts["seed"], f, v) for f, v in facts["importance"].items()]
-    return model_rows.sparkSession.createDataFrame(rows, "seed int, feature string, importance double")
+    return spark.createDataFrame(rows, "seed int, feature string, importance double")
 
 
-def sweep(df: DataFrame, target: str, features: list[str], folds: list[str], seeds: list[int], keep: list[str], fold_col: str = "fold", **kw) -> DataFrame:
-    """Predictions (fold, seed, keep..., y_true, y_pred) over folds and seeds. Each fit is
-    a distributed job; the driver only walks the short list of (fold, seed). A tenth of
-    a fold's training rows, by hash of ``keep``, is its validation side."""
+def curve_rows(spark, facts: dict) -> DataFrame:
+    """Error after each tree as rows (seed, dataset, n_trees, metric, value)."""
+    rows = [
+        (facts["seed"], part, i + 1, metric, float(v))
+        for (part, metric), series in facts["curves"].items() for i, v in enumerate(series)
+    ]
+    return spark.createDataFrame(rows, "seed int, dataset string, n_trees int, metric string, value double")
+
+
+def sweep(df: DataFrame, target: str, features: list[str], folds: list[str], seeds: list[int], fold_col: str = "fold", row_id: str = "row_id", **kw) -> DataFrame:
+    """Predictions (fold, seed, row_id, y_true, y_pred) over folds and seeds. Each fit is a
+    distributed job; the driver only walks the short list of (fold, seed). A tenth of a
+    fold's training rows, rounded down and at least one, is its validation side."""
     out = None
-    base = settle(df, "sweep")
+    base = settle(df, "sweep").withColumnRenamed(row_id, "row_id")
     for fold in folds:
+        test = F.col(fold_col).eqNullSafe(F.lit(fold))
+        train = base.where(~test)
+        n_val = max(1, train.count() // 10)
         for seed in seeds:
-            val = F.pmod(F.xxhash64(F.lit(seed), *keep), F.lit(10)) == 0
-            role = F.when(F.col(fold_col) == fold, "test").when(val, "val").otherwise("train")
-            pred, _ = boosted_trees(base.withColumn("role", role), target, features, seed=seed, **kw)
+            drawn = base.withColumn("h", draw_hash(seed, f"val/{fold}", "row_id"))
+            cut = draw_cutoffs(drawn.where(~test), {"val": n_val})
+            role = F.when(test, "test").when(F.col("_val"), "val").otherwise("train")
+            sided = with_cut(drawn, cut, "val", "_val").withColumn("role", role).drop("h", "_val")
+            pred, _ = boosted_trees(sided, target, features, seed=seed, **kw)
             part = pred.select(
-                F.lit(fold).alias("fold"), F.lit(seed).alias("seed"), *keep, F.col(target).alias("y_true"), "y_pred"
+                F.lit(fold).alias("fold"), F.lit(seed).alias("seed"), "row_id", F.col(target).alias("y_true"), "y_pred"
             )
             out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumnRenamed("row_id", row_id)
 
 
 def grid_search(df: DataFrame, target: str, role: str = "role", reg: tuple = (0.0, 0.1), mix: tuple = (0.0, 0.5)) -> DataFrame:

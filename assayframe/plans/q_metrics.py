@@ -280,17 +280,23 @@ def _model_rows(spark, sf):
 def _(spark, sf):
     pred, facts = J.boosted_trees(_model_rows(spark, sf), "target", _X, max_iter=8)
     out = I.evaluate(pred.withColumnRenamed("target", "y_true"), [])
-    imp = spark.createDataFrame(sorted(facts["importance"].items()), "feature string, importance double")
+    imp = J.importance_rows(spark, facts)
     return out.select(F.lit("mae").alias("name"), six(F.col("mae")).alias("value")).unionByName(
         imp.select(F.concat(F.lit("importance_"), "feature").alias("name"), six(F.col("importance")).alias("value"))
     )
 
 
+@query("j1_tree_curves")
+def _(spark, sf):
+    _, facts = J.boosted_trees(_model_rows(spark, sf), "target", _X, max_iter=4, curves=True)
+    return _rounded(J.curve_rows(spark, facts), "seed", "dataset", "n_trees", "metric")
+
+
 @query("j2_fold_seed_sweep")
 def _(spark, sf):
     rows = _model_rows(spark, sf).drop("role")
     folds = sorted(r[0] for r in rows.select("fold").distinct().limit(100).collect())[:2]
-    pred = J.sweep(rows, "target", _X, folds, [42, 43], ["row_id"], max_iter=3, depth=3)
+    pred = J.sweep(rows, "target", _X, folds, [42, 43], max_iter=3, depth=3)
     return _rounded(I.evaluate(pred, ["fold", "seed"]).select("fold", "seed", "n_test", "mae", "rmse", "r2"), "fold", "seed", "n_test")
 
 
