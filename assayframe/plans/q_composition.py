@@ -26,7 +26,7 @@ _SYMS = f"sy AS (SELECT row_id, {SYM} AS s, amount FROM comp)"
 )
 def _(spark, sf):
     # Orders without lines have no formula and those of one status get a broken one.
-    rows = D.order_rows(spark, sf).join(D.formulas(spark, sf), "row_id", "left")
+    rows = D.order_rows(spark, sf).join(settle(D.formulas(spark, sf), "formulas"), "row_id", "left")
     rows = rows.withColumn("formula", F.when(F.col("status") == "P", F.concat("formula", F.lit("?"))).otherwise(F.col("formula")))
     return C.to_composition(rows, "row_id", "formula")
 

@@ -16,7 +16,7 @@ from assayframe.plans.registry import query
 from assayframe.plans.standins import CAT, COMP, r6, table, with_
 from assayframe.operators.dedup import one_per_key
 from assayframe.sources import tables as A
-from assayframe.sources.session import new_table_path
+from assayframe.sources.session import new_table_path, settle
 
 _ORDERS = T.StructType(
     [
@@ -76,7 +76,7 @@ def _(spark, sf):
 
 
 def _lomo(spark, sf):
-    cat = C.categories(D.composition(spark, sf), D.CATEGORY_BRANDS)
+    cat = settle(C.categories(D.composition(spark, sf), D.CATEGORY_BRANDS), "categories")
     return S.expand_folds(S.leave_one_category_out(cat), "lomo")
 
 
@@ -212,8 +212,6 @@ def _(spark, sf):
     + "SELECT o_orderkey AS row_id, o_totalprice AS target FROM orders WHERE o_orderkey IN (SELECT row_id FROM comp) AND o_orderkey NOT IN (SELECT row_id FROM hit)",
 )
 def _(spark, sf):
-    from assayframe.sources.session import settle
-
     comp = settle(D.composition(spark, sf), "comp")
     minimum = int(B.element_counts(comp).agg(F.floor(F.avg("n_rows"))).first()[0])
     return B.rows_without_rare(comp, D.order_rows(spark, sf).select("row_id", "target"), minimum)
@@ -268,8 +266,6 @@ _MAN = with_(
     concat_ws(',', CASE WHEN n_test < t THEN 'test too small' END, CASE WHEN n_train < 200 THEN 'train too small' END) AS reason FROM m, lim""",
 )
 def _(spark, sf):
-    from assayframe.sources.session import settle
-
     m = settle(S.manifest(_lomo(spark, sf)), "manifest")
     floor = int(m.agg(F.floor(F.avg("n_test"))).first()[0])
     return B.fold_eligibility(m, min_test=floor)
