@@ -19,7 +19,8 @@ def canonical_row(df: DataFrame) -> Column:
         elif isinstance(f.dataType, T.TimestampType):
             c = F.unix_micros(c)
         elif isinstance(f.dataType, T.TimestampNTZType):
-            c = F.unix_micros(c.cast("timestamp"))
+            # Wall-clock time, whatever the session's zone.
+            c = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{f.name}`)")
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             c = F.to_json(c)
         parts.append(F.coalesce(c.cast("string"), F.lit("\\N")))

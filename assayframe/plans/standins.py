@@ -1,7 +1,7 @@
 """How the driver tables stand in for a corpus, as DataFrames and as SQL.
 
 An order is a material, the brands of its lines are its elements and the summed
-quantities their amounts. The SQL twins are used by the reference queries only.
+quantities their amounts. The SQL twins are used for comparison only.
 """
 
 from __future__ import annotations
