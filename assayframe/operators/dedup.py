@@ -339,6 +339,6 @@ def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | No
     n = load["n"] or 0
     if n == 0:
         return 0, 0, bounds[0]
-    budget = (budget or max(64_000_000, 1000 * n)) * patience
+    budget = (budget or max(16_000_000, 250 * n)) * patience
     fits = [b for c, b in zip(names, bounds) if load[c] * grid.fan <= budget]
     return n, load["fullest"], (fits or bounds[-1:])[0]
