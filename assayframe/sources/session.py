@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,16 @@ def get_session(app: str = "assayframe", cores: str | None = None) -> SparkSessi
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` when the
-    cluster names one, else the context's checkpoint folder, else (tests) a new one."""
+    cluster names one, else the context's checkpoint folder, else a new one, which
+    only a single-machine session may have: on a cluster each executor would write
+    to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="assayframe-"))
     return sc.getCheckpointDir()
 
@@ -52,3 +57,19 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = new_table_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more (only folders below the scratch root)."""
+    for df in tables:
+        spark = df.sparkSession
+        root = scratch_root(spark).split(":", 1)[-1].rstrip("/") + "/"
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            where = folder.split(":", 1)[-1]
+            if "/" + where.lstrip("/") != where:
+                where = "/" + where.lstrip("/")
+            if not where.startswith("/" + root.lstrip("/")):
+                raise ValueError(f"{folder} is no scratch table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
