@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import langid, mixing
+from assayframe.llm import bpe, langid, mixing, secrets, token_files
 from assayframe.llm.common import documents
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(documents(spark, sf_dir)))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir), token_files.Format(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digest(bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks, pattern)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
@@ -16,6 +30,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op5_bpe, op8_mixing, op10_language_id)}
 
 ORACLES = {"op8_mixing": mixing.SQL}
