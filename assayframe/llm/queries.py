@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import bpe, langid, mixing, secrets, token_files
+from assayframe.llm import bpe, langid, mixing, neardup, secrets, token_files
 from assayframe.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks, pattern)
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
@@ -30,6 +34,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op5_bpe, op8_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op5_bpe, op7_neardup, op8_mixing, op10_language_id)}
 
-ORACLES = {"op8_mixing": mixing.SQL}
+ORACLES = {"op7_neardup": neardup.SQL, "op8_mixing": mixing.SQL}
