@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import bpe, langid, mixing, neardup, secrets, token_files
+from assayframe.llm import bpe, langid, mixing, neardup, quality, secrets, token_files
 from assayframe.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), token_files.Format(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digest(bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks, pattern)
@@ -34,6 +38,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op5_bpe, op7_neardup, op8_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op3_quality, op5_bpe, op7_neardup, op8_mixing, op10_language_id)}
 
-ORACLES = {"op7_neardup": neardup.SQL, "op8_mixing": mixing.SQL}
+ORACLES = {"op3_quality": quality.SQL, "op7_neardup": neardup.SQL, "op8_mixing": mixing.SQL}
