@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import bpe, langid, mixing, neardup, quality, secrets, token_files
-from assayframe.llm.common import documents
+from assayframe.llm import bpe, html, langid, mixing, neardup, quality, secrets, token_files, topk
+from assayframe.llm.common import documents, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +21,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digest(bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks, pattern)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.linked(documents(spark, sf_dir))
 
@@ -38,6 +46,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op3_quality, op5_bpe, op7_neardup, op8_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op3_quality, op4_html, op5_bpe, op6_topk, op7_neardup, op8_mixing, op10_language_id)}
 
-ORACLES = {"op3_quality": quality.SQL, "op7_neardup": neardup.SQL, "op8_mixing": mixing.SQL}
+ORACLES = {"op3_quality": quality.SQL, "op6_topk": topk.SQL, "op7_neardup": neardup.SQL, "op8_mixing": mixing.SQL}
