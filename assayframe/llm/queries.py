@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import bpe, html, langid, mixing, neardup, quality, secrets, token_files, topk
+from assayframe.llm import bpe, html, langid, mixing, neardup, quality, secrets, substrings, token_files, topk
 from assayframe.llm.common import documents, table
 
 
@@ -42,10 +42,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op3_quality, op4_html, op5_bpe, op6_topk, op7_neardup, op8_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op3_quality, op4_html, op5_bpe, op6_topk, op7_neardup, op8_mixing, op9_substrings, op10_language_id)}
 
 ORACLES = {"op3_quality": quality.SQL, "op6_topk": topk.SQL, "op7_neardup": neardup.SQL, "op8_mixing": mixing.SQL}
