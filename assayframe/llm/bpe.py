@@ -189,18 +189,19 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInPandas(run, "doc_id long, n_tokens long, decoded binary")
 
 
-def digest(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def digest(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Hashes of the ids, written in decimal, and of the bytes decoded from them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(path, pattern)
         for frame in frames:
             plain, back = [], []
-            for raw in frame.pop("ids"):
+            for raw in frame["ids"]:
                 ids = np.frombuffer(raw, "<u4").tolist()
                 plain.append(hashlib.sha256(",".join(map(coder.text_of.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             frame["ids_sha256"], frame["decoded_sha256"] = plain, back
-            yield frame
+            yield frame if keep_ids else frame.drop(columns="ids")
 
-    return encoded.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, " + "ids binary, " * keep_ids + "ids_sha256 string, decoded_sha256 string"
+    return encoded.mapInPandas(run, schema)
