@@ -20,14 +20,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from assayframe.llm.common import per_row
 from assayframe.llm.segments import SegmentCache, chunks
 
 
@@ -164,44 +163,39 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(texts: list) -> tuple[list, list]:
         coder = encoder(path, pattern)
-        for frame in frames:
-            n, ids = [], []
-            for texts in chunks([t or "" for t in frame["text"]]):
-                for found in coder.encode(texts):
-                    n.append(len(found))
-                    ids.append(np.array(found, "<u4").tobytes())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": n, "ids": ids})
+        n, ids = [], []
+        for part in chunks([t or "" for t in texts]):
+            for found in coder.encode(part):
+                n.append(len(found))
+                ids.append(np.array(found, "<u4").tobytes())
+        return n, ids
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids binary")
+    return per_row(docs, ["doc_id"], ["text"], lambda: compute, {"n_tokens": "long", "ids": "binary"})
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, decoded (bytes)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(ids: list) -> tuple[list]:
         coder = encoder(path, pattern)
-        for frame in frames:
-            frame["decoded"] = [coder.decode(np.frombuffer(i, "<u4").tolist()) for i in frame.pop("ids")]
-            yield frame
+        return ([coder.decode(np.frombuffer(i, "<u4").tolist()) for i in ids],)
 
-    return encoded.mapInPandas(run, "doc_id long, n_tokens long, decoded binary")
+    return per_row(encoded, ["doc_id", "n_tokens"], ["ids"], lambda: compute, {"decoded": "binary"})
 
 
 def digest(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Hashes of the ids, written in decimal, and of the bytes decoded from them."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(every: list) -> tuple[list, list]:
         coder = encoder(path, pattern)
-        for frame in frames:
-            plain, back = [], []
-            for raw in frame["ids"]:
-                ids = np.frombuffer(raw, "<u4").tolist()
-                plain.append(hashlib.sha256(",".join(map(coder.text_of.__getitem__, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            frame["ids_sha256"], frame["decoded_sha256"] = plain, back
-            yield frame if keep_ids else frame.drop(columns="ids")
-
-    schema = "doc_id long, n_tokens long, " + "ids binary, " * keep_ids + "ids_sha256 string, decoded_sha256 string"
-    return encoded.mapInPandas(run, schema)
+        plain, back = [], []
+        for raw in every:
+            ids = np.frombuffer(raw, "<u4").tolist()
+            plain.append(hashlib.sha256(",".join(map(coder.text_of.__getitem__, ids)).encode()).hexdigest())
+            back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+        return plain, back
+
+    keep = ["doc_id", "n_tokens", *["ids"] * keep_ids]
+    return per_row(encoded, keep, ["ids"], lambda: compute, {"ids_sha256": "string", "decoded_sha256": "string"})

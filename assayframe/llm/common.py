@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +27,39 @@ def whole_text(name: str = "text") -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Arrow types of the columns that functions over texts add.
+_ARROW = {
+    "long": pa.int64(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()),
+    "array<struct<start:long,kind:long,end:long>>": pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "kind", "end")])),
+    "array<struct<start:long,end:long,hit:boolean,view:string>>": pa.list_(
+        pa.struct([("start", pa.int64()), ("end", pa.int64()), ("hit", pa.bool_()), ("view", pa.string())])
+    ),
+}
+
+
+def per_row(df: DataFrame, keep: list[str], sources: list[str], make: Callable[[], Callable], added: dict[str, str]) -> DataFrame:
+    """The columns ``keep`` as they are, and columns computed from ``sources`` batch by batch.
+
+    ``make`` is called once a task and gives a function from one list of values for each source to one list of values for
+    each added column (name and type). Kept columns pass as Arrow arrays, so that nulls and large
+    numbers among them stay what they are."""
+    df = df.select(*dict.fromkeys([*keep, *sources]))
+    kept = ", ".join(f"`{df.schema[k].name}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    schema = ", ".join([kept, *(f"`{n}` {t}" for n, t in added.items())] if keep else [f"`{n}` {t}" for n, t in added.items()])
+    types = [_ARROW[t] for t in added.values()]
+    names = [*keep, *added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            columns = compute(*[batch.column(s).to_pylist() for s in sources])
+            arrays = [batch.column(k) for k in keep] + [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return df.mapInArrow(run, schema)

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.llm.common import per_row
 from assayframe.sources.session import settle
 
 LEAST_PAGES = 5
@@ -202,11 +203,10 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     return constant.groupBy("host").agg(F.collect_set("token").alias("constant"))
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        constants = [frozenset() if c is None else frozenset(int(x) & MASK for x in c) for c in frame["constant"]]
-        texts = [main_text(p or "", c) for p, c in zip(frame["html"], constants)]
-        yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+def _extract(pages: list, constants: list) -> tuple[list, list]:
+    known = [frozenset() if c is None else frozenset(x & MASK for x in c) for c in constants]
+    texts = [main_text(p or "", c) for p, c in zip(pages, known)]
+    return texts, [len(t) for t in texts]
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -214,4 +214,4 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     slim = pages.select("page_id", "url", "html")
     constant = settle(templates(slim, least_pages), "html-templates")
     known = slim.withColumn("host", host()).join(constant, "host", "left")
-    return known.select("page_id", "url", "html", "constant").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    return per_row(known, ["page_id", "url"], ["html", "constant"], lambda: _extract, {"text": "string", "n_chars": "long"})

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assayframe.llm.common import per_row
 from assayframe.sources.session import settle
 
 N_RANKS = 300
@@ -92,7 +93,7 @@ def predict(docs: DataFrame, profile: DataFrame, n_ranks: int = N_RANKS) -> Data
         places[at[r["lang"]], np.searchsorted(known, r["code"])] = r["place"]
     shared = docs.sparkSession.sparkContext.broadcast((langs, known, places))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         langs, known, places = shared.value
 
         def one(text: str | None) -> tuple[str, float]:
@@ -106,15 +107,14 @@ def predict(docs: DataFrame, profile: DataFrame, n_ranks: int = N_RANKS) -> Data
             best = int(far.argmin())
             return langs[best], 1.0 - float(far[best]) / (n_ranks * len(own))
 
-        for frame in frames:
-            found = [one(t) for t in frame.pop("text")]
-            frame["lang_pred"] = [f[0] for f in found]
-            frame["score"] = np.array([f[1] for f in found], float)
-            yield frame
+        def compute(texts: list) -> tuple[list, list]:
+            found = [one(t) for t in texts]
+            return [f[0] for f in found], [f[1] for f in found]
 
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
-    return docs.mapInPandas(run, schema)
+        return compute
+
+    kept = [c for c in docs.columns if c != "text"]
+    return per_row(docs, kept, ["text"], make, {"lang_pred": "string", "score": "double"})
 
 
 def held_out(doc_id: str = "doc_id"):

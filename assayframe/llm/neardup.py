@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.llm.common import per_row
 from assayframe.sources.session import release, settle
 
 MASK = (1 << 64) - 1
@@ -123,31 +124,32 @@ class Sketcher:
 def sketches(docs: DataFrame, near: Near) -> DataFrame:
     """doc_id, n_shingles, set_key (hash of the set), bands, sketch; the last three null for an empty set."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         shingle, sketch = Shingler(near.words), Sketcher(near)
-        for frame in frames:
+
+        def compute(texts: list) -> tuple[list, ...]:
             rows = []
-            for text in frame["text"]:
+            for text in texts:
                 items = shingle(text)
                 key = hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
                 rows.append((len(items), key, *(sketch(items) if len(items) else (None, None))))
-            yield pd.DataFrame(
-                {"doc_id": frame["doc_id"]} | {c: [r[i] for r in rows] for i, c in enumerate(("n_shingles", "set_key", "bands", "sketch"))}
-            )
+            return tuple([r[i] for r in rows] for i in range(4))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+        return compute
+
+    added = {"n_shingles": "long", "set_key": "binary", "bands": "array<long>", "sketch": "binary"}
+    return per_row(docs, ["doc_id"], ["text"], make, added)
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     """node, items (the sorted set as bytes) of the documents that are nodes."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         shingle = Shingler(near.words)
-        for frame in frames:
-            yield pd.DataFrame({"node": frame["doc_id"], "items": [shingle(t).tobytes() for t in frame["text"]]})
+        return lambda texts: ([shingle(t).tobytes() for t in texts],)
 
-    wanted = docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    return wanted.mapInPandas(run, "node long, items binary").where(F.length("items") > 0)
+    wanted = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
+    return per_row(wanted, ["node"], ["text"], make, {"items": "binary"}).where(F.length("items") > 0)
 
 
 def _agreeing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.llm.common import per_row
 from assayframe.llm.neardup import mix, salts
 from assayframe.sources.session import release, settle
 
@@ -426,15 +427,15 @@ def remaining(raw: bytes, found) -> tuple[np.ndarray, bytes]:
     return spans, np.frombuffer(raw, np.uint8)[np.cumsum(keep[:-1]) == 0].tobytes()
 
 
-def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for text, found in zip(frame["text"], frame["found"]):
-            raw = text.encode("utf-8", "surrogatepass") if text else b""
-            spans, rest = remaining(raw, found)
-            out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
-        yield pd.DataFrame({"doc_id": frame["doc_id"]} | {c: [o[i] for o in out] for i, c in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))})
+def _digest(texts: list, every: list) -> tuple[list, ...]:
+    out = []
+    for text, found in zip(texts, every):
+        raw = text.encode("utf-8", "surrogatepass") if text else b""
+        spans, rest = remaining(raw, found)
+        out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
+    return tuple([o[i] for o in out] for i in range(4))
 
 
 def digest(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
-    return removed(docs, p).mapInPandas(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+    return per_row(removed(docs, p), ["doc_id"], ["text", "found"], lambda: _digest, added)
