@@ -1,6 +1,6 @@
 """Main text of web pages by equivalence classes of tokens over the pages of a host.
 
-Tokens are structural tags and text runs, told apart by the containers they stand in. Over
+Tokens are structural tags and blocks of text, told apart by the containers they stand in. Over
 all pages of a host, a token has an occurrence vector (how often it occurs on each
 page); vectors are compared by a 64-bit sum of page hashes, with the number of pages and
 occurrences, so that one aggregate finds them at any number of pages and a hot host is added up by all tasks.
@@ -114,39 +114,44 @@ def clean(run: str) -> str:
     return SPACE.sub(" ", html.unescape(run)).strip()
 
 
-def text_token(run: str, here: int) -> int:
-    return xxhash.xxh3_64_intdigest(run, here & MASK)
+def blocks(page: str) -> Iterator[tuple[bool, str, int, bool]]:
+    """In page order: (True, "", container, in an article) for a container that opens, (False, text, container around it,
+    in an article) for a block of text; what stands in dropped containers is left out."""
+    part: list[str] = []
+    place = (0, False)
+    for kind, value, here, out, inside in parsed(page):
+        if kind == "text":
+            if not out:
+                place = place if part else (here, inside)
+                part.append(value)
+            continue
+        if part and (text := clean("".join(part))):
+            yield False, text, *place
+        part = []
+        if kind == "open":
+            yield True, "", here, inside
+    if part and (text := clean("".join(part))):
+        yield False, text, *place
+
+
+def text_token(text: str, here: int) -> int:
+    return xxhash.xxh3_64_intdigest(text, here & MASK)
 
 
 def tokens(page: str) -> Counter:
     """Occurrences of (token, container around it, whether it is a tag)."""
     found: Counter = Counter()
-    for kind, value, here, _, _ in parsed(page):
-        if kind == "open":
-            found[here, here, True] += 1
-        elif kind == "text" and (run := clean(value)):
-            found[text_token(run, here), here, False] += 1
+    for tag, text, here, _ in blocks(page):
+        found[here if tag else text_token(text, here), here, tag] += 1
     return found
 
 
-def main_text(page: str, template: frozenset[int] | set[int]) -> str:
-    events = list(parsed(page))
-    marked = any(inside and not out for kind, value, _, out, inside in events if kind == "text" and not value.isspace())
-
-    def blocks(constant) -> list[str]:
-        done, part = [], []
-        for kind, value, here, out, inside in events:
-            if kind == "text":
-                if not out and (inside or not marked):
-                    if not (constant and text_token(clean(value), here) in constant):
-                        part.append(value)
-            elif part:
-                done.append(clean("".join(part)))
-                part = []
-        done.append(clean("".join(part)))
-        return [b for b in done if b]
-
-    return "\n\n".join(blocks(template) or (blocks(None) if template else []))
+def main_text(page: str, template: frozenset[int]) -> str:
+    found = [(text, here, inside) for tag, text, here, inside in blocks(page) if not tag]
+    if any(inside for *_, inside in found):
+        found = [f for f in found if f[2]]
+    left = [text for text, here, _ in found if text_token(text, here) not in template] if template else []
+    return "\n\n".join(left or [text for text, _, _ in found])
 
 
 def _signed(values) -> np.ndarray:

@@ -71,7 +71,7 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def profiles(labelled: DataFrame, n_ranks: int = N_RANKS, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """lang, code, place (from 0) of the documents given (doc_id, text, lang)."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = labelled.groupBy("lang").agg((F.lit(float(train_docs)) / F.count("*")).alias("share"))
+    share = settle(labelled.groupBy("lang").agg((F.lit(float(train_docs)) / F.count("*")).alias("share")), "langid-shares")
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
     # as many as the draws select: train_docs of a large language, give or take a few per cent
     chosen = labelled.select("doc_id", "lang", "text").join(share, "lang").where(draw < F.col("share")).select("lang", "text")

@@ -34,22 +34,53 @@ def chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
 
 
 class SegmentCache:
-    """What ``encode`` makes of each distinct segment, in a table that is emptied when it is full."""
+    """What ``encode`` makes of each distinct segment, in two tables: one fills up, then takes the place of the older one.
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 250_000):
+    A segment that ends with a comma or full stop behind a letter is its beginning and the mark: the pattern never
+    joins the two. Values are added with ``+``."""
+
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 300_000):
         self.encode, self.most = encode, most
         self.first: dict[str, object] = {}
         self.later: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    def _learn(self, new: list[str]) -> dict[str, object]:
+        """Values of segments that stand behind a space."""
+        older = self.older
+        found = {s: older[s] for s in new if s in older}
+        wanted = [s for s in new if s not in found]
+        bare = [s[:-1] if s[-1:] in (",", ".") and s[-2:-1].isalpha() else s for s in wanted]
+        later = self.later
+        unknown = [s for s in set(bare) if s not in later and s not in found]
+        found.update(zip(unknown, self.encode([" " + s for s in unknown])))
+        marks = {m: v for m, v in zip(",.", self.encode([",", "."]))} if wanted else {}
+        for s, b in zip(wanted, bare):
+            if s is not b:
+                known = found.get(b)
+                found[s] = (later[b] if known is None else known) + marks[s[-1]]
+        return found
 
     def __call__(self, texts: list[str]) -> list[list]:
         """A list of segment values for each text."""
         parts = [split(t) for t in texts]
-        firsts = {p[0] for p in parts}
-        laters = set().union(*[p[1:] for p in parts])
-        if len(self.first) + len(self.later) > self.most:
-            self.first, self.later = {}, {}
-        for known, wanted, lead in ((self.first, firsts, ""), (self.later, laters, " ")):
-            new = [s for s in wanted if s not in known]
-            known.update(zip(new, self.encode([lead + s for s in new])))
-        later = self.later.__getitem__
-        return [[self.first[p[0]], *map(later, p[1:])] for p in parts]
+        if len(self.later) > self.most:
+            self.older, self.later, self.first = self.later, {}, {}
+        firsts = [p[0] for p in parts]
+        new = [s for s in set(firsts) if s not in self.first]
+        self.first.update(zip(new, self.encode(new)))
+        out = []
+        every = [s for p in parts for s in p[1:]]
+        values = list(map(self.later.get, every))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            found = self._learn(list({every[i] for i in missing}))
+            self.later.update(found)
+            for i in missing:
+                values[i] = found[every[i]]
+        at = 0
+        for p in parts:
+            n = len(p) - 1
+            out.append([self.first[p[0]], *values[at : at + n]])
+            at += n
+        return out

@@ -23,6 +23,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -88,15 +89,15 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Id and length for every value of the longest code's number of bits."""
+def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """Length (top 8 bits) and id for every value of the longest code's number of bits."""
     top = int(lengths.max(initial=1))
     ids = np.flatnonzero(lengths)
     ids = ids[np.lexsort((ids, lengths[ids]))]
     wide = 1 << (top - lengths[ids])
-    symbol, length = np.zeros(1 << top, np.uint32), np.ones(1 << top, np.int64)
-    symbol[: wide.sum()], length[: wide.sum()] = np.repeat(ids, wide), np.repeat(lengths[ids], wide)
-    return symbol, length, top
+    table = np.full(1 << top, 1 << 24, np.uint32)
+    table[: wide.sum()] = np.repeat((lengths[ids] << 24) | ids, wide)
+    return table, top
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
@@ -116,20 +117,19 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     return words.astype(">u8").tobytes()[: (bits + 7) // 8], offset[::STRIDE].astype("<u4").tobytes()
 
 
-def unpack(payload: bytes, checkpoints: bytes, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+def unpack(payload: bytes, checkpoints: bytes, n: int, decode: tuple[np.ndarray, int]) -> np.ndarray:
     """The ids of a block: one lane a checkpoint, all lanes a step at a time."""
-    symbol, length, top = table
+    table, top = decode
     raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint32)
     window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-    at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
+    at = np.frombuffer(checkpoints, "<u4").astype(np.uint32)
     out = np.empty((min(STRIDE, n), len(at)), np.uint32)
-    last = len(window) - 1
+    seven, three, high = np.uint32(7), np.uint32(3), np.uint32(24)
     for k in range(len(out)):
-        word = window[np.minimum(at >> 3, last)]
-        slot = (word << (at & 7).astype(np.uint32)) >> np.uint32(32 - top)
-        out[k] = symbol[slot]
-        at = at + length[slot]
-    return out.T.reshape(-1)[:n]
+        word = window.take(at >> three, mode="clip")
+        out[k] = table[(word << (at & seven)) >> np.uint32(32 - top)]
+        at += out[k] >> high
+    return out.T.reshape(-1)[:n] & np.uint32(0xFFFFFF)
 
 
 # --- the jobs ---------------------------------------------------------------------------------
@@ -142,15 +142,40 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_letters() -> list[str]:
+    """The letters of byte-level vocabularies: printed bytes are themselves, the others follow in order from U+0100 on."""
+    seen = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
+    return [chr(b) if seen[b] else chr(256 + seen[:b].count(False)) for b in range(256)]
+
+
 def _encoder(path: str, end_id: int, kind: str) -> SegmentCache:
     """One a Python worker: its cache serves all tasks of the worker."""
     key = (path, end_id, kind)
     if key not in _ENCODERS:
         tokenizer = _tokenizer(path)
 
+        word, letters = tokenizer.model.tokenize, byte_letters()
+        space = letters[32]
+
         def encode(segments: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(segments, add_special_tokens=False)
-            return [np.array(e.ids, kind).tobytes() for e in found]
+            # one word of letters is one match of the pattern: it needs the library's merges only
+            found: list = [None] * len(segments)
+            rest = []
+            for i, s in enumerate(segments):
+                bare = s[1:]
+                if s[:1] != " " or not bare.isalpha():
+                    rest.append(i)
+                elif bare.isascii():
+                    found[i] = [t.id for t in word(space + bare)]
+                elif max(bare) < "\u0250":
+                    found[i] = [t.id for t in word(space + "".join([letters[b] for b in bare.encode()]))]
+                else:
+                    rest.append(i)
+            for i, e in zip(rest, tokenizer.encode_batch_fast([segments[i] for i in rest], add_special_tokens=False)):
+                found[i] = e.ids
+            flat = np.fromiter(chain.from_iterable(found), kind).tobytes()
+            ends = np.cumsum([len(ids) for ids in found], dtype=np.int64) * np.dtype(kind).itemsize
+            return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
         _ENCODERS[key] = SegmentCache(encode)
     return _ENCODERS[key]
