@@ -6,7 +6,7 @@ operator takes it as input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # An element with its amount, an opening bracket, or a closing bracket with its multiplier.
@@ -114,11 +114,11 @@ def _bags(comp: DataFrame) -> DataFrame:
 
 
 def gcd_of(amounts: Column) -> Column:
-    """Greatest common divisor of an array of whole numbers (Euclid; 48 rounds cover 32-bit amounts)."""
+    """Greatest common divisor of an array of whole numbers (Euclid; 92 rounds cover 63-bit amounts)."""
 
     def euclid(x: Column, y: Column) -> Column:
         done = F.aggregate(
-            F.sequence(F.lit(1), F.lit(48)),
+            F.sequence(F.lit(1), F.lit(92)),
             F.struct(x.alias("a"), y.alias("b")),
             lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))),
         )
@@ -153,7 +153,7 @@ def reduced_key(comp: DataFrame) -> DataFrame:
         g = F.when(t["whole"], gcd_of(F.transform(t["bag"], lambda e: e["amount"].cast("bigint"))))
         return _bound(F.struct(t["bag"].alias("bag"), t["whole"].alias("whole"), g.alias("g")), scaled)
 
-    whole = F.forall("bag", lambda e: (e["amount"] == F.floor(e["amount"])) & (e["amount"] > 0) & (e["amount"] < 2147483648))
+    whole = F.forall("bag", lambda e: (e["amount"] == F.floor(e["amount"])) & (e["amount"] > 0) & (e["amount"] < 2.0**63))
     shown = _bound(F.struct(F.col("bag"), whole.alias("whole")), divided)
     return bags.select("row_id", F.array_join(shown, " ").alias("key"))
 
@@ -165,10 +165,8 @@ def atom_count(comp: DataFrame) -> DataFrame:
 
 def fractions(comp: DataFrame) -> DataFrame:
     """(row_id, element, amount, fraction): shares of the row's total amount."""
-    total = atom_count(comp)
-    return comp.join(total, "row_id").select(
-        "row_id", "element", "amount", (F.col("amount") / F.nullif(F.col("num_atoms"), F.lit(0.0))).alias("fraction")
-    )
+    total = F.sum("amount").over(Window.partitionBy("row_id"))
+    return comp.select("row_id", "element", "amount", (F.col("amount") / F.nullif(total, F.lit(0.0))).alias("fraction"))
 
 
 def vocabulary(comp: DataFrame) -> DataFrame:

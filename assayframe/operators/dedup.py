@@ -39,11 +39,8 @@ class Scale:
     positions: dict[str, float]
 
     @classmethod
-    def from_table(cls, table: DataFrame, limit: int = 10_000) -> "Scale":
-        rows = table.select("element", "position").limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"a scale has at most {limit} symbols")
-        return cls({r["element"]: float(r["position"]) for r in rows})
+    def from_table(cls, table: DataFrame) -> "Scale":
+        return cls({r["element"]: float(r["position"]) for r in table.select("element", "position").collect()})
 
     @property
     def steps(self) -> list[tuple[float, float]]:

@@ -10,12 +10,13 @@ from assayframe.functions.draws import hash_int
 
 
 def canonical_row(df: DataFrame) -> Column:
-    """A row as text: columns by name, floats as millionths, times as microseconds."""
+    """A row as text: columns by name, each value with its length before it, so that no two rows
+    share a text; doubles as their shortest exact decimals, times as microseconds, NULL as a bare sign."""
     parts = []
     for f in sorted(df.schema.fields, key=lambda f: f.name):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.floor(c.cast("double") * 1e6 + 0.5)
+            c = c.cast("double")
         elif isinstance(f.dataType, T.TimestampType):
             c = F.unix_micros(c)
         elif isinstance(f.dataType, T.TimestampNTZType):
@@ -23,7 +24,8 @@ def canonical_row(df: DataFrame) -> Column:
             c = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{f.name}`)")
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             c = F.to_json(c)
-        parts.append(F.coalesce(c.cast("string"), F.lit("\\N")))
+        text = c.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~")))
     return F.concat_ws("|", *parts)
 
 

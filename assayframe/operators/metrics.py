@@ -11,6 +11,7 @@ from assayframe.functions.numeric import r_squared, ratio
 from assayframe.sources.session import settle
 
 PREDICTION_BOUND = 100.0
+# The metrics of a summary.
 SUMMARY_METRICS = ("mae", "rmse", "r2", "mrae", "mae_nonmetals", "rmse_nonmetals", "r2_nonmetals")
 
 
@@ -18,16 +19,18 @@ def evaluate(df: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred
     """Errors per key: n_test, mae, rmse, r2, mrae, mape, the variants over non-zero
     targets (NULL below two such rows) and the divergence flag.
 
-    A group with a missing or non-finite prediction is flagged and has NULL metrics.
+    Rows without a truth (NULL or NaN) count for nothing. A group with a missing or non-finite
+    prediction for a known truth is flagged and has NULL metrics.
     """
-    yt, yp = F.col(y).cast("double"), F.col(p).cast("double")
-    bad = F.coalesce(F.isnan(yp) | (F.abs(yp) == float("inf")), F.lit(True)) | yp.isNull()
-    ok = ~bad
+    yt, yp = F.nanvl(F.col(y).cast("double"), F.lit(None).cast("double")), F.col(p).cast("double")
+    known = yt.isNotNull()
+    bad = known & (F.coalesce(F.isnan(yp) | (F.abs(yp) == float("inf")), F.lit(True)) | yp.isNull())
+    ok = known & ~bad
     nz = yt != 0
     err = yp - yt
     cond_err = F.when(ok, err)
     aggs = [
-        F.count(F.lit(1)).alias("n_test"),
+        F.count_if(known).alias("n_test"),
         F.count_if(bad).alias("_bad"),
         F.avg(F.abs(cond_err)).alias("_mae"),
         F.sum(cond_err * cond_err).alias("_sse"),
@@ -183,19 +186,22 @@ def nonredundant_mae(df: DataFrame, keys: list[str], flag: str, y: str = "y_true
     )
 
 
+def best_epochs(curves: DataFrame, run: list[str], epoch: str, value: str) -> DataFrame:
+    """Epochs of the lowest value per run, the first and the last of them, from one grouping."""
+    found = [F.min_by(epoch, F.struct(F.col(value), side)) for side in (F.col(epoch), -F.col(epoch))]
+    known = curves.where(F.col(value).isNotNull())
+    return known.groupBy(*run).agg(found[0].alias("best_earliest"), found[1].alias("best_latest"), F.min(value).alias("best_value"))
+
+
 def best_epoch(curves: DataFrame, run: list[str], epoch: str, value: str, ties: str = "earliest") -> DataFrame:
     """Epoch of the lowest value per run; ``ties`` is earliest (strict <) or latest (<=)."""
-    side = F.col(epoch) if ties == "earliest" else -F.col(epoch)
-    return curves.where(F.col(value).isNotNull()).groupBy(*run).agg(
-        F.min_by(epoch, F.struct(F.col(value), side)).alias("best_epoch"), F.min(value).alias("best_value")
-    )
+    return best_epochs(curves, run, epoch, value).select(*run, F.col(f"best_{ties}").alias("best_epoch"), "best_value")
 
 
 def long_curves(df: DataFrame, run: list[str], series: dict[tuple[str, str], str]) -> DataFrame:
     """Array columns to rows: run, dataset, metric, step (1-based), value.
 
-    ``series`` maps (dataset, metric) to an array column. Like the curve harvest it
-    serves, only series of more than 1 and fewer than 10,000 points count.
+    ``series`` maps (dataset, metric) to an array column; a series of one point is no curve.
     """
     tagged = F.array(
         *[
@@ -203,7 +209,7 @@ def long_curves(df: DataFrame, run: list[str], series: dict[tuple[str, str], str
             for (d, m), c in series.items()
         ]
     )
-    flat = df.select(*run, F.inline(tagged)).where((F.size("_s") > 1) & (F.size("_s") < 10000))
+    flat = df.select(*run, F.inline(tagged)).where(F.size("_s") > 1)
     return flat.select(*run, "dataset", "metric", F.posexplode("_s").alias("step", "value")).withColumn(
         "step", (F.col("step") + 1).cast("bigint")
     )

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions.periodic import SYMBOLS
@@ -27,6 +27,11 @@ def protected_columns(names: list[str] | None) -> set[str]:
     return set(names or ()) & set(SYMBOLS)
 
 
+def number(name: str) -> Column:
+    """A column as double, NaN as missing."""
+    return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))
+
+
 @dataclass
 class FittedPrep:
     """Statistics of one training side. ``kept`` features are scaled; the others were
@@ -41,7 +46,7 @@ class FittedPrep:
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` columns plus the prepared features: one narrow projection."""
         cols = [
-            ((F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(self.median[f])) - self.mean[f]) / self.scale[f]).alias(f)
+            ((F.coalesce(number(f), F.lit(self.median[f])) - self.mean[f]) / self.scale[f]).alias(f)
             for f in self.kept
         ]
         return df.select(*keep, *cols)
@@ -59,7 +64,7 @@ def stats_table(spark, fitted: dict[str, FittedPrep]) -> DataFrame:
 
 
 def _long(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
-    items = [F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value")) for f in features]
+    items = [F.struct(F.lit(f).alias("feature"), number(f).alias("value")) for f in features]
     return df.select(*keys, F.inline(F.array(*items))).where(F.col("value").isNotNull())
 
 
@@ -110,26 +115,14 @@ def cross_sums(df: DataFrame, features: list[str], target: str, fold: str, origi
 
 
 def redundant(r: np.ndarray, to_target: np.ndarray, limit: float, safe: list[bool]) -> set[int]:
-    """Columns to drop from correlated pairs. Anchors go left to right over the columns
-    still in; of each pair above the limit the one less related to the target goes (a tie
-    drops the later), a protected column never; a dropped anchor ends its turn."""
-
-    def loser(i: int, j: int) -> int | None:
-        if safe[j]:
-            return None if safe[i] else i
-        return i if not safe[i] and to_target[j] > to_target[i] else j
-
-    out: set[int] = set()
-    for anchor in range(len(safe)):
-        if anchor in out:
-            continue
-        for j in [j for j in range(anchor + 1, len(safe)) if j not in out and abs(r[anchor, j]) > limit]:
-            gone = loser(anchor, j)
-            if gone is not None:
-                out.add(gone)
-            if gone == anchor:
-                break
-    return out
+    """Columns to drop. The pairs above the limit are settled in order of (first, second) as long as both of a pair
+    are still in: the one that ranks lower by (protected, relation to the target, earlier place) goes, unless it is protected."""
+    still_in = np.ones(len(safe), bool)
+    for pair in np.argwhere(np.triu(np.abs(r) > limit, 1)).tolist():
+        if still_in[pair].all():
+            lower = min(pair, key=lambda c: (safe[c], to_target[c], -c))
+            still_in[lower] = safe[lower]
+    return set(np.flatnonzero(~still_in).tolist())
 
 
 def _finish(sums: np.ndarray, features: list[str], med: dict[str, float], origin: list[float], limit: float, safe: set[str]) -> FittedPrep:
@@ -192,7 +185,7 @@ def fit_folds(
     safe = protected_columns(names)
     rows = df.withColumn("_fold", F.col(fold).cast("string") if fold else F.lit("none"))
     # Any fixed value near the data serves as origin; the minimum keeps constants exact.
-    low = rows.agg(F.min(target).cast("double"), *[F.min(f"`{f}`").cast("double") for f in features]).first()
+    low = rows.agg(F.min(number(target)), *[F.min(number(f)) for f in features]).first()
     origin = [0.0 if v is None else float(v) for v in low]
     labels = ["all"] if fold is None else list(labels)
     med_rows = (

@@ -75,7 +75,9 @@ def literature_block(
 ) -> Block:
     """Weighted deviations, means, maxima, valence shares and totals.
 
-    avg_dev = sum f|x - mean|, std_dev = sqrt(sum f (x - mean)^2) with f the fractions;
+    avg_dev = sum f|x - mean|, std_dev = sqrt(sum f (x - mean)^2) with f the fractions, taken as
+    sum a|w x - s| / w^2 and sqrt(sum a (w x - s)^2) / w^1.5 with a the amounts, w and s the sums of a and a x, so that
+    whole numbers are divided only once;
     a share is sum(w part) / sum(w whole); a total is sum(amount x). One element
     lacking any property used makes every column of the row NULL.
     """
@@ -95,8 +97,13 @@ def literature_block(
     def avg(p: str) -> Column:
         return fold(lambda e: e[p].cast("double")) / total
 
-    cols = [(fold(lambda e, p=p: F.abs(e[p] - avg(p))) / total).alias(f"avg_dev_{p}") for p in avg_dev]
-    cols += [F.sqrt(fold(lambda e, p=p: (e[p] - avg(p)) * (e[p] - avg(p))) / total).alias(f"std_dev_{p}") for p in std_dev]
+    def spread(p: str, f) -> Column:
+        """Sum of a f(w x - s), the sum s being taken once."""
+        one = F.array(fold(lambda e: e[p].cast("double")))
+        return F.get(F.transform(one, lambda s: fold(lambda e: f(total * e[p] - s))), F.lit(0))
+
+    cols = [(spread(p, F.abs) / (total * total)).alias(f"avg_dev_{p}") for p in avg_dev]
+    cols += [(F.sqrt(spread(p, lambda d: d * d)) / (total * F.sqrt(total))).alias(f"std_dev_{p}") for p in std_dev]
     cols += [avg(p).alias(f"mean_{p}") for p in mean]
     cols += [F.array_max(F.col("_li_bag")[p]).alias(f"maximum_{p}") for p in maximum]
     cols += [ratio(fold(lambda e, a=a: e[a]), fold(lambda e, b=b: e[b])).alias(n) for n, (a, b) in shares.items()]

@@ -18,7 +18,6 @@ from assayframe.sources.session import settle
 
 FRACTIONS = (0.1, 0.25, 0.5, 1.0)
 EXTRAPOLATION_THRESHOLD = 4.0
-_FEW = 100_000
 
 
 def _drawn(rows: DataFrame, seed: int, label: str | Column) -> DataFrame:
@@ -116,12 +115,24 @@ def data_efficiency(rows: DataFrame, fractions: tuple[float, ...] = FRACTIONS, s
     )
 
 
-def labels_of(assigned: DataFrame, limit: int = 10_000) -> list[str]:
-    """Sorted fold labels; a fold list is small by nature and checked to be so."""
-    got = [r[0] for r in assigned.where(F.col("fold").isNotNull()).select("fold").distinct().limit(limit + 1).collect()]
-    if len(got) > limit:
-        raise ValueError(f"more than {limit} folds")
-    return sorted(got)
+def labels_of(assigned: DataFrame) -> list[str]:
+    """Sorted fold labels: every row of the long form is written once for each."""
+    return sorted(r[0] for r in assigned.where(F.col("fold").isNotNull()).select("fold").distinct().collect())
+
+
+def fold_counts(assigned: DataFrame, split: str) -> DataFrame:
+    """(split, fold, n_train, n_test) of test-side assignments (row_id, fold), without their long form:
+    a fold trains on all rows but its own."""
+    own = assigned.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
+    total = F.sum("n_test").over(Window.partitionBy(F.lit(0)))
+    counts = own.withColumn("n_train", total - F.col("n_test")).where(F.col("fold").isNotNull())
+    return counts.select(F.lit(split).alias("split"), "fold", "n_train", "n_test")
+
+
+def listed(counts: DataFrame, splits: list[str]) -> DataFrame:
+    """The counts of the splits listed; one without folds keeps a row with NULL fold."""
+    wanted = counts.sparkSession.createDataFrame([(s,) for s in splits], "split string")
+    return wanted.join(counts, "split", "left").na.fill(0, ["n_train", "n_test"])
 
 
 def expand_folds(assigned: DataFrame, split: str, labels: list[str] | None = None) -> DataFrame:
@@ -155,20 +166,43 @@ def _dealt(groups: DataFrame, k: int) -> DataFrame:
 
 
 def _balanced(groups: DataFrame, k: int) -> DataFrame:
-    """Groups by falling size (ties by name), each to the fold with the fewest rows so
-    far. Sequential by definition, over the groups only; many groups are dealt instead."""
-    rows = groups.select("grp", "size").limit(_FEW + 1).collect()
-    if len(rows) > _FEW:
-        return _dealt(groups, k)
-    import heapq
-
-    heap = [(0, f) for f in range(k)]
-    out = []
-    for g, size in sorted(((r["grp"], r["size"]) for r in rows), key=lambda x: (-x[1], x[0])):
-        load, fold = heapq.heappop(heap)
-        heapq.heappush(heap, (load + size, fold))
-        out.append((g, str(fold)))
-    return groups.sparkSession.createDataFrame(out, "grp string, fold string")
+    """Groups by falling size (ties by name), each to the fold with the fewest rows so far (ties: the
+    lower fold).
+
+    Groups of one size take the folds in the order of (load + t * size, fold), t = 0, 1, ...: the
+    rows of numbers of all folds, merged. The loads tell how many each fold takes, so the driver walks the
+    distinct sizes (fewer than the root of twice the rows); groups and places meet by rank.
+    """
+    sizes = groups.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect()
+    loads, takes = [0] * k, []
+    for size, n in sizes:
+        taken = _turns(loads, size, n)
+        takes += [(size, fold, load, t) for fold, (load, t) in enumerate(zip(loads, taken)) if t]
+        loads = [load + size * t for load, t in zip(loads, taken)]
+    places = groups.sparkSession.createDataFrame(takes, "size bigint, fold int, load bigint, n bigint")
+    turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))
+    places = places.select((-F.col("size")).alias("_neg"), "fold", "load", turn.alias("t"))
+    places = places.select("_neg", (F.col("load") - F.col("t") * F.col("_neg")).alias("value"), "fold")
+    places = global_rank(places, ["_neg", "value", "fold"]).select("rank", F.col("fold").cast("string").alias("fold"))
+    keyed = global_rank(groups.select("grp", (-F.col("size")).alias("_neg")), ["_neg", "grp"])
+    return keyed.join(places, "rank").select("grp", "fold")
+
+
+def _turns(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of n groups of one size each fold takes."""
+
+    def below(value: int) -> list[int]:
+        return [max(0, -((load - value) // size)) for load in loads]
+
+    low, high = min(loads), max(loads) + size * n
+    while low < high:  # the largest value with no more than n places below it
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(below(middle)) <= n else (low, middle - 1)
+    taken = below(low)
+    for fold, load in enumerate(loads):
+        if sum(taken) < n and load + size * taken[fold] == low:
+            taken[fold] += 1
+    return taken
 
 
 def group_kfold(rows: DataFrame, group: str, n_splits: int, deal: bool = False) -> tuple[DataFrame | None, int]:
@@ -265,15 +299,23 @@ VALIDATION_RULES = {
 }
 
 
+def carve_validations(train: DataFrame, rules: list[str], seed: int = 42) -> DataFrame:
+    """(rule, fold, row_id, is_val) of train (fold, row_id): each rule's share drawn inside each fold. All rules
+    cut the same draw, so the rows are counted and read once for all of them."""
+    n = F.col("n")
+    takes = [F.struct(F.lit(r).alias("tag"), F.least(VALIDATION_RULES[r](n).cast("bigint"), n).alias("take")) for r in rules]
+    quotas = settle(train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).select("fold", F.inline(F.array(*takes))), "carve")
+    out = _drawn(train, seed, F.concat(F.lit("val/"), F.col("fold")))
+    cuts = draw_cutoffs(out, quotas, ["fold"])
+    for i, rule in enumerate(rules):
+        out = with_cut(out, cuts, rule, f"_val{i}", ["fold"])
+    flags = [F.struct(F.lit(r).alias("rule"), F.col(f"_val{i}").alias("is_val")) for i, r in enumerate(rules)]
+    return out.select("fold", "row_id", F.inline(F.array(*flags))).select("rule", "fold", "row_id", "is_val")
+
+
 def carve_validation(train: DataFrame, rule: str, seed: int = 42) -> DataFrame:
     """train (fold, row_id) plus ``is_val``, drawn inside each fold under the named rule."""
-    sizes = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
-    take = VALIDATION_RULES[rule](F.col("n")).cast("bigint")
-    quotas = settle(sizes.select("fold", F.lit("val").alias("tag"), take.alias("take"), "n"), "carve")
-    quotas = quotas.select("fold", "tag", F.least("take", "n").alias("take"))
-    drawn = _drawn(train, seed, F.concat(F.lit("val/"), F.col("fold")))
-    cuts = draw_cutoffs(drawn, quotas, ["fold"])
-    return with_cut(drawn, cuts, "val", "is_val", ["fold"]).drop("h")
+    return carve_validations(train, [rule], seed).drop("rule")
 
 
 def named_folds(folds: DataFrame, label: str, position: str) -> DataFrame:
@@ -286,7 +328,4 @@ def manifest(long_folds: DataFrame, splits: list[str] | None = None) -> DataFram
     out = long_folds.groupBy("split", "fold").agg(
         F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test")
     )
-    if splits is None:
-        return out
-    listed = long_folds.sparkSession.createDataFrame([(s,) for s in splits], "split string")
-    return listed.join(out, "split", "left").na.fill(0, ["n_train", "n_test"])
+    return out if splits is None else listed(out, splits)

@@ -70,7 +70,7 @@ def _short(comp):
 )
 def _(spark, sf):
     comp = settle(_short(D.composition(spark, sf)), "comp")
-    vocab = sorted(r[0] for r in C.vocabulary(comp).limit(10_000).collect())
+    vocab = sorted(r[0] for r in C.vocabulary(comp).collect())  # the columns of the result
     m = C.fraction_matrix(comp, vocab)
     return m.select("row_id", *[six(F.col(v)).alias(v) for v in vocab])
 
@@ -92,7 +92,7 @@ def _(spark, sf):
     # One population carried to the vocabulary of another, which lacks b1-b10 and knows b26-b30.
     rows = D.order_rows(spark, sf).where("status = 'F'").select("row_id")
     comp = settle(_short(D.composition(spark, sf).join(rows, "row_id", "left_semi")), "comp")
-    own = sorted(r[0] for r in C.vocabulary(comp).limit(10_000).collect())
+    own = sorted(r[0] for r in C.vocabulary(comp).collect())
     other = [f"b{i}" for i in range(11, 31)]
     m = C.reindexed(C.fraction_matrix(comp, own), other)
     return m.select("row_id", *[six(F.col(v)).alias(v) for v in other])

@@ -72,7 +72,7 @@ _LIT = dict(
     avg_dev=["chi", "ie"], std_dev=["z"], mean=["ea"], maximum=["chi"],
     shares={"frac_p_valence": ("valence", "z")}, totals={"total_e": "z"},
 )
-_LIT_SQL = """lm AS (SELECT row_id, sum(amount) AS w, sum(amount*chi)/sum(amount) AS mchi, sum(amount*ie)/sum(amount) AS mie, sum(amount*z)/sum(amount) AS mz,
+_LIT_SQL = """lm AS (SELECT row_id, sum(amount) AS w, sum(amount*chi) AS schi, sum(amount*ie) AS sie, sum(amount*z) AS sz,
  count(*) AS k, least(count(chi),count(ie),count(ea),count(valence),count(z)) AS ok FROM cp GROUP BY 1)"""
 
 
@@ -80,8 +80,8 @@ def _lit(e):
     return r6(f"CASE WHEN any_value(ok)=any_value(k) THEN {e} END")
 
 
-_LIT_COLS = f"""{_lit('sum(amount*abs(chi-mchi))/any_value(w)')} AS avg_dev_chi, {_lit('sum(amount*abs(ie-mie))/any_value(w)')} AS avg_dev_ie,
- {_lit('sqrt(sum(amount*(z-mz)*(z-mz))/any_value(w))')} AS std_dev_z, {_lit('sum(amount*ea)/any_value(w)')} AS mean_ea, {_lit('max(chi)')} AS maximum_chi,
+_LIT_COLS = f"""{_lit('sum(amount*abs(w*chi-schi))/(any_value(w)*any_value(w))')} AS avg_dev_chi, {_lit('sum(amount*abs(w*ie-sie))/(any_value(w)*any_value(w))')} AS avg_dev_ie,
+ {_lit('sqrt(sum(amount*((w*z-sz)*(w*z-sz))))/(any_value(w)*sqrt(any_value(w)))')} AS std_dev_z, {_lit('sum(amount*ea)/any_value(w)')} AS mean_ea, {_lit('max(chi)')} AS maximum_chi,
  {_lit('sum(amount*valence)/sum(amount*z)')} AS frac_p_valence, {_lit('sum(amount*z)')} AS total_e"""
 
 
@@ -190,7 +190,7 @@ def _(spark, sf):
     parts = D.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("b"), D.suffix(F.col("p_brand")).cast("string")).alias("element"))
     comp = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("row_id"), "element").agg(F.sum("l_quantity").alias("amount"))
     comp = settle(comp, "comp")
-    vocab = sorted(r[0] for r in vocabulary(comp).limit(10_000).collect())
+    vocab = sorted(r[0] for r in vocabulary(comp).collect())  # the columns of the result
     return _six_all(fraction_matrix(comp, vocab), "row_id")
 
 
@@ -214,7 +214,7 @@ def _imputed(where=""):
 def _(spark, sf):
     df = settle(D.order_features(spark, sf), "features")
     med = {r["feature"]: r["quantile"] for r in H.medians(df, D.FEATURES).collect()}
-    return df.select("row_id", *[six(F.coalesce(F.col(f), F.lit(med[f]))).alias(f) for f in D.FEATURES])
+    return df.select("row_id", *[six(F.coalesce(H.number(f), F.lit(med[f]))).alias(f) for f in D.FEATURES])
 
 
 def _stat_rows(select):
@@ -292,7 +292,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = settle(D.order_features(spark, sf), "features")
-    labels = sorted(r[0] for r in df.select("fold").distinct().limit(1000).collect())
+    labels = sorted(r[0] for r in df.select("fold").distinct().collect())
     got = H.fit_folds(df, D.FEATURES, "target", "fold", labels, names=D.FEATURES)
     t = H.stats_table(spark, got).where("kept")
     return t.select("fold", "feature", *[six(F.col(c)).alias(c) for c in ("median", "mean", "scale")])

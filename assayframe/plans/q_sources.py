@@ -76,13 +76,11 @@ def _(spark, sf):
 
 
 def _lomo(spark, sf):
-    cat = settle(C.categories(D.composition(spark, sf), D.CATEGORY_BRANDS), "categories")
-    return S.expand_folds(S.leave_one_category_out(cat), "lomo")
+    return S.leave_one_category_out(settle(C.categories(D.composition(spark, sf), D.CATEGORY_BRANDS), "categories"))
 
 
 def _by_priority(spark, sf):
-    rows = D.order_rows(spark, sf).select("row_id", F.col("attribute").alias("fold"))
-    return S.expand_folds(rows, "priority")
+    return D.order_rows(spark, sf).select("row_id", F.col("attribute").alias("fold"))
 
 
 _LOMO = f"""{with_(COMP, CAT, "f AS (SELECT DISTINCT category AS fold FROM cat WHERE category NOT IN ('multi','Others'))")}"""
@@ -93,7 +91,7 @@ _LOMO = f"""{with_(COMP, CAT, "f AS (SELECT DISTINCT category AS fold FROM cat W
     _LOMO + "SELECT 'lomo' AS split, fold, CASE WHEN category=fold THEN 'test' ELSE 'train' END AS role, row_id FROM cat, f",
 )
 def _(spark, sf):
-    folds = _lomo(spark, sf).unionByName(_by_priority(spark, sf))
+    folds = S.expand_folds(_lomo(spark, sf), "lomo").unionByName(S.expand_folds(_by_priority(spark, sf), "priority"))
     path = A.write_folds(folds, new_table_path(spark, "folds"))
     return A.read_folds(spark, path, ["lomo"]).select("split", "fold", "role", "row_id")
 
@@ -107,8 +105,8 @@ def _(spark, sf):
     FROM (VALUES ('lomo'),('priority'),('feature_ood')) s(split) LEFT JOIN m ON m.split=s.split""",
 )
 def _(spark, sf):
-    folds = _lomo(spark, sf).unionByName(_by_priority(spark, sf))
-    return S.manifest(folds, ["lomo", "priority", "feature_ood"])
+    counts = S.fold_counts(_lomo(spark, sf), "lomo").unionByName(S.fold_counts(_by_priority(spark, sf), "priority"))
+    return S.listed(counts, ["lomo", "priority", "feature_ood"])
 
 
 PARTS = """q AS (SELECT count(*) AS n, ceil(0.15e0*count(*))::BIGINT AS nt FROM orders),
@@ -266,22 +264,23 @@ _MAN = with_(
     concat_ws(',', CASE WHEN n_test < t THEN 'test too small' END, CASE WHEN n_train < 200 THEN 'train too small' END) AS reason FROM m, lim""",
 )
 def _(spark, sf):
-    m = settle(S.manifest(_lomo(spark, sf)), "manifest")
+    m = settle(S.fold_counts(_lomo(spark, sf), "lomo"), "manifest")
     floor = int(m.agg(F.floor(F.avg("n_test"))).first()[0])
     return B.fold_eligibility(m, min_test=floor)
 
 
 @query("b10_fold_selection", _MAN + "SELECT split, fold, n_train, n_test FROM m WHERE fold IN ('Alpha','Delta')")
 def _(spark, sf):
-    return B.select_folds(S.manifest(_lomo(spark, sf)), ["lomo_Alpha", "lomo_Delta"])
+    return B.select_folds(S.fold_counts(_lomo(spark, sf), "lomo"), ["lomo_Alpha", "lomo_Delta"])
 
 
 # ---- K ---------------------------------------------------------------------------
 
-_LINE_ROW = """concat_ws('|', coalesce(floor(l_discount*1e6+0.5)::BIGINT::VARCHAR,'\\N'), coalesce(floor(l_extendedprice*1e6+0.5)::BIGINT::VARCHAR,'\\N'),
- coalesce(l_linenumber::VARCHAR,'\\N'), coalesce(l_linestatus,'\\N'), coalesce(l_orderkey::VARCHAR,'\\N'), coalesce(l_partkey::VARCHAR,'\\N'),
- coalesce(floor(l_quantity*1e6+0.5)::BIGINT::VARCHAR,'\\N'), coalesce(l_returnflag,'\\N'), coalesce(epoch_us(l_shipdate)::VARCHAR,'\\N'),
- coalesce(l_suppkey::VARCHAR,'\\N'), coalesce(floor(l_tax*1e6+0.5)::BIGINT::VARCHAR,'\\N'))"""
+_LINE_TEXTS = (
+    "l_discount::VARCHAR l_extendedprice::VARCHAR l_linenumber::VARCHAR l_linestatus l_orderkey::VARCHAR l_partkey::VARCHAR "
+    "l_quantity::VARCHAR l_returnflag epoch_us(l_shipdate)::VARCHAR l_suppkey::VARCHAR l_tax::VARCHAR"
+).split()
+_LINE_ROW = "concat_ws('|', " + ", ".join(f"coalesce(length({t})||':'||{t},'~')" for t in _LINE_TEXTS) + ")"
 _FP = "count(*)::BIGINT AS rows, sum(('0x'||substr(h,1,8))::BIGINT)::VARCHAR AS digest_sum, bit_xor(('0x'||substr(h,9,8))::BIGINT)::BIGINT AS digest_xor"
 
 
