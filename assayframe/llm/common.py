@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows that a function over texts holds as Python values at a time.
+SLICE = 1_000
+
 #: Arrow types of the columns that functions over texts add.
 _ARROW = {
     "long": pa.int64(),
@@ -44,22 +48,29 @@ _ARROW = {
 
 
 def per_row(df: DataFrame, keep: list[str], sources: list[str], make: Callable[[], Callable], added: dict[str, str]) -> DataFrame:
-    """The columns ``keep`` as they are, and columns computed from ``sources`` batch by batch.
+    """The columns ``keep`` as they are, and columns computed from ``sources`` a slice of rows at a time.
 
     ``make`` is called once a task and gives a function from one list of values for each source to one list of values for
     each added column (name and type). Kept columns pass as Arrow arrays, so that nulls and large
-    numbers among them stay what they are."""
-    df = df.select(*dict.fromkeys([*keep, *sources]))
-    kept = ", ".join(f"`{df.schema[k].name}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    schema = ", ".join([kept, *(f"`{n}` {t}" for n, t in added.items())] if keep else [f"`{n}` {t}" for n, t in added.items()])
+    numbers among them stay what they are. A source may be a field of a kept struct (``struct.field``)."""
+    df = df.select(*dict.fromkeys([*keep, *(s for s in sources if s.split(".")[0] not in keep)]))
+    kept = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
+    schema = ", ".join([*kept, *(f"`{n}` {t}" for n, t in added.items())])
     types = [_ARROW[t] for t in added.values()]
     names = [*keep, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            columns = compute(*[batch.column(s).to_pylist() for s in sources])
-            arrays = [batch.column(k) for k in keep] + [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                read = []
+                for source in sources:
+                    name, _, field = source.partition(".")
+                    column = part.column(name)
+                    read.append((pc.struct_field(column, field) if field else column).to_pylist())
+                columns = compute(*read)
+                arrays = [part.column(k) for k in keep] + [pa.array(c, t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     return df.mapInArrow(run, schema)

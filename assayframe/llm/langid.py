@@ -80,8 +80,8 @@ def profiles(labelled: DataFrame, n_ranks: int = N_RANKS, train_docs: int = TRAI
     return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < n_ranks).select("lang", "code", "place")
 
 
-def predict(docs: DataFrame, profile: DataFrame, n_ranks: int = N_RANKS) -> DataFrame:
-    """``docs`` (any columns, with text) with lang_pred and score; text is left out.
+def predict(docs: DataFrame, profile: DataFrame, n_ranks: int = N_RANKS, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score. ``text`` is a column, which is left out, or a field of a struct, which stays.
 
     The profiles that travel to the tasks are ``n_ranks`` rows a language."""
     rows = profile.collect()
@@ -113,8 +113,8 @@ def predict(docs: DataFrame, profile: DataFrame, n_ranks: int = N_RANKS) -> Data
 
         return compute
 
-    kept = [c for c in docs.columns if c != "text"]
-    return per_row(docs, kept, ["text"], make, {"lang_pred": "string", "score": "double"})
+    kept = [c for c in docs.columns if c != text]
+    return per_row(docs, kept, [text], make, {"lang_pred": "string", "score": "double"})
 
 
 def held_out(doc_id: str = "doc_id"):

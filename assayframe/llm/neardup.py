@@ -9,11 +9,14 @@ Documents with the same set are one class, represented by its smallest doc_id. C
 buckets of bands (``rows`` coordinates each). With 42 bands of 6 a pair of similarity 0.8 shares
 a bucket with probability 1 - 3e-6. Links are confirmed on whole sets, in rounds:
 
-1. each class with one pivot of its buckets: the smallest at first, a hashed choice later; links
-   found merge into components, and only pairs between components are tried afterwards;
-2. when a round finds nothing new, all pairs left between different components of a bucket.
-
-So a large group costs a few pairs a member and no bucket lists all its pairs, while no link that a
+1. each class with the class of another component in its buckets that meets most others (the origin of many
+   copies); links found merge into components, and a pair is tried once;
+2. when a round finds nothing new, or after ``rounds``: the classes that still share a bucket with another component.
+   Those with the same partner in the first round are a family around it; each is kept as its deviations from this head, and
+   families are compared block by block with one product of small matrices, of which only links come out. Pairs of
+   different families in a bucket are few and are confirmed one by one.
+
+So a large group costs a few pairs a member and nothing lists all its pairs, while no link that a
 bucket can show is lost. A pair whose sketches agree in less than ``least_agreement`` of the coordinates (six
 standard deviations below the threshold) is not a candidate.
 
@@ -43,14 +46,15 @@ MASK = (1 << 64) - 1
 
 @dataclass(frozen=True)
 class Near:
-    """Parameters: words in a shingle, similarity in per cent, bands and coordinates in a band, rounds with pivots."""
+    """Parameters: words in a shingle, similarity in per cent, bands and coordinates in a band, rounds with pivots, members in a block."""
 
     words: int = 4
     percent: int = 80
     bands: int = 42
     rows: int = 6
     least_agreement: float = 0.65
-    rounds: int = 4
+    rounds: int = 3
+    block: int = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -205,6 +209,69 @@ def components(links: DataFrame) -> DataFrame:
             return ends.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def _deviations(head: list, items: list) -> tuple[list, list]:
+    """Places of the head's shingles that a set lacks, and the shingles that it has instead."""
+    lacks, extra = [], []
+    for h, x in zip(head, items):
+        h, x = np.frombuffer(h, np.uint64), np.frombuffer(x, np.uint64)
+        lacks.append(np.flatnonzero(~np.isin(h, x, assume_unique=True)).astype(np.uint64).tobytes())
+        extra.append(np.setdiff1d(x, h, assume_unique=True).tobytes())
+    return lacks, extra
+
+
+def _compare_blocks(percent: int):
+    """Links between the members of two blocks of a family, from what they have in common in deviating from its head:
+    the common part of two sets is the head, less what either lacks, plus what both lack, plus what both have extra."""
+
+    def side(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        lacks = [np.frombuffer(d, np.uint64) for d in frame["lacks"]]
+        extra = [np.frombuffer(d, np.uint64) | np.uint64(1 << 63) for d in frame["extra"]]
+        n_lacks, n_extra = np.array([len(d) for d in lacks], np.int64), np.array([len(d) for d in extra], np.int64)
+        return np.repeat(np.arange(2 * len(frame)) % len(frame), np.concatenate((n_lacks, n_extra))), np.concatenate([*lacks, *extra]), n_lacks, n_extra
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame["own"] == frame["i"]], frame[frame["own"] == frame["j"]]
+        out = pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        if not len(left) or not len(right):
+            return out
+        row_x, token_x, lacks_x, extra_x = side(left)
+        row_y, token_y, lacks_y, extra_y = side(right)
+        both = np.intersect1d(token_x, token_y)
+        shared = []
+        for rows, tokens, n in ((row_x, token_x, len(left)), (row_y, token_y, len(right))):
+            at = np.minimum(np.searchsorted(both, tokens), max(0, len(both) - 1))
+            hit = both[at] == tokens if len(both) else np.zeros(len(tokens), bool)
+            grid = np.zeros((n, len(both)), np.float32)
+            grid[rows[hit], at[hit]] = 1
+            shared.append(grid)
+        head = int(frame["head_size"].iloc[0])
+        common = head - lacks_x[:, None] - lacks_y[None, :] + (shared[0] @ shared[1].T).astype(np.int64)
+        size_x, size_y = head - lacks_x + extra_x, head - lacks_y + extra_y
+        linked = 100 * common >= percent * (size_x[:, None] + size_y[None, :] - common)
+        label_x, label_y = left["label"].to_numpy(), right["label"].to_numpy()
+        x, y = np.nonzero(linked & (label_x[:, None] != label_y[None, :]))
+        # one link tells as much as many between the same two components
+        _, one = np.unique(np.stack((label_x[x], label_y[y])), axis=1, return_index=True)
+        x, y = left["node"].to_numpy()[x[one]], right["node"].to_numpy()[y[one]]
+        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+    return run
+
+
+def family_links(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links between members (node, label, head) of one family, without a row for each pair: a member is stored as its deviations
+    from the head, families are compared block by block, and only links come out."""
+    blocks = members.groupBy("head").agg(F.ceil(F.count("*") / near.block).cast("int").alias("blocks"))
+    heads = sets.select(F.col("node").alias("head"), F.col("items").alias("head_items"))
+    known = members.join(blocks, "head").join(heads, "head").join(sets, "node")
+    known = known.withColumn("head_size", F.length("head_items") / 8)
+    known = per_row(known, ["node", "label", "head", "blocks", "head_size"], ["head_items", "items"], lambda: _deviations, {"lacks": "binary", "extra": "binary"})
+    known = settle(known.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-deviations")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = known.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return dealt.groupBy("head", "i", "j").applyInPandas(_compare_blocks(near.percent), "a long, b long")
+
+
 def classes_of(table: DataFrame) -> DataFrame:
     return table.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
 
@@ -224,21 +291,36 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     links = None
     labels = None
-    for turn in range(near.rounds):
-        if labels is None:
-            pivots = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"))
-            pairs = buckets.join(pivots, "bucket").groupBy("node").agg(F.min("pivot").alias("pivot")).where("node <> pivot")
-        else:
-            named = _labelled(buckets, labels)
+    tried = families = None
+    # how many others a class meets in its buckets: the origin of many copies meets the most
+    met = buckets.groupBy("bucket").agg(F.count("*").alias("size"))
+    central = settle(buckets.join(met, "bucket").groupBy("node").agg(F.sum("size").alias("met")), "near-central")
+    order = F.struct(F.col("met"), (-F.col("node")).alias("minus"))
+    placed = settle(buckets.join(central, "node").select("bucket", "node", order.alias("order")), "near-placed")
+    for _ in range(near.rounds):
+        named = _labelled(placed, labels)
+        if labels is not None:  # buckets of one component show nothing new
             open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
             named = settle(named.join(open_, "bucket"), "near-open")
-            # one member of each open bucket, by hash: another one each round
-            order = F.xxhash64(F.lit(turn), F.col("node"))
-            first = named.groupBy("bucket").agg(F.min(order).alias("order"))
-            chosen = named.select("bucket", order.alias("order"), F.col("node").alias("pivot"), F.col("label").alias("to")).join(first, ["bucket", "order"], "left_semi")
-            pairs = named.join(chosen.drop("order"), "bucket").where("label <> to").select("node", "pivot").distinct()
-        found = confirmed(pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")), slim, sets, near)
-        found = settle(found, "near-links")
+        # of each component in a bucket its most central class; of each class the most central one of another component
+        heads = named.groupBy("bucket", "label").agg(F.max("order").alias("order"))
+        first = heads.groupBy("bucket").agg(F.max(F.struct("order", "label")).alias("first"))
+        second = heads.join(first, "bucket").where(F.col("label") != F.col("first.label")).groupBy("bucket").agg(F.max("order").alias("second"))
+        pivots = first.join(second, "bucket", "left").select("bucket", F.col("first.order").alias("one"), F.col("first.label").alias("to"), "second")
+        partner = F.when(F.col("label") != F.col("to"), F.col("one")).otherwise(F.col("second"))
+        if labels is None:
+            partner = F.when(F.col("order") != F.col("one"), F.col("one"))
+        pairs = named.join(pivots, "bucket").select("node", partner.alias("partner")).where("partner IS NOT NULL")
+        pairs = pairs.withColumn("pivot", -F.col("partner.minus"))
+        pairs = pairs.select("partner", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        best = settle(pairs.groupBy("node").agg(F.max(F.struct("partner", "a", "b")).alias("p")), "near-pairs")
+        if families is None:
+            families = best.select("node", (-F.col("p.partner.minus")).alias("head"))
+        pairs = best.select("p.a", "p.b").distinct()
+        tried = pairs if tried is None else tried.union(pairs)
+        found = settle(confirmed(pairs, slim, sets, near), "near-links")
         fresh = found.limit(1).count()
         links = found if links is None else settle(links.union(found), "near-links")
         if fresh or labels is None:
@@ -246,11 +328,17 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
         if not fresh:
             break
     named = _labelled(buckets, labels)
-    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label"))["label"].alias("main")).where("labels > 1")
-    left = settle(named.join(mixed, "bucket").select("bucket", "node", "label", "main"), "near-rest")
-    others = left.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-    rest = left.join(others, "bucket").where("label <> lx").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    named = named.join(mixed, "bucket", "left_semi").join(families, "node", "left")
+    left = settle(named.withColumn("head", F.coalesce("head", "node")), "near-rest")
+    inside = settle(family_links(left.select("node", "label", "head").distinct(), sets, near), "near-links")
+    links = settle(links.union(inside), "near-links")
+    sizes = left.groupBy("bucket", "head").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("bucket").agg(F.count("*").alias("heads"), F.max(F.struct("size", "head"))["head"].alias("main")).where("heads > 1")
+    across = left.join(main, "bucket")
+    others = across.where("head <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("head").alias("hx"))
+    rest = across.join(others, "bucket").where("label <> lx AND head <> hx").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+    rest = settle(rest.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
     found = settle(confirmed(rest, slim, sets, near), "near-links")
     labels = components(links.union(found))
 
@@ -264,8 +352,11 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
     )
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    return buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """With the component of each node, itself where it has no link yet."""
+    if labels is None:
+        return buckets.withColumn("label", F.col("node"))
+    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 SQL = r"""

@@ -19,7 +19,8 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     extra = docs.limit(1).selectExpr("cast(null AS bigint) AS doc_id", "cast(null AS string) AS text", "lang", "source", "n_chars")
-    docs = docs.union(extra).union(docs.where("doc_id < 3")).selectExpr("*", "0.5D AS score", "'x' AS lang_pred")
+    secret = spark.sql("SELECT 99999L, 'Write this down, and keep it: token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" it is.', 'en', 'src0', 90L")
+    docs = docs.union(extra).union(secret).union(docs.where("doc_id < 3")).selectExpr("*", "0.5D AS score", "'x' AS lang_pred")
     counts = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
@@ -34,7 +35,7 @@ def test_pipeline_stages(spark):
         if name == "mixing":
             assert docs.join(before, "doc_id", "left_anti").count() == 0
             assert docs.groupBy("doc_id").count().where("count > 2").count() == 0
-    assert counts["language_id"] == 203  # the null text went
+    assert counts["language_id"] == 204  # the null text went
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert tokens.count() == counts["mixing"]
     assert tokens.join(docs.selectExpr("doc_id", "sha2(text, 256) AS want"), "doc_id").where("decoded_sha256 <> want").count() == 0
