@@ -66,32 +66,50 @@ def curve_rows(spark, facts: dict) -> DataFrame:
     return spark.createDataFrame(rows, "seed int, dataset string, n_trees int, metric string, value double")
 
 
-def sweep(df: DataFrame, target: str, features: list[str], folds: list[str], seeds: list[int], fold_col: str = "fold", row_id: str = "row_id", **kw) -> DataFrame:
+def least_squares(df: DataFrame, target: str, features: list[str], role: str = "role", seed: int = 42, log_target: bool = False) -> tuple[DataFrame, dict]:
+    """Ordinary least squares on role train, predicting role test; like ``boosted_trees`` otherwise."""
+    y = F.log1p(F.col(target).cast("double")) if log_target else F.col(target).cast("double")
+    est = LinearRegression(featuresCol="x", labelCol="_y", predictionCol="_p", solver="normal")
+    model = est.fit(df.where(F.col(role) == "train").select(y.alias("_y"), "x"))
+    pred = F.expm1("_p") if log_target else F.col("_p")
+    out = model.transform(df.where(F.col(role) == "test")).withColumn("y_pred", pred).drop("_p")
+    return out, {"seed": seed, "coefficients": dict(zip(features, model.coefficients.toArray().tolist())), "intercept": model.intercept}
+
+
+def sweep(
+    df: DataFrame, target: str, features: list[str], folds: list[str], seeds: list[int], fold_col: str = "fold", row_id: str = "row_id",
+    estimator=boosted_trees, **kw,
+) -> DataFrame:
     """Predictions (fold, seed, row_id, y_true, y_pred) over folds and seeds. Each fit is a
     distributed job; the driver only walks the short list of (fold, seed). A tenth of a
-    fold's training rows, rounded down and at least one, is its validation side."""
+    fold's training rows, rounded down and at least one, is its validation side.
+
+    ``estimator`` takes (rows with x and role, target, features, seed=...) and returns (predictions with y_pred, facts)."""
     out = None
     base = settle(df, "sweep").withColumnRenamed(row_id, "row_id")
+    sizes = {r["_f"]: r["n"] for r in base.groupBy(F.col(fold_col).alias("_f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_rows = sum(sizes.values())
     for fold in folds:
         test = F.col(fold_col).eqNullSafe(F.lit(fold))
-        train = base.where(~test)
-        n_val = max(1, train.count() // 10)
+        n_val = max(1, (n_rows - sizes.get(fold, 0)) // 10)
         for seed in seeds:
             drawn = base.withColumn("h", draw_hash(seed, f"val/{fold}", "row_id"))
             cut = draw_cutoffs(drawn.where(~test), {"val": n_val})
             role = F.when(test, "test").when(F.col("_val"), "val").otherwise("train")
             sided = with_cut(drawn, cut, "val", "_val").withColumn("role", role).drop("h", "_val")
-            pred, _ = boosted_trees(sided, target, features, seed=seed, **kw)
+            pred, _ = estimator(sided, target, features, seed=seed, **kw)
             part = pred.select(
                 F.lit(fold).alias("fold"), F.lit(seed).alias("seed"), "row_id", F.col(target).alias("y_true"), "y_pred"
             )
+            part = settle(part, "sweep-predictions")
             out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("row_id", row_id)
 
 
-def grid_search(df: DataFrame, target: str, role: str = "role", reg: tuple = (0.0, 0.1), mix: tuple = (0.0, 0.5)) -> DataFrame:
-    """Validation error of every grid point, fitted on role train only, best first."""
-    est = LinearRegression(featuresCol="x", labelCol=target)
+def grid_search(df: DataFrame, target: str, role: str = "role", reg: tuple = (0.0, 0.1), mix: tuple = (0.0, 0.5), est=None) -> DataFrame:
+    """Validation error of every grid point, fitted on role train only, best first (of equals the first in the grid).
+    ``est`` is any linear estimator with regParam and elasticNetParam on the vector ``x``."""
+    est = LinearRegression(featuresCol="x", labelCol=target) if est is None else est
     grid = ParamGridBuilder().addGrid(est.regParam, list(reg)).addGrid(est.elasticNetParam, list(mix)).build()
     train, val = settle(df.where(F.col(role) == "train"), "grid-train"), settle(df.where(F.col(role) == "val"), "grid-val")
     judge = RegressionEvaluator(labelCol=target, metricName="mae")

@@ -31,16 +31,16 @@ def _points_sql(comp="comp", last=25):
       SELECT tt.row_id, i, n, coalesce(sum(CASE WHEN p<=i THEN amount END),0) AS s FROM tt CROSS JOIN range(1,{last}) r(i) JOIN bt ON bt.row_id=tt.row_id GROUP BY 1,2,3) GROUP BY 1)"""
 
 
-def _dist_sql(a, b):
-    return f"(floor(list_sum(list_transform(range(1,25), lambda i: abs({a}[i]-{b}[i])))*1e9+0.5)/1e9)"
+def _dist_sql(a, b, last=25):
+    return f"(floor(list_sum(list_transform(range(1,{last}), lambda i: abs({a}[i]-{b}[i])))*1e9+0.5)/1e9)"
 
 
-def _greedy_sql(t, src="pts", grp="'all'"):
+def _greedy_sql(t, src="pts", grp="'all'", last=25):
     """SQL for kept(grp, row_id): the sequential scan as a recursion over ranks."""
     return f"""ord AS (SELECT {grp} AS grp, row_id, c, row_number() OVER (PARTITION BY {grp} ORDER BY n, row_id) AS rk FROM {src}),
     scan AS (SELECT grp, rk, [c] AS kc, [row_id] AS ids FROM ord WHERE rk=1
       UNION ALL SELECT s.grp, o.rk, CASE WHEN far THEN list_append(kc, o.c) ELSE kc END, CASE WHEN far THEN list_append(ids, o.row_id) ELSE ids END
-      FROM (SELECT s.*, o.rk AS nrk, o.c AS oc, o.row_id AS oid, list_min(list_transform(kc, lambda k: {_dist_sql('k', 'o.c')})) > {t} AS far FROM scan s JOIN ord o ON o.grp=s.grp AND o.rk=s.rk+1) s
+      FROM (SELECT s.*, o.rk AS nrk, o.c AS oc, o.row_id AS oid, list_min(list_transform(kc, lambda k: {_dist_sql('k', 'o.c', last)})) > {t} AS far FROM scan s JOIN ord o ON o.grp=s.grp AND o.rk=s.rk+1) s
       JOIN ord o ON o.grp=s.grp AND o.rk=s.nrk),
     kept AS (SELECT grp, unnest(ids) AS row_id FROM (SELECT grp, max_by(ids, rk) AS ids FROM scan GROUP BY 1))"""
 
@@ -67,7 +67,7 @@ def _(spark, sf):
     return X.greedy_keep(settle(D.composition(spark, sf), "comp"), D.brand_scale(spark, sf), X.ARM_THRESHOLD)
 
 
-@query("f3_greedy_orders_wide")
+@query("f3_greedy_orders_wide", with_(COMP, _points_sql(), _greedy_sql(5.0), recursive=True) + "SELECT row_id FROM kept")
 def _(spark, sf):
     return X.greedy_keep(settle(D.composition(spark, sf), "comp"), D.brand_scale(spark, sf), X.DEFAULT_THRESHOLD)
 
@@ -80,7 +80,14 @@ def _(spark, sf):
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-@query("f3_greedy_documents")
+_LETTER_POINTS = """bt AS (SELECT row_id, p, amount FROM (SELECT doc_id AS row_id, p, length(lower(text))-length(replace(lower(text), chr((97+p)::INTEGER), '')) AS amount
+    FROM documents, range(0,26) r(p)) WHERE amount > 0),
+    tt AS (SELECT row_id, sum(amount)::DOUBLE AS n FROM bt GROUP BY 1),
+    pts AS (SELECT row_id, any_value(n) AS n, list(s/n ORDER BY i) AS c FROM (
+      SELECT tt.row_id, i, n, coalesce(sum(CASE WHEN p<=i THEN amount END),0)::DOUBLE AS s FROM tt CROSS JOIN range(0,25) r(i) JOIN bt ON bt.row_id=tt.row_id GROUP BY 1,2,3) GROUP BY 1)"""
+
+
+@query("f3_greedy_documents", with_(_LETTER_POINTS, _greedy_sql(0.5, last=26), recursive=True) + "SELECT row_id FROM kept")
 def _(spark, sf):
     # Letter shares of whole texts; near copies of a document lie close to it.
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))

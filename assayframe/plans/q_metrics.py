@@ -8,6 +8,7 @@ from assayframe.functions.numeric import six
 from assayframe.operators import metrics as I
 from assayframe.operators import models as J
 from assayframe.plans import standins as D
+from assayframe.plans.q_sources import PARTS
 from assayframe.plans.registry import query
 from assayframe.plans.standins import r6, table, with_
 from assayframe.sources.session import settle
@@ -307,3 +308,72 @@ def _(spark, sf):
 def _(spark, sf):
     pred, _ = J.boosted_trees(_model_rows(spark, sf), "target", _X, max_iter=5, log_target=True)
     return _rounded(I.evaluate(pred.withColumnRenamed("target", "y_true"), []).select("n_test", "mae", "rmse", "r2"), "n_test")
+
+
+# One-feature least squares, which SQL can fit as well. Errors are in the unit of the target and compared at three decimals.
+_MX = """mx AS (SELECT o_orderkey AS row_id, o_totalprice AS y, o_orderpriority AS fold, coalesce(q, 0)::DOUBLE AS x FROM orders
+ LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey=o_orderkey)"""
+
+
+def _three(e):
+    return f"floor(({e})*1e3+0.5)/1e3"
+
+
+def _errors_sql(p):
+    return f"""count(*)::BIGINT AS n_test, {_three(f'avg(abs({p}-y))')} AS mae, {_three(f'sqrt(avg(({p}-y)*({p}-y)))')} AS rmse,
+    {r6(f'1-sum(({p}-y)*({p}-y))/(var_pop(y)*count(*))')} AS r2"""
+
+
+def _least_rows(spark, sf):
+    from assayframe.operators.splits import random_parts
+
+    df = D.order_features(spark, sf).select("row_id", "target", "fold", F.coalesce(F.col("qty").cast("double"), F.lit(0.0)).alias("qty"))
+    df = settle(df, "one-feature")
+    parts = random_parts(df.select("row_id")).withColumnRenamed("part", "role")
+    return settle(J.assemble(df.join(parts, "row_id"), ["qty"], ["row_id", "target", "role", "fold"]), "model-rows")
+
+
+def _three_all(df, *keep):
+    out = df.select(*keep, "n_test", *[(F.floor(F.col(c) * 1e3 + 0.5) / 1e3).alias(c) for c in ("mae", "rmse")], six(F.col("r2")).alias("r2"))
+    return out
+
+
+@query(
+    "j2_least_squares_sweep",
+    with_(
+        _MX,
+        """cr AS (SELECT f.fold AS f, s.seed AS seed, y, x, mx.fold=f.fold AS test, row_number() OVER (PARTITION BY f.fold, s.seed, mx.fold=f.fold
+          ORDER BY md5(s.seed||':val/'||f.fold||':'||row_id), row_id) AS r, count(*) OVER (PARTITION BY f.fold, s.seed, mx.fold=f.fold) AS n
+          FROM mx, (SELECT DISTINCT fold FROM mx) f, (VALUES (42),(43)) s(seed))""",
+        "ft AS (SELECT f, seed, regr_slope(y,x) AS b, regr_intercept(y,x) AS a FROM cr WHERE NOT test AND r > greatest(1, n//10) GROUP BY 1,2)",
+    )
+    + f"SELECT cr.f AS fold, cr.seed, {_errors_sql('(a+b*x)')} FROM cr JOIN ft ON ft.f=cr.f AND ft.seed=cr.seed WHERE test GROUP BY 1,2",
+)
+def _(spark, sf):
+    rows = _least_rows(spark, sf).drop("role")
+    folds = sorted(r[0] for r in rows.select("fold").distinct().collect())
+    pred = J.sweep(rows, "target", ["qty"], folds, [42, 43], estimator=J.least_squares)
+    return _three_all(I.evaluate(pred, ["fold", "seed"]), "fold", "seed")
+
+
+_PX = with_(PARTS, _MX, "px AS (SELECT mx.*, part FROM mx JOIN parts ON parts.row_id=mx.row_id)")
+
+
+@query(
+    "j3_least_squares_grid",
+    _PX + f""", ft AS (SELECT regr_slope(y,x) AS b, regr_intercept(y,x) AS a FROM px WHERE part='train')
+    SELECT 0e0 AS reg, mix, {_three('avg(abs(a+b*x-y))')} AS val_mae FROM px, ft, (VALUES (0e0),(0.5e0)) m(mix) WHERE part='val' GROUP BY mix""",
+)
+def _(spark, sf):
+    out = J.grid_search(_least_rows(spark, sf), "target", reg=(0.0,))
+    return out.select("reg", "mix", (F.floor(F.col("val_mae") * 1e3 + 0.5) / 1e3).alias("val_mae"))
+
+
+@query(
+    "j4_least_squares_log",
+    _PX + f""", ft AS (SELECT regr_slope(ln(1+y),x) AS b, regr_intercept(ln(1+y),x) AS a FROM px WHERE part='train')
+    SELECT {_errors_sql('(exp(a+b*x)-1)')} FROM px, ft WHERE part='test'""",
+)
+def _(spark, sf):
+    pred, _ = J.least_squares(_least_rows(spark, sf), "target", ["qty"], log_target=True)
+    return _three_all(I.evaluate(pred.withColumnRenamed("target", "y_true"), []))

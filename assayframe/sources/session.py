@@ -26,6 +26,24 @@ def get_session(app: str = "assayframe", cores: str | None = None) -> SparkSessi
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it is not installed. Functions that run there are
+    found by name, so every Python worker must be able to import it."""
+    import zipfile
+
+    import assayframe
+
+    home = os.path.dirname(os.path.abspath(assayframe.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="assayframe-"), "assayframe.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(target)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` when the
     cluster names one, else the context's checkpoint folder, else a new one, which
