@@ -41,36 +41,39 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)])
+        self.first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+        self.pairs: dict[int, int] = {}  # looked up before: left << 32 | right
 
-    def _merged(self, pair: tuple[int, int]) -> int:
+    def _merged(self, pair: int) -> int:
         """Rank of the token that the pair makes, -1 if there is none."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
-        found = self.pairs[pair] = self.ranks.get(self.token[pair[0]] + self.token[pair[1]], -1)
+        found = self.pairs[pair] = self.ranks.get(self.token[pair >> 32] + self.token[pair & 0xFFFFFFFF], -1)
         return found
 
     def __call__(self, words: list[bytes]) -> list[tuple[int, ...]]:
         out: list = [(self.ranks[w],) if w in self.ranks else None for w in words]
         open_ = [i for i, w in enumerate(words) if out[i] is None and w]
-        pairs, merged, byte = self.pairs, self._merged, self.byte
+        if not open_:
+            return [() if o is None else o for o in out]
+        pairs, merged = self.pairs, self._merged
         # one list for all words, -1 between them
-        tokens, heads, word_of = [-1], [], [-1]
-        index: dict[int, list[int]] = {}
-        for i in open_:
-            start = len(tokens)
-            heads.append(start)
-            tokens.extend([byte[b] for b in words[i]])
-            tokens.append(-1)
-            word_of.extend([i] * (len(words[i]) + 1))
-            for p in range(start, len(tokens) - 2):
-                pair = (tokens[p], tokens[p + 1])
-                rank = pairs.get(pair)
-                if rank is None:
-                    rank = merged(pair)
-                if rank >= 0:
-                    index.setdefault(rank, []).append(p)
+        sizes = np.array([len(words[i]) for i in open_])
+        data = np.frombuffer(b"".join([words[i] for i in open_]), np.uint8)
+        owner = np.repeat(np.arange(len(open_)), sizes)
+        at = np.arange(len(data)) + owner + 1
+        flat = np.full(len(data) + len(open_) + 1, -1, np.int64)
+        flat[at] = self.byte[data]
+        tokens, heads = flat.tolist(), (np.cumsum(sizes + 1) - sizes).tolist()
+        word_of = np.concatenate(([-1], np.repeat(np.arange(len(open_)), sizes + 1))).tolist()
+        # the index of all pairs of bytes, by rank
+        ranks = np.where(owner[1:] == owner[:-1], self.first[data[:-1], data[1:]], -1)
+        able = np.flatnonzero(ranks >= 0)
+        able = able[np.argsort(ranks[able], kind="stable")]
+        cuts = np.flatnonzero(np.diff(ranks[able], prepend=-1))
+        found = [] if not len(able) else np.split(at[able], cuts[1:])
+        index: dict[int, list[int]] = {int(ranks[able[c]]): f.tolist() for c, f in zip(cuts, found)}
         after = list(range(1, len(tokens) + 1))
         before = list(range(-1, len(tokens) - 1))
         heap = list(index)
@@ -88,7 +91,7 @@ class MergeReplay:
                     continue
                 left = tokens[p]
                 q = after[p]
-                if left < 0 or tokens[q] < 0 or pairs.get((left, tokens[q])) != rank and merged((left, tokens[q])) != rank:
+                if left < 0 or tokens[q] < 0 or pairs.get(left << 32 | tokens[q]) != rank and merged(left << 32 | tokens[q]) != rank:
                     continue  # a neighbour has taken part in another merge since
                 r = after[q]
                 tokens[p], tokens[q] = rank, -2
@@ -96,7 +99,7 @@ class MergeReplay:
                 for a, b in ((before[p], p), (p, r)):
                     if tokens[a] < 0 or tokens[b] < 0:
                         continue
-                    pair = (tokens[a], tokens[b])
+                    pair = tokens[a] << 32 | tokens[b]
                     new = pairs.get(pair)
                     if new is None:
                         new = merged(pair)
@@ -123,7 +126,7 @@ class MergeReplay:
 class Encoder:
     """Texts to ids; keeps the ids of words and segments it has met, in tables emptied when full."""
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000):
+    def __init__(self, path: str, pattern: str, most: int = 200_000):
         self.ranks = load_ranks(path)
         self.replay = MergeReplay(self.ranks)
         self.find = regex.compile(pattern).findall
@@ -150,52 +153,50 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, pattern: str) -> Encoder:
-    """One a Python worker: its tables serve all tasks of the worker."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32)."""
 
-    def compute(texts: list) -> tuple[list, list]:
-        coder = encoder(path, pattern)
-        n, ids = [], []
-        for part in chunks([t or "" for t in texts]):
-            for found in coder.encode(part):
-                n.append(len(found))
-                ids.append(np.array(found, "<u4").tobytes())
-        return n, ids
+    def make():
+        coder = Encoder(path, pattern)
 
-    return per_row(docs, ["doc_id"], ["text"], lambda: compute, {"n_tokens": "long", "ids": "binary"})
+        def compute(texts: list) -> tuple[list, list]:
+            n, ids = [], []
+            for part in chunks([t or "" for t in texts]):
+                for found in coder.encode(part):
+                    n.append(len(found))
+                    ids.append(np.array(found, "<u4").tobytes())
+            return n, ids
+
+        return compute
+
+    return per_row(docs, ["doc_id"], ["text"], make, {"n_tokens": "long", "ids": "binary"})
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, decoded (bytes)."""
 
-    def compute(ids: list) -> tuple[list]:
-        coder = encoder(path, pattern)
-        return ([coder.decode(np.frombuffer(i, "<u4").tolist()) for i in ids],)
+    def make():
+        coder = Encoder(path, pattern)
+        return lambda ids: ([coder.decode(np.frombuffer(i, "<u4").tolist()) for i in ids],)
 
-    return per_row(encoded, ["doc_id", "n_tokens"], ["ids"], lambda: compute, {"decoded": "binary"})
+    return per_row(encoded, ["doc_id", "n_tokens"], ["ids"], make, {"decoded": "binary"})
 
 
 def digest(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Hashes of the ids, written in decimal, and of the bytes decoded from them."""
 
-    def compute(every: list) -> tuple[list, list]:
-        coder = encoder(path, pattern)
-        plain, back = [], []
-        for raw in every:
-            ids = np.frombuffer(raw, "<u4").tolist()
-            plain.append(hashlib.sha256(",".join(map(coder.text_of.__getitem__, ids)).encode()).hexdigest())
-            back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-        return plain, back
+    def make():
+        coder = Encoder(path, pattern)
+
+        def compute(every: list) -> tuple[list, list]:
+            plain, back = [], []
+            for raw in every:
+                ids = np.frombuffer(raw, "<u4").tolist()
+                plain.append(hashlib.sha256(",".join(map(coder.text_of.__getitem__, ids)).encode()).hexdigest())
+                back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+            return plain, back
+
+        return compute
 
     keep = ["doc_id", "n_tokens", *["ids"] * keep_ids]
-    return per_row(encoded, keep, ["ids"], lambda: compute, {"ids_sha256": "string", "decoded_sha256": "string"})
+    return per_row(encoded, keep, ["ids"], make, {"ids_sha256": "string", "decoded_sha256": "string"})

@@ -148,40 +148,33 @@ def byte_letters() -> list[str]:
     return [chr(b) if seen[b] else chr(256 + seen[:b].count(False)) for b in range(256)]
 
 
-def _encoder(path: str, end_id: int, kind: str) -> SegmentCache:
-    """One a Python worker: its cache serves all tasks of the worker."""
-    key = (path, end_id, kind)
-    if key not in _ENCODERS:
-        tokenizer = _tokenizer(path)
-
-        word, letters = tokenizer.model.tokenize, byte_letters()
-        space = letters[32]
-
-        def encode(segments: list[str]) -> list[bytes]:
-            # one word of letters is one match of the pattern: it needs the library's merges only
-            found: list = [None] * len(segments)
-            rest = []
-            for i, s in enumerate(segments):
-                bare = s[1:]
-                if s[:1] != " " or not bare.isalpha():
-                    rest.append(i)
-                elif bare.isascii():
-                    found[i] = [t.id for t in word(space + bare)]
-                elif max(bare) < "\u0250":
-                    found[i] = [t.id for t in word(space + "".join([letters[b] for b in bare.encode()]))]
-                else:
-                    rest.append(i)
-            for i, e in zip(rest, tokenizer.encode_batch_fast([segments[i] for i in rest], add_special_tokens=False)):
-                found[i] = e.ids
-            flat = np.fromiter(chain.from_iterable(found), kind).tobytes()
-            ends = np.cumsum([len(ids) for ids in found], dtype=np.int64) * np.dtype(kind).itemsize
-            return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-        _ENCODERS[key] = SegmentCache(encode)
-    return _ENCODERS[key]
-
-
-_ENCODERS: dict[tuple, SegmentCache] = {}
+def _encoder(path: str, kind: str) -> SegmentCache:
+    tokenizer = _tokenizer(path)
+
+    word, letters = tokenizer.model.tokenize, byte_letters()
+    space = letters[32]
+
+    def encode(segments: list[str]) -> list[bytes]:
+        # one word of letters is one match of the pattern: it needs the library's merges only
+        found: list = [None] * len(segments)
+        rest = []
+        for i, s in enumerate(segments):
+            bare = s[1:]
+            if s[:1] != " " or not bare.isalpha():
+                rest.append(i)
+            elif bare.isascii():
+                found[i] = [t.id for t in word(space + bare)]
+            elif max(bare) < "\u0250":
+                found[i] = [t.id for t in word(space + "".join([letters[b] for b in bare.encode()]))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, tokenizer.encode_batch_fast([segments[i] for i in rest], add_special_tokens=False)):
+            found[i] = e.ids
+        flat = np.fromiter(chain.from_iterable(found), kind).tobytes()
+        ends = np.cumsum([len(ids) for ids in found], dtype=np.int64) * np.dtype(kind).itemsize
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    return SegmentCache(encode)
 
 
 def id_kind(fmt: Format) -> str:
@@ -194,7 +187,7 @@ def tokenized(docs: DataFrame, fmt: Format, kind: str, bounds: list[int]) -> Dat
     path, end = fmt.tokenizer, np.array([fmt.end_id], kind).tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path, fmt.end_id, kind)
+        encode = _encoder(path, kind)
         for frame in frames:
             ids = []
             for texts in chunks([t or "" for t in frame["text"]]):
