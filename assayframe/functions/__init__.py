@@ -1,7 +0,0 @@
-from assayframe.functions.numeric import (  # noqa: F401
-    finite,
-    ratio,
-    safe_corr,
-    six,
-)
-from assayframe.functions.draws import draw_hash  # noqa: F401

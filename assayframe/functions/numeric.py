@@ -12,24 +12,11 @@ def six(c: Column) -> Column:
     return F.floor(c * 1e6 + 0.5).cast("double") / 1e6
 
 
-def finite(c: Column) -> Column:
-    """NULL for NaN and the infinities, the value otherwise."""
-    c = c.cast("double")
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b, NULL where b is zero or NULL."""
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson r over rows where both sides are present; NULL when either is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def r_squared(n: Column, sse: Column, sst: Column) -> Column:
     """1 - SSE/SST; a constant target scores 1 when predicted exactly and 0
     otherwise; NULL below two rows."""

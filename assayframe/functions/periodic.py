@@ -8,23 +8,6 @@ SYMBOLS = (
     "Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
 ).split()
 
-# Static dipole polarizabilities in atomic units (Schwerdtfeger & Nagle 2019
-# recommended values as the physics tier uses them; unverified, pass your own table to replace them).
-POLARIZABILITY_AU = {
-    "H": 4.51, "He": 1.38, "Li": 164.1, "Be": 37.7, "B": 20.5, "C": 11.3, "N": 7.4, "O": 5.3,
-    "F": 3.74, "Ne": 2.66, "Na": 162.7, "Mg": 71.2, "Al": 57.8, "Si": 37.3, "P": 25.0, "S": 19.4,
-    "Cl": 14.6, "Ar": 11.08, "K": 289.7, "Ca": 160.8, "Sc": 97.0, "Ti": 100.0, "V": 87.0, "Cr": 83.0,
-    "Mn": 68.0, "Fe": 62.0, "Co": 55.0, "Ni": 49.0, "Cu": 46.5, "Zn": 38.7, "Ga": 50.0, "Ge": 40.0,
-    "As": 30.0, "Se": 28.9, "Br": 21.0, "Kr": 16.78, "Rb": 319.8, "Sr": 197.2, "Y": 162.0, "Zr": 112.0,
-    "Nb": 98.0, "Mo": 87.0, "Tc": 79.0, "Ru": 72.0, "Rh": 66.0, "Pd": 26.1, "Ag": 55.0, "Cd": 46.0,
-    "In": 65.0, "Sn": 53.0, "Sb": 43.0, "Te": 38.0, "I": 32.9, "Xe": 27.32, "Cs": 400.9, "Ba": 272.0,
-    "La": 215.0, "Ce": 205.0, "Pr": 216.0, "Nd": 208.0, "Pm": 200.0, "Sm": 192.0, "Eu": 184.0, "Gd": 158.0,
-    "Tb": 170.0, "Dy": 163.0, "Ho": 156.0, "Er": 150.0, "Tm": 144.0, "Yb": 139.0, "Lu": 137.0, "Hf": 103.0,
-    "Ta": 74.0, "W": 68.0, "Re": 62.0, "Os": 57.0, "Ir": 54.0, "Pt": 48.0, "Au": 36.0, "Hg": 33.9,
-    "Tl": 50.0, "Pb": 47.0, "Bi": 48.0, "Th": 217.0, "U": 129.0,
-}
-
-
 def atomic_number(symbol: str) -> int:
     return SYMBOLS.index(symbol) + 1
 
@@ -33,9 +16,3 @@ def is_f_block(symbol: str) -> bool:
     """Lanthanoids are 57 to 71, actinoids 89 to 103."""
     z = atomic_number(symbol)
     return 57 <= z <= 71 or 89 <= z <= 103
-
-
-def element_table(spark):
-    """(element, z, f_flag, polarizability) for the 118 symbols."""
-    rows = [(s, float(atomic_number(s)), float(is_f_block(s)), POLARIZABILITY_AU.get(s)) for s in SYMBOLS]
-    return spark.createDataFrame(rows, "element string, z double, f_flag double, polarizability double")

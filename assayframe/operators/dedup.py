@@ -307,7 +307,7 @@ def greedy_keep(
         hits = _near(chosen, rest, grid, hot, n).select("grp", "rank").distinct()
         open_ = settle(rest.join(hits, ["grp", "rank"], "left_anti"), "open")
         # Candidates that seldom are edges mean sparse points: dare a longer prefix.
-        patience = patience * 4 if n_edges < n else patience
+        patience = min(64, patience * 4) if n_edges < n else patience
 
     out = parts[0] if parts else items.select("grp", "rank").limit(0)
     for p in parts[1:]:

@@ -245,14 +245,45 @@ def _(spark, sf):
     return H.stats_table(spark, {"all": got}).where("reason = 'correlated'").select("feature", "reason")
 
 
+# Three copies of one column, one of them protected, a near copy, and two others.
+_PRUNED = ["qty", "twice", "O", "near_qty", "n_lines", "top_price"]
+
+
+@query(
+    "h3_pruning_scan",
+    with_(
+        _FEAT.replace("max(CASE WHEN l_returnflag='A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS O", "sum(l_quantity)*3 AS O, sum(l_quantity)+count(*)*0.5e0 AS near_qty").replace("flat, O, Fe", "flat, O, near_qty"),
+        "imp AS (SELECT target, " + ", ".join(f"coalesce({f}, (SELECT median({f}) FROM feat))::DOUBLE AS {f}" for f in _PRUNED) + " FROM feat)",
+        "cr AS (" + " UNION ALL ".join(
+            f"SELECT {i} AS i, {j} AS j, round(abs(corr({f}, {g})), 9) AS r FROM imp" for i, f in enumerate(_PRUNED) for j, g in enumerate(_PRUNED) if i < j
+        ) + ")",
+        "tg AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {f == 'O'} AS safe, round(abs(corr({f}, target)), 9) AS t FROM imp" for i, f in enumerate(_PRUNED)) + ")",
+        "pr AS (SELECT cr.i, cr.j, x.safe AS si, y.safe AS sj, x.t AS ti, y.t AS tj, row_number() OVER (ORDER BY cr.i, cr.j) AS rn FROM cr JOIN tg x ON x.i=cr.i JOIN tg y ON y.i=cr.j WHERE r > 0.95)",
+        """sc AS (SELECT 0::BIGINT AS rn, []::INT[] AS gone UNION ALL SELECT pr.rn, CASE WHEN list_contains(gone, pr.i) OR list_contains(gone, pr.j) OR (si AND sj) THEN gone
+          WHEN NOT sj AND (si OR tj <= ti) THEN list_append(gone, pr.j) ELSE list_append(gone, pr.i) END FROM sc JOIN pr ON pr.rn = sc.rn + 1)""",
+        recursive=True,
+    )
+    + "SELECT feature, list_contains(gone, i) AS dropped FROM (SELECT gone FROM sc ORDER BY rn DESC LIMIT 1), (VALUES "
+    + ", ".join(f"({i}, '{f}')" for i, f in enumerate(_PRUNED)) + ") n(i, feature)",
+)
+def _(spark, sf):
+    df = D.order_features(spark, sf).withColumn("O", F.col("qty") * 3).withColumn("near_qty", F.col("qty") + F.col("n_lines") * 0.5)
+    got = H.fit(settle(df, "features"), _PRUNED, "target", names=_PRUNED)
+    return H.stats_table(spark, {"all": got}).select("feature", (~F.col("kept")).alias("dropped"))
+
+
 @query(
     "h4_protected_columns",
-    "SELECT * FROM (VALUES ('qty',false),('n_lines',false),('top_price',false),('low_disc',false),('sum_tax',false),('twice',false),('flat',false),('O',true),('Fe',true)) t(feature, protected)",
+    with_(_FEAT, _imputed())
+    + _stat_rows(lambda f: f"SELECT '{f}' AS feature, '{f}' IN ('O','Fe') AS protected, max({f})>min({f}) OR '{f}' IN ('O','Fe') AS kept_by_name, max({f})>min({f}) AS kept_without_names FROM imp"),
 )
 def _(spark, sf):
-    cols = [c for c in D.order_features(spark, sf).columns if c in D.FEATURES]
-    safe = H.protected_columns(cols)
-    return spark.createDataFrame([(c, c in safe) for c in cols], "feature string, protected boolean")
+    # Protection shows in what the variance rule keeps when the columns have names and when they have none.
+    df = settle(D.order_features(spark, sf), "features")
+    safe = H.protected_columns(D.FEATURES)
+    named, bare = (H.fit(df, D.FEATURES, "target", limit=2.0, names=names) for names in (D.FEATURES, None))
+    rows = [(f, f in safe, f in named.kept, f in bare.kept) for f in D.FEATURES]
+    return spark.createDataFrame(rows, "feature string, protected boolean, kept_by_name boolean, kept_without_names boolean")
 
 
 _KEPT = ["qty", "n_lines", "top_price", "low_disc", "sum_tax", "O", "Fe"]

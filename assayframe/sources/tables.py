@@ -6,18 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The corpus columns.
-CORPUS_SCHEMA = T.StructType(
-    [
-        T.StructField("material_id", T.StringType()),
-        T.StructField("formula_pretty", T.StringType()),
-        T.StructField("band_gap", T.DoubleType()),
-        T.StructField("energy_above_hull", T.DoubleType()),
-        T.StructField("crystal_system", T.StringType()),
-        T.StructField("spacegroup_symbol", T.StringType()),
-    ]
-)
-
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None, columns: list[str] | None = None) -> DataFrame:
     """Scan with an explicit schema (never inferred for text) and only the named columns."""
