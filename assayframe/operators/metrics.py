@@ -3,6 +3,10 @@ pass of partial aggregates, so a hot group costs no more than a cold one."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +116,47 @@ def bootstrap_ci(
     return sizes.join(bounds, key, "left").select(key, "n", "ci_lo", "ci_hi")
 
 
+def bootstrap_ci_large(
+    df: DataFrame, key: str, value: str, row_id: str, n_boot: int = 200, ci: float = 0.95, seed: int = 42
+) -> DataFrame:
+    """Percentile bootstrap interval of the mean per key for any number of rows: key, n, ci_lo, ci_hi.
+
+    Each row enters each replicate as often as a Poisson draw of mean 1 says, which is what drawing with replacement comes
+    to for many rows. Draws depend on (seed, row_id, replicate) alone, so partitioning does not matter; tasks send
+    one pair of sums a key and replicate. Fewer than two values give NULLs.
+    """
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+    def add_up(batches):
+        sums: dict[str, np.ndarray] = {}
+        turns = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for pdf in batches:
+            for at in range(0, len(pdf), 2_000):
+                part = pdf.iloc[at : at + 2_000]
+                x = part["h"].to_numpy(np.int64).view(np.uint64)[:, None] ^ turns[None, :]
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+                weight = np.searchsorted(edges, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right")
+                for name, rows in part.groupby("k", sort=False).indices.items():
+                    own = np.stack((weight[rows].sum(0), part["v"].to_numpy()[rows] @ weight[rows]))
+                    sums[name] = own if name not in sums else sums[name] + own
+        for name, own in sums.items():
+            yield pd.DataFrame({"k": name, "rep": np.arange(n_boot), "w": own[0], "wv": own[1]})
+
+    rows = df.where(F.col(value).isNotNull()).select(
+        F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), F.col(row_id)).alias("h")
+    )
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    reps = rows.mapInPandas(add_up, "k string, rep int, w double, wv double").groupBy("k", "rep").agg(ratio(F.sum("wv"), F.sum("w")).alias("m"))
+    lo, hi = (1 - ci) / 2, (1 + ci) / 2
+    # n_boot means a key at most
+    bounds = reps.groupBy("k").agg(F.percentile("m", F.lit(lo)).alias("ci_lo"), F.percentile("m", F.lit(hi)).alias("ci_hi"))
+    two = F.col("n") >= 2
+    return sizes.join(bounds, "k", "left").select(
+        F.col("k").alias(key), "n", F.when(two, F.col("ci_lo")).alias("ci_lo"), F.when(two, F.col("ci_hi")).alias("ci_hi")
+    )
+
+
 def fold_means(fold_metrics: DataFrame, by: str = "fold", metric: str = "mae") -> DataFrame:
     return fold_metrics.groupBy(by).agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"))
 

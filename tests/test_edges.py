@@ -116,3 +116,17 @@ def test_released_tables_are_gone(spark):
     assert not os.path.exists(folder)
     with pytest.raises(ValueError):
         release(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
+def test_large_bootstrap_brackets_the_mean(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "ab"[i % 2], float(v)) for i, v in enumerate(rng.normal(5, 2, 4000))] + [(9999, "c", 1.0), (10000, "d", None)]
+    df = spark.createDataFrame(rows, "id int, k string, v double")
+    got = {r.k: r for r in I.bootstrap_ci_large(df.repartition(3), "k", "v", "id").collect()}
+    assert got["c"].ci_lo is None and "d" not in got
+    for k in "ab":
+        v = [r[2] for r in rows if r[1] == k]
+        spread = 1.96 * np.std(v) / math.sqrt(len(v))
+        assert abs(got[k].ci_lo - (np.mean(v) - spread)) < 0.4 * spread and abs(got[k].ci_hi - (np.mean(v) + spread)) < 0.4 * spread
+    again = {r.k: r for r in I.bootstrap_ci_large(df.repartition(7), "k", "v", "id").collect()}
+    assert math.isclose(again["a"].ci_lo, got["a"].ci_lo)
