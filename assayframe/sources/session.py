@@ -81,13 +81,28 @@ def release(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more (only folders below the scratch root)."""
     for df in tables:
         spark = df.sparkSession
-        root = scratch_root(spark).split(":", 1)[-1].rstrip("/") + "/"
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for folder in folders:
-            where = folder.split(":", 1)[-1]
-            if "/" + where.lstrip("/") != where:
-                where = "/" + where.lstrip("/")
-            if not where.startswith("/" + root.lstrip("/")):
+        conf, make = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+        root = make(scratch_root(spark))
+        root = str(root.getFileSystem(conf).makeQualified(root)).rstrip("/") + "/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = make(folder)
+            store = path.getFileSystem(conf)
+            if not str(store.makeQualified(path)).startswith(root):
                 raise ValueError(f"{folder} is no scratch table")
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            store.delete(path, True)
+
+
+class Scratch:
+    """Settled tables of one operator, to be released together once its result no longer reads them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        table = settle(df, label)
+        self.tables.append(table)
+        return table
+
+    def release(self) -> None:
+        release(*self.tables)
+        self.tables = []
