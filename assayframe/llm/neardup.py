@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.common import per_row
-from assayframe.sources.session import release, settle
+from assayframe.sources.session import Scratch, release, settle
 
 MASK = (1 << 64) - 1
 
@@ -175,7 +175,7 @@ def _similar(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) that are linked."""
 
     def beside(df: DataFrame, side: DataFrame, value: str, end: str, name: str) -> DataFrame:
@@ -184,7 +184,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, near: Near)
     close = beside(beside(pairs, classes, "sketch", "a", "x"), classes, "sketch", "b", "y")
     sizes = 100 * F.least("na", "nb") >= near.percent * F.greatest("na", "nb")
     likely = close.where(sizes).select("a", "b", "x", "y").mapInPandas(_agreeing, "a long, b long, share double")
-    likely = settle(likely.where(F.col("share") >= near.least_agreement).select("a", "b"), "near-likely")
+    likely = scratch.settle(likely.where(F.col("share") >= near.least_agreement).select("a", "b"), "near-likely")
     full = beside(beside(likely, sets, "items", "a", "x"), sets, "items", "b", "y")
     return full.mapInPandas(_similar(near.percent), "a long, b long")
 
@@ -258,7 +258,7 @@ def _compare_blocks(percent: int):
     return run
 
 
-def family_links(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+def family_links(members: DataFrame, sets: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
     """Links between members (node, label, head) of one family, without a row for each pair: a member is stored as its deviations
     from the head, families are compared block by block, and only links come out."""
     blocks = members.groupBy("head").agg(F.ceil(F.count("*") / near.block).cast("int").alias("blocks"))
@@ -266,7 +266,7 @@ def family_links(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     known = members.join(blocks, "head").join(heads, "head").join(sets, "node")
     known = known.withColumn("head_size", F.length("head_items") / 8)
     known = per_row(known, ["node", "label", "head", "blocks", "head_size"], ["head_items", "items"], lambda: _deviations, {"lacks": "binary", "extra": "binary"})
-    known = settle(known.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-deviations")
+    known = scratch.settle(known.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "near-deviations")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = known.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     return dealt.groupBy("head", "i", "j").applyInPandas(_compare_blocks(near.percent), "a long, b long")
@@ -278,15 +278,15 @@ def classes_of(table: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    docs = docs.select("doc_id", "text")
+    docs, scratch = docs.select("doc_id", "text"), Scratch()
     table = settle(sketches(docs, near), "near-sketches")
     names = settle(classes_of(table), "near-classes")
     own = table.join(names.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
-    classes = settle(own.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "near-nodes")
+    classes = scratch.settle(own.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "near-nodes")
     entries = classes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
-    buckets = settle(entries.join(shared, "bucket"), "near-buckets")
-    sets = settle(whole_sets(docs, buckets.select("node").distinct(), near), "near-sets")
+    buckets = scratch.settle(entries.join(shared, "bucket"), "near-buckets")
+    sets = scratch.settle(whole_sets(docs, buckets.select("node").distinct(), near), "near-sets")
     slim = classes.drop("bands")
 
     links = None
@@ -294,14 +294,14 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
     tried = families = None
     # how many others a class meets in its buckets: the origin of many copies meets the most
     met = buckets.groupBy("bucket").agg(F.count("*").alias("size"))
-    central = settle(buckets.join(met, "bucket").groupBy("node").agg(F.sum("size").alias("met")), "near-central")
+    central = scratch.settle(buckets.join(met, "bucket").groupBy("node").agg(F.sum("size").alias("met")), "near-central")
     order = F.struct(F.col("met"), (-F.col("node")).alias("minus"))
-    placed = settle(buckets.join(central, "node").select("bucket", "node", order.alias("order")), "near-placed")
+    placed = scratch.settle(buckets.join(central, "node").select("bucket", "node", order.alias("order")), "near-placed")
     for _ in range(near.rounds):
         named = _labelled(placed, labels)
         if labels is not None:  # buckets of one component show nothing new
             open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-            named = settle(named.join(open_, "bucket"), "near-open")
+            named = scratch.settle(named.join(open_, "bucket"), "near-open")
         # of each component in a bucket its most central class; of each class the most central one of another component
         heads = named.groupBy("bucket", "label").agg(F.max("order").alias("order"))
         first = heads.groupBy("bucket").agg(F.max(F.struct("order", "label")).alias("first"))
@@ -315,14 +315,14 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
         pairs = pairs.select("partner", F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        best = settle(pairs.groupBy("node").agg(F.max(F.struct("partner", "a", "b")).alias("p")), "near-pairs")
+        best = scratch.settle(pairs.groupBy("node").agg(F.max(F.struct("partner", "a", "b")).alias("p")), "near-pairs")
         if families is None:
             families = best.select("node", (-F.col("p.partner.minus")).alias("head"))
         pairs = best.select("p.a", "p.b").distinct()
         tried = pairs if tried is None else tried.union(pairs)
-        found = settle(confirmed(pairs, slim, sets, near), "near-links")
+        found = scratch.settle(confirmed(pairs, slim, sets, near, scratch), "near-links")
         fresh = found.limit(1).count()
-        links = found if links is None else settle(links.union(found), "near-links")
+        links = found if links is None else scratch.settle(links.union(found), "near-links")
         if fresh or labels is None:
             labels = components(links)
         if not fresh:
@@ -330,17 +330,18 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
     named = _labelled(buckets, labels)
     mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     named = named.join(mixed, "bucket", "left_semi").join(families, "node", "left")
-    left = settle(named.withColumn("head", F.coalesce("head", "node")), "near-rest")
-    inside = settle(family_links(left.select("node", "label", "head").distinct(), sets, near), "near-links")
-    links = settle(links.union(inside), "near-links")
+    left = scratch.settle(named.withColumn("head", F.coalesce("head", "node")), "near-rest")
+    inside = scratch.settle(family_links(left.select("node", "label", "head").distinct(), sets, near, scratch), "near-links")
+    links = scratch.settle(links.union(inside), "near-links")
     sizes = left.groupBy("bucket", "head").agg(F.count("*").alias("size"))
     main = sizes.groupBy("bucket").agg(F.count("*").alias("heads"), F.max(F.struct("size", "head"))["head"].alias("main")).where("heads > 1")
     across = left.join(main, "bucket")
     others = across.where("head <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("head").alias("hx"))
     rest = across.join(others, "bucket").where("label <> lx AND head <> hx").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
-    rest = settle(rest.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    found = settle(confirmed(rest, slim, sets, near), "near-links")
+    rest = scratch.settle(rest.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    found = scratch.settle(confirmed(rest, slim, sets, near, scratch), "near-links")
     labels = components(links.union(found))
+    scratch.release()
 
     of_class = names.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("class_label"))
     component = F.coalesce("class_label", "doc_id")
