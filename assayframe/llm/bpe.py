@@ -47,7 +47,7 @@ class MergeReplay:
 
     def _merged(self, pair: int) -> int:
         """Rank of the token that the pair makes, -1 if there is none."""
-        if len(self.pairs) > 300_000:
+        if len(self.pairs) > 150_000:
             self.pairs.clear()
         found = self.pairs[pair] = self.ranks.get(self.token[pair >> 32] + self.token[pair & 0xFFFFFFFF], -1)
         return found
@@ -126,7 +126,7 @@ class MergeReplay:
 class Encoder:
     """Texts to ids; keeps the ids of words and segments it has met, in tables emptied when full."""
 
-    def __init__(self, path: str, pattern: str, most: int = 200_000):
+    def __init__(self, path: str, pattern: str, most: int = 120_000):
         self.ranks = load_ranks(path)
         self.replay = MergeReplay(self.ranks)
         self.find = regex.compile(pattern).findall

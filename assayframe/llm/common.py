@@ -31,7 +31,7 @@ def word_count(text: Column) -> Column:
 
 
 #: Rows that a function over texts holds as Python values at a time.
-SLICE = 1_000
+SLICE = 500
 
 #: Arrow types of the columns that functions over texts add.
 _ARROW = {
@@ -72,5 +72,8 @@ def per_row(df: DataFrame, keep: list[str], sources: list[str], make: Callable[[
                 columns = compute(*read)
                 arrays = [part.column(k) for k in keep] + [pa.array(c, t) for c, t in zip(columns, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        # workers live on: what this task held is given back before the next stage begins
+        del compute
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -71,7 +71,7 @@ def salts(n: int) -> np.ndarray:
 class Shingler:
     """Sets of hashed shingles; hashes of words met before are looked up."""
 
-    def __init__(self, words: int, most: int = 400_000):
+    def __init__(self, words: int, most: int = 150_000):
         self.words, self.most = words, most
         self.known: dict[bytes, int] = {}
         self.factors = salts(words) | np.uint64(1)

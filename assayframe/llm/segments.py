@@ -39,7 +39,7 @@ class SegmentCache:
     A segment that ends with a comma or full stop behind a letter is its beginning and the mark: the pattern never
     joins the two. Values are added with ``+``."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 120_000):
         self.encode, self.most = encode, most
         self.first: dict[str, object] = {}
         self.later: dict[str, object] = {}
