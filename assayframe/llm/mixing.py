@@ -7,6 +7,10 @@ a shard with more seats than blocks takes every block once before any twice. Whi
 blocks get the odd seat is decided by a seeded permutation of the block numbers, so
 a rerun agrees and nothing is ranked or listed.
 
+``whole`` turns the words taken of each document into whole copies, such that the words put out of a shard meet the
+words taken: documents from long to short, each at one of the two whole numbers around its quota, a seeded
+start deciding from which debt on it is the upper one.
+
 Defined cases: null text has size 0 and takes 0; a null source is a source of its own,
 last in order; repeated rows are separate documents; an empty table gives an empty
 result; other columns are ignored.
@@ -16,6 +20,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,8 +137,8 @@ def apportion(cells: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, size, source_size, target (of the source), taken (words, repeats counted)."""
+def quotas(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """doc_id, source_no, shard, size, source_size, target (of the source), taken (words, repeats counted)."""
     sizes = settle(sized(docs), "mix-sizes")
     sources = settle(source_targets(sizes, mix), "mix-sources")
     dealt = settle(shards(sizes, sources, mix), "mix-shards")
@@ -146,7 +152,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         ),
         "mix-cells",
     )
-    quotas = settle(apportion(cells, mix), "mix-quotas")
+    seats = settle(apportion(cells, mix), "mix-quotas")
     width, blocks = F.lit(mix.block_words), F.col("blocks")
     start, end = F.col("first"), F.col("first") + F.col("size")
     turn = draw(mix.seed, F.col("source_no"), F.col("shard"))
@@ -160,13 +166,45 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     spans = F.sequence(F.floor(start / width), F.floor((F.col("end") - 1) / width))
     taken = F.when((F.col("size") > 0) & F.col("seats").isNotNull(), F.aggregate(spans, F.lit(0).cast("long"), words_of)).otherwise(F.lit(0))
     return (
-        dealt.join(quotas, ["source_no", "shard"], "left")
+        dealt.join(seats, ["source_no", "shard"], "left")
         .withColumn("end", end)
         .withColumn("turn", turn)
-        .select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        .select("doc_id", "source_no", "shard", "size", "source_size", "target", taken.cast("long").alias("taken"))
     )
 
 
+def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """doc_id, size, source_size, target (of the source), taken (words, repeats counted)."""
+    return quotas(docs, mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def rounded(sizes: np.ndarray, taken: np.ndarray, start: float) -> np.ndarray:
+    """Copies of documents in order from long to short. What the quotas are ahead of the words put out is carried
+    along; a document with a part of a copy open gets it if that debt reaches ``start`` of its size."""
+    copies, debt = taken // sizes, 0
+    for i, (size, rest) in enumerate(zip(sizes.tolist(), (taken % sizes).tolist())):
+        if rest:
+            debt += rest
+            if debt >= start * size:
+                copies[i] += 1
+                debt -= size
+    return copies
+
+
+def _whole(shard: pd.DataFrame) -> pd.DataFrame:
+    shard = shard.sort_values(["size", "drawn", "doc_id", "taken"], ascending=[False, True, True, True], kind="stable")
+    copies = rounded(shard["size"].to_numpy(np.int64), shard["taken"].to_numpy(np.int64), float(shard["start"].iloc[0]))
+    return pd.DataFrame({"doc_id": shard["doc_id"], "copies": copies})
+
+
+def whole(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """doc_id (a long, not null), copies, for each document with words. A shard (``shard_words``) is rounded by one task."""
+    drawn = draw(mix.seed, F.col("doc_id")).alias("drawn")
+    start = ((draw(f"{mix.seed}:start", F.col("source_no"), F.col("shard")) + 0.5) / 2.0**32).alias("start")
+    open_ = quotas(docs, mix).where("size > 0").select("doc_id", "source_no", "shard", "size", "taken", drawn, start)
+    return open_.groupBy("source_no", "shard").applyInPandas(_whole, "doc_id long, copies long")
+
+
 SQL = r"""
 WITH sizes AS (SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source_key,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
