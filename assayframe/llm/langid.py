@@ -10,6 +10,11 @@ Profiles are fitted on at most about ``train_docs`` whole documents of each lang
 chosen by hash (documented bound; smaller languages are read whole). Prediction
 reads every whole text and uses nothing but the text.
 
+``limits`` says from which score on a text is in its language at all: labelled documents, and what they begin with
+up to 1, 2, 4 ... words, are scored, and the limit of a language and number of different n-grams (by powers of two) is
+``SPREADS`` times as far below the median as the twentieth part with the lowest scores begins. So it is loose for
+short texts, whose scores spread, and strict for long ones; it rises no further once a text fills a whole list.
+
 Defined cases: a null text, or one without letters, is ``und`` with score 0, as is
 everything when nothing could be learned; equal distances go to the first language
 by code point; repeated rows are predicted one by one; an empty table gives an empty
@@ -33,6 +38,13 @@ from assayframe.sources.session import settle
 N_RANKS = 300
 TRAIN_DOCS = 4_000
 UNKNOWN = "und"
+#: Documents of a language that limits are taken from, about; scores a limit needs; its distance; the limit if there are too few.
+LIMIT_DOCS = 1_000
+LEAST_SCORES = 20
+SPREADS = 4.5
+LEAST_SCORE = 0.1
+#: Powers of two that the number of n-grams of a text can have.
+POWERS = 40
 
 
 @lru_cache(maxsize=1)
@@ -53,10 +65,15 @@ def ngrams(text: str) -> np.ndarray:
     return np.concatenate((code[points != 0], pairs, triples[points[1:-1] != 0]))
 
 
+def in_order(codes: np.ndarray) -> np.ndarray:
+    """The different codes in order of frequency, ties by code."""
+    values, counts = np.unique(codes, return_counts=True)
+    return values[np.lexsort((values, -counts))]
+
+
 def ranked(codes: np.ndarray, n_ranks: int) -> np.ndarray:
     """The most frequent codes in order of frequency, ties by code."""
-    values, counts = np.unique(codes, return_counts=True)
-    return values[np.lexsort((values, -counts))[:n_ranks]]
+    return in_order(codes)[:n_ranks]
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,8 +97,9 @@ def profiles(labelled: DataFrame, n_ranks: int = N_RANKS, train_docs: int = TRAI
     return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < n_ranks).select("lang", "code", "place")
 
 
-def predict(docs: DataFrame, profile: DataFrame, n_ranks: int = N_RANKS, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score. ``text`` is a column, which is left out, or a field of a struct, which stays.
+def predict(docs: DataFrame, profile: DataFrame, n_ranks: int = N_RANKS, text: str = "text", counted: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score, and ``power``, the binary logarithm of the number of different n-grams, if ``counted``. ``text`` is a column, which is
+    left out, or a field of a struct, which stays.
 
     The profiles that travel to the tasks are ``n_ranks`` rows a language."""
     rows = profile.collect()
@@ -96,25 +114,54 @@ def predict(docs: DataFrame, profile: DataFrame, n_ranks: int = N_RANKS, text: s
     def make():
         langs, known, places = shared.value
 
-        def one(text: str | None) -> tuple[str, float]:
-            own = ranked(ngrams(text), n_ranks) if text and langs else ()
-            if len(own) == 0:
-                return UNKNOWN, 0.0
+        def one(text: str | None) -> tuple[str, float, int]:
+            codes = ngrams(text) if text and langs else ()
+            if len(codes) == 0:
+                return UNKNOWN, 0.0, 0
+            different = in_order(codes)
+            own = different[:n_ranks]
             spot = np.minimum(np.searchsorted(known, own), len(known) - 1)
             spot = np.where(known[spot] == own, spot, len(known))
             there = places[:, spot]
             far = np.where(there == n_ranks, n_ranks, np.abs(there - np.arange(len(own)))).sum(1)
             best = int(far.argmin())
-            return langs[best], 1.0 - float(far[best]) / (n_ranks * len(own))
+            return langs[best], 1.0 - float(far[best]) / (n_ranks * len(own)), len(different).bit_length() - 1
 
-        def compute(texts: list) -> tuple[list, list]:
+        def compute(texts: list) -> tuple[list, ...]:
             found = [one(t) for t in texts]
-            return [f[0] for f in found], [f[1] for f in found]
+            return tuple([f[i] for f in found] for i in range(len(added)))
 
         return compute
 
     kept = [c for c in docs.columns if c != text]
-    return per_row(docs, kept, [text], make, {"lang_pred": "string", "score": "double"})
+    added = {"lang_pred": "string", "score": "double"} | ({"power": "long"} if counted else {})
+    return per_row(docs, kept, [text], make, added)
+
+
+def limits(labelled: DataFrame, profile: DataFrame, least_scores: int = LEAST_SCORES, spreads: float = SPREADS) -> DataFrame:
+    """lang_pred, power, least: the lowest score of each language learned for each power of two n-grams.
+
+    Too few scores: those of all languages are taken, or else the limit of the next smaller number of n-grams, or larger one."""
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    share = settle(labelled.groupBy("lang").agg((F.lit(float(LIMIT_DOCS)) / F.count("*")).alias("share")), "langid-limit-shares")
+    draw = F.pmod(F.xxhash64(F.lit("limits"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
+    chosen = labelled.select("doc_id", "lang", "text").join(share, "lang").where(draw < F.col("share"))
+    last = F.ceil(F.log2(F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1)).cast("int")
+    cuts = chosen.select("text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    scored = predict(cuts.select(F.expr("substring_index(text, ' ', shiftleft(1, k))").alias("text")), profile, counted=True)
+    points = F.percentile("score", F.array(F.lit(0.05), F.lit(0.5)))
+    groups = scored.where(F.col("lang_pred") != UNKNOWN).select("power", "score", F.explode(F.array("lang_pred", F.lit(None))).alias("lang_pred"))
+    rows = groups.groupBy("lang_pred", "power").agg(F.count("*").alias("n"), points.alias("at")).collect()
+    found = {(r["lang_pred"], r["power"]): r["at"][1] - spreads * (r["at"][1] - r["at"][0]) for r in rows if r["n"] >= least_scores}
+    out = []
+    for lang in sorted({r["lang"] for r in profile.select("lang").distinct().collect()}):
+        own = {p: found.get((lang, p), found.get((None, p))) for p in range(POWERS)}
+        known, full = [p for p in range(POWERS) if own[p] is not None], N_RANKS.bit_length() - 1
+        for p in range(POWERS):
+            nearest = max((k for k in known if k <= p), default=min(known, default=None))
+            least = LEAST_SCORE if nearest is None else min(own[k] for k in known if k == nearest or full <= k < nearest)
+            out.append((lang, p, max(LEAST_SCORE, float(least))))
+    return settle(profile.sparkSession.createDataFrame(out, "lang_pred string, power long, least double"), "langid-limits")
 
 
 def held_out(doc_id: str = "doc_id"):

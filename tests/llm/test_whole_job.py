@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import oracle
 
 import corpus_pipeline
 from assayframe.llm import mixing
@@ -40,3 +41,22 @@ def test_rounding_is_even_and_favours_no_length():
             assert abs((copies * sizes).sum() - taken.sum()) <= 0.01 * sizes.sum()
         mean = np.mean(runs, 0)
         assert abs((mean * sizes)[:30].sum() / taken[:30].sum() - 1) < 0.15
+
+
+POLISH = """wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem
+i powinni postępować wobec innych w duchu braterstwa każdy człowiek posiada wszystkie prawa i wolności bez względu na jakiekolwiek różnice"""
+
+
+def test_language_stage_rejects_junk_and_other_languages(spark):
+    rng = np.random.default_rng(4)
+    letters = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(n)) for n in (20, 60, 300)]
+    hexes = [" ".join(bytes(rng.integers(0, 256, 16).tolist()).hex() for _ in range(n)) for n in (8, 60, 300)]
+    rows = [" ".join(rng.choice(["qwerty", "asdfgh", "zxcvbn", "qwertyuiop", "yxcvb", "poiuz"], n)) for n in (60, 300)]
+    junk = [(-1 - i, t, None, "s", 0) for i, t in enumerate([*letters, *hexes, *rows, POLISH, POLISH * 9, "", "123 456"])]
+    docs = spark.read.parquet(f"{oracle.ROOT}/sf0.01/documents.parquet")
+    short = docs.where("doc_id % 10 = 0").selectExpr("doc_id + 1000000 AS doc_id", "substring_index(text, ' ', 3) AS text", "lang", "source", "n_chars")
+    clean = docs.union(short)
+    kept = corpus_pipeline.language(spark, clean.union(spark.createDataFrame(junk, docs.schema)), "")
+    assert [r.text[:40] for r in kept.where("doc_id < 0").collect()] == []
+    assert [r.text[:40] for r in docs.join(kept, "doc_id", "left_anti").collect()] == []
+    assert short.join(kept, "doc_id", "left_semi").count() >= 0.98 * short.count()
