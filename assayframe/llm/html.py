@@ -6,7 +6,10 @@ page); vectors are compared by a 64-bit sum of page hashes, with the number of p
 occurrences, so that one aggregate finds them at any number of pages and a hot host is added up by all tasks.
 Tokens with the same vector form an equivalence class. A class is valid if it is found on at least
 ``least_pages`` pages and holds the tag of a container; it nests in the class of the container around
-it. A text run in the class of its own container, there every time the container is, belongs to the template.
+it. A text run in the class of its own container, there every time the container is, belongs to the template
+if the pages it is found on differ otherwise: of their main text, what such runs leave must be as much as the runs
+(in a marked article) or a quarter of it (elsewhere). Else the pages are copies of one text, up to a date or a
+counter, and the runs are that text.
 
 What the template leaves are slots. Slots in containers of a fixed role (menus, headers, footers,
 side bars, notices, adverts, forms, comments, scripts, styles) are dropped, and if the page
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from assayframe.llm.common import per_row
 from assayframe.sources.session import settle
 
 LEAST_PAGES = 5
+#: What constant text leaves of the pages it is found on, against its own length: in a marked article, elsewhere.
+LEAST_DIFFERENT = (1.0, 0.25)
 MASK = (1 << 64) - 1
 
 TOKEN = re.compile(
@@ -138,11 +142,19 @@ def text_token(text: str, here: int) -> int:
     return xxhash.xxh3_64_intdigest(text, here & MASK)
 
 
-def tokens(page: str) -> Counter:
-    """Occurrences of (token, container around it, whether it is a tag)."""
-    found: Counter = Counter()
-    for tag, text, here, _ in blocks(page):
-        found[here if tag else text_token(text, here), here, tag] += 1
+def tokens(page: str) -> dict[tuple, list[int]]:
+    """Occurrences and characters of (token, container around it, whether it is a tag, in an article). The characters of a
+    tag are those of the main text of the page, with what the template takes of it."""
+    found: dict[tuple, list[int]] = {}
+    chars = [0, 0]
+    for tag, text, here, inside in blocks(page):
+        own = found.setdefault((here if tag else text_token(text, here), here, tag, inside), [0, 0])
+        own[0] += 1
+        own[1] += len(text)
+        chars[inside] += len(text)
+    for (_, _, tag, _), own in found.items():
+        if tag:
+            own[1] = chars[True] or chars[False]
     return found
 
 
@@ -162,11 +174,13 @@ def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         sums: dict[tuple, list[int]] = {}
         for host, mark, page in zip(frame["host"], frame["mark"], frame["html"]):
-            for (token, around, tag), n in tokens(page or "").items():
-                own = sums.setdefault((host, token, around, tag), [0, 0, 0])
+            for key, (n, chars) in tokens(page or "").items():
+                own = sums.setdefault((host, *key), [0, 0, 0, 0, 0])
                 own[0] += 1
                 own[1] += n
                 own[2] = (own[2] + n * (mark & MASK)) & MASK
+                own[3] = (own[3] + (mark & MASK)) & MASK
+                own[4] += chars
         if sums:
             keys, values = list(sums), list(sums.values())
             yield pd.DataFrame(
@@ -175,9 +189,12 @@ def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "token": _signed([k[1] for k in keys]),
                     "around": _signed([k[2] for k in keys]),
                     "tag": [k[3] for k in keys],
+                    "inside": [k[4] for k in keys],
                     "pages": [v[0] for v in values],
                     "n": [v[1] for v in values],
                     "vector": _signed([v[2] for v in values]),
+                    "marks": _signed([v[3] for v in values]),
+                    "chars": [v[4] for v in values],
                 }
             )
 
@@ -191,21 +208,25 @@ def host() -> Column:
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host, constant: the text tokens of the host's template, no more than one page has."""
     marked = pages.select(host().alias("host"), F.xxhash64("page_id", "url").alias("mark"), "html")
-    schema = "host string, token long, around long, tag boolean, pages long, n long, vector long"
+    schema = "host string, token long, around long, tag boolean, inside boolean, pages long, n long, vector long, marks long, chars long"
     partial = marked.mapInPandas(_vectors, schema)
     # 64-bit sums wrap; the decimal sum of two halves does not
-    low, high = F.expr("vector & 4294967295"), F.expr("shiftrightunsigned(vector, 32)")
-    found = partial.groupBy("host", "token", "around", "tag").agg(
-        F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum(low).alias("low"), F.sum(high).alias("high")
-    )
-    # the two halves as one number below 2^64
-    found = found.where(F.col("pages") >= least_pages).selectExpr(
-        "host", "token", "around", "tag", "pages", "n", "low & 4294967295 AS v0", "(high + shiftright(low, 32)) & 4294967295 AS v1"
-    )
+    halves = [F.sum(F.expr(e)).alias(f"{c}{i}") for c in ("vector", "marks") for i, e in enumerate((f"{c} & 4294967295", f"shiftrightunsigned({c}, 32)"))]
+    found = partial.groupBy("host", "token", "around", "tag", "inside").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "chars")], *halves)
+    # the two halves as one number below 2^64; v is that of the occurrences, s that of the set of pages
+    whole = [x for c, v in (("vector", "v"), ("marks", "s")) for x in (f"{c}0 & 4294967295 AS {v}0", f"({c}1 + shiftright({c}0, 32)) & 4294967295 AS {v}1")]
+    found = found.where(F.col("pages") >= least_pages).selectExpr("host", "token", "around", "tag", "inside", "pages", "n", "chars", *whole)
     found = settle(found, "html-vectors")
-    classes = found.where("tag").select("host", F.col("token").alias("around"), "pages", "n", "v0", "v1")
-    constant = found.where("not tag").join(classes, ["host", "around", "pages", "n", "v0", "v1"], "left_semi")
-    return constant.groupBy("host").agg(F.collect_set("token").alias("constant"))
+    classes = found.where("tag").select("host", F.col("token").alias("around"), "pages", "n", "v0", "v1", F.col("chars").alias("page_chars"))
+    classes = classes.groupBy("host", "around", "pages", "n", "v0", "v1").agg(F.max("page_chars").alias("page_chars"))
+    constant = found.where("not tag").join(classes, ["host", "around", "pages", "n", "v0", "v1"])
+    # all constant text of a set of pages, against what these have besides
+    same = constant.groupBy("host", "inside", "pages", "s0", "s1").agg(
+        F.sum("chars").alias("own"), F.max("page_chars").alias("all"), F.collect_set("token").alias("tokens")
+    )
+    in_article, elsewhere = LEAST_DIFFERENT
+    differ = F.col("all") - F.col("own") >= F.when(F.col("inside"), F.lit(in_article)).otherwise(F.lit(elsewhere)) * F.col("own")
+    return same.where(differ).groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("constant"))
 
 
 def _extract(pages: list, constants: list) -> tuple[list, list]:

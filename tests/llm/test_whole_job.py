@@ -6,7 +6,7 @@ import numpy as np
 import oracle
 
 import corpus_pipeline
-from assayframe.llm import mixing
+from assayframe.llm import html, mixing
 
 
 def test_mixture_puts_out_the_words_of_its_targets(spark):
@@ -60,3 +60,28 @@ def test_language_stage_rejects_junk_and_other_languages(spark):
     assert [r.text[:40] for r in kept.where("doc_id < 0").collect()] == []
     assert [r.text[:40] for r in docs.join(kept, "doc_id", "left_anti").collect()] == []
     assert short.join(kept, "doc_id", "left_semi").count() >= 0.98 * short.count()
+
+
+def test_html_near_copies_keep_their_article(spark):
+    rng = np.random.default_rng(8)
+    said = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    page = "<body><div class=top>Welcome to the site</div><article{mark}>{text}<div class=inner>Share this</div></article></body>"
+    told = [said(40) for _ in range(4)]
+    copy = "".join(f"<p>{t}</p>" for t in told)
+    want, rows = {}, []
+    for i in range(30):
+        if i < 6:  # near copies under a mark of their own, among other pages
+            host, mark, text = "blog.example", " id=post-7", f"<p>Views: {i}</p>" + copy
+            want[i] = "\n\n".join([f"Views: {i}", *told, "Share this"])
+        elif i < 16:
+            host, mark, own = "blog.example", f" id=post-{i + 10}", said(60)
+            text, want[i] = f"<p>{own}</p>", f"{own}\n\nShare this"
+        elif i < 22:  # nothing but near copies
+            host, mark, text = "copies.example", "", f"<p>Printed on day {i}</p>" + copy
+            want[i] = "\n\n".join([f"Printed on day {i}", *told, "Share this"])
+        else:  # articles that differ: what they share is the template
+            host, mark, own = "other.example", "", said(60)
+            text, want[i] = f"<p>{own}</p>", own
+        rows.append((i, f"http://{host}/{i}", page.format(mark=mark, text=text)))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
