@@ -17,22 +17,27 @@ from assayframe.sources.session import settle
 
 _SLICE = "_slice"
 
+#: Rows that one task orders, where their number is known.
+SLICE_ROWS = 1_000_000
+
 
 def running_totals(
     df: DataFrame,
     order: list[str],
     measures: dict[str, Column],
     group: list[str] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add one inclusive running sum per measure, per group, along ``order``.
 
     Rows are range-partitioned on (group, order) and the slice number is frozen by
     writing the table, so one hot group spreads over many slices. Each slice is
     summed locally; the sums of the slices before it are added as an offset.
-    ``order`` must identify a row within its group.
+    ``order`` must identify a row within its group. With ``rows``, the number of rows
+    where the caller knows it, a slice holds about ``SLICE_ROWS`` of them at most.
     """
     group = list(group or [])
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // SLICE_ROWS))
     tmp = {name: f"_m{i}" for i, name in enumerate(measures)}
     ranged = df.select("*", *[measures[k].alias(tmp[k]) for k in measures])
     ranged = ranged.repartitionByRange(n, *group, *order).withColumn(_SLICE, F.spark_partition_id())
