@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import bpe, html, langid, mixing, neardup, quality, secrets, substrings, token_files, topk
+from assayframe.llm import bpe, html, langid, merkle, mixing, neardup, quality, secrets, substrings, token_files, topk
 from assayframe.llm.common import documents, table
 
 
@@ -50,6 +50,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op3_quality, op4_html, op5_bpe, op6_topk, op7_neardup, op8_mixing, op9_substrings, op10_language_id)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(merkle.manifest(documents(spark, sf_dir)))
 
-ORACLES = {"op3_quality": quality.SQL, "op6_topk": topk.SQL, "op7_neardup": neardup.SQL, "op8_mixing": mixing.SQL}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secrets, op2_token_files, op3_quality, op4_html, op5_bpe, op6_topk, op7_neardup, op8_mixing, op9_substrings,
+        op10_language_id, op12_merkle,
+    )
+}
+
+ORACLES = {
+    "op3_quality": quality.SQL, "op6_topk": topk.SQL, "op7_neardup": neardup.SQL, "op8_mixing": mixing.SQL, "op12_merkle": merkle.SQL,
+}
