@@ -41,6 +41,7 @@ _ARROW = {
     "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()),
     "array<struct<start:long,kind:long,end:long>>": pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "kind", "end")])),
+    "array<struct<start:long,length:long,period:long>>": pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "period")])),
     "array<struct<start:long,end:long,hit:boolean,view:string>>": pa.list_(
         pa.struct([("start", pa.int64()), ("end", pa.int64()), ("hit", pa.bool_()), ("view", pa.string())])
     ),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import bpe, html, langid, merkle, mixing, neardup, quality, secrets, substrings, token_files, topk
+from assayframe.llm import bpe, html, langid, merkle, mixing, neardup, quality, runs, secrets, substrings, token_files, topk
 from assayframe.llm.common import documents, table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find(documents(spark, sf_dir), change=runs.planted))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(merkle.manifest(documents(spark, sf_dir)))
 
@@ -58,7 +62,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_token_files, op3_quality, op4_html, op5_bpe, op6_topk, op7_neardup, op8_mixing, op9_substrings,
-        op10_language_id, op12_merkle,
+        op10_language_id, op11_runs, op12_merkle,
     )
 }
 
