@@ -15,6 +15,7 @@ from assayframe.plans.curation import stage_counts
 from assayframe.plans.registry import query
 from assayframe.plans.standins import CAT, COMP, r6, table, with_
 from assayframe.operators.dedup import one_per_key
+from assayframe.sources import fold_files as FF
 from assayframe.sources import tables as A
 from assayframe.sources.session import new_table_path, settle
 
@@ -164,6 +165,44 @@ def _(spark, sf):
     )
 
 
+_LINES = T.StructType([T.StructField("l_partkey", T.LongType()), T.StructField("element", T.StringType()), T.StructField("l_quantity", T.DoubleType())])
+
+
+def _fold_files(spark, sf):
+    """Folds by return flag, written to one train and one test file each and read from them."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("element"))
+    lines = table(spark, sf, "lineitem").select("l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"), "l_returnflag").join(parts, "l_partkey")
+    flags = ("A", "N", "R")
+    sided = lines.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in flags])))
+    sided = sided.withColumn("role", F.when(F.col("fold") == F.col("l_returnflag"), "test").otherwise("train"))
+    folder = FF.write_fold_files(sided, new_table_path(spark, "fold-files"), _LINES.names)
+    return FF.read_fold_files(spark, folder, _LINES, list(flags))
+
+
+@query(
+    "a9_folds_from_files",
+    f"""SELECT f.fold, CASE WHEN l_returnflag=f.fold THEN 'test' ELSE 'train' END AS role, count(*)::BIGINT AS n_rows, {r6('sum(l_quantity)::DOUBLE')} AS quantity,
+      sum(l_partkey)::BIGINT AS key_sum FROM lineitem JOIN part ON l_partkey=p_partkey, (VALUES ('A'),('N'),('R')) f(fold) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return _fold_files(spark, sf).groupBy("fold", "role").agg(
+        F.count(F.lit(1)).alias("n_rows"), six(F.sum("l_quantity")).alias("quantity"), F.sum("l_partkey").alias("key_sum")
+    )
+
+
+@query(
+    "a9_fold_vocabularies",
+    """SELECT f.fold, p_brand AS element, count(*) FILTER (WHERE l_returnflag<>f.fold)::BIGINT AS n_train, count(*) FILTER (WHERE l_returnflag=f.fold)::BIGINT AS n_test
+    FROM lineitem JOIN part ON l_partkey=p_partkey, (VALUES ('A'),('N'),('R')) f(fold) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    rows = settle(_fold_files(spark, sf), "fold-rows")
+    counts = rows.groupBy("fold", "element").agg(
+        F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test")
+    )
+    return FF.fold_vocabularies(rows, "element").join(counts, ["fold", "element"])
+
+
 # ---- B ---------------------------------------------------------------------------
 
 _ATOMS = "atoms AS (SELECT row_id, sum(amount) AS num_atoms FROM comp GROUP BY 1)"
