@@ -23,14 +23,14 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm.segments import SegmentCache, chunks
+from assayframe.llm.segments import SegmentEncoder, chunks, packed, strings
 from assayframe.sources.session import new_table_path, release, settle
 
 STRIDE = 256
@@ -142,39 +142,17 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def byte_letters() -> list[str]:
-    """The letters of byte-level vocabularies: printed bytes are themselves, the others follow in order from U+0100 on."""
-    seen = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
-    return [chr(b) if seen[b] else chr(256 + seen[:b].count(False)) for b in range(256)]
-
-
-def _encoder(path: str, kind: str) -> SegmentCache:
+def text_encoder(path: str) -> SegmentEncoder:
+    """Ids of texts by a byte-level tokenizer file, in which the letters U+0120 and U+010A stand for the space and the line break."""
     tokenizer = _tokenizer(path)
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    leads = np.zeros(max(vocab.values()) + 1, bool)
+    leads[[i for token, i in vocab.items() if token[:1] in ("\u0120", "\u010a")]] = True
 
-    word, letters = tokenizer.model.tokenize, byte_letters()
-    space = letters[32]
-
-    def encode(segments: list[str]) -> list[bytes]:
-        # one word of letters is one match of the pattern: it needs the library's merges only
-        found: list = [None] * len(segments)
-        rest = []
-        for i, s in enumerate(segments):
-            bare = s[1:]
-            if s[:1] != " " or not bare.isalpha():
-                rest.append(i)
-            elif bare.isascii():
-                found[i] = [t.id for t in word(space + bare)]
-            elif max(bare) < "\u0250":
-                found[i] = [t.id for t in word(space + "".join([letters[b] for b in bare.encode()]))]
-            else:
-                rest.append(i)
-        for i, e in zip(rest, tokenizer.encode_batch_fast([segments[i] for i in rest], add_special_tokens=False)):
-            found[i] = e.ids
-        flat = np.fromiter(chain.from_iterable(found), kind).tobytes()
-        ends = np.cumsum([len(ids) for ids in found], dtype=np.int64) * np.dtype(kind).itemsize
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    return SegmentCache(encode)
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return SegmentEncoder(encode, leads)
 
 
 def id_kind(fmt: Format) -> str:
@@ -184,18 +162,22 @@ def id_kind(fmt: Format) -> str:
 
 def tokenized(docs: DataFrame, fmt: Format, kind: str, bounds: list[int]) -> DataFrame:
     """doc_id, its range among the bounds, ids with the end id."""
-    path, end = fmt.tokenizer, np.array([fmt.end_id], kind).tobytes()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path, kind)
-        for frame in frames:
-            ids = []
-            for texts in chunks([t or "" for t in frame["text"]]):
-                ids += [b"".join(v) + end for v in encode(texts)]
-            part = np.searchsorted(bounds, frame["doc_id"].fillna(-(2**63)).to_numpy(np.int64), "left")
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "part": part.astype(np.int32), "ids": ids})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, part int, ids binary")
+    path, end = fmt.tokenizer, fmt.end_id
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = text_encoder(path)
+        for batch in batches:
+            done = 0
+            for texts in chunks(strings(batch.column("text"))):
+                ids, n = encode(texts)
+                doc_ids = batch.column("doc_id").slice(done, len(texts)).cast(pa.int64())
+                part = np.searchsorted(bounds, doc_ids.fill_null(-(2**63)).to_numpy(), "left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(part), packed(np.insert(ids, np.cumsum(n), end), n + 1, kind)], ["doc_id", "part", "ids"])
+                done += len(texts)
+        del encode
+        pa.default_memory_pool().release_unused()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, ids binary")
 
 
 def blocks(ranged: DataFrame, fmt: Format, kind: str) -> DataFrame:
