@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import bpe, html, langid, merkle, mixing, neardup, quality, runs, secrets, substrings, token_files, topk
+from assayframe.llm import bpe, html, langid, merkle, mixing, neardup, packing, quality, runs, secrets, substrings, token_files, topk
 from assayframe.llm.common import documents, table
 
 
@@ -27,7 +27,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digest(bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks, pattern)
+    return bpe.round_trip(documents(spark, sf_dir), ranks, pattern)
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +58,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(merkle.manifest(documents(spark, sf_dir)))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), packing.Packing(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_token_files, op3_quality, op4_html, op5_bpe, op6_topk, op7_neardup, op8_mixing, op9_substrings,
-        op10_language_id, op11_runs, op12_merkle,
+        op10_language_id, op11_runs, op12_merkle, op13_packing,
     )
 }
 
