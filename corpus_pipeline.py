@@ -59,7 +59,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32), hashes of the ids and of the bytes decoded from them."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digest(bpe.encode(docs, ranks, pattern), ranks, pattern, keep_ids=True)
+    return bpe.round_trip(docs, ranks, pattern, keep_ids=True)
 
 
 STAGES = [
