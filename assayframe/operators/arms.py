@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions.draws import draw_hash
-from assayframe.operators.dedup import ARM_THRESHOLD, Scale, greedy_keep
+from assayframe.operators.dedup import ARM_THRESHOLD, Scale
+from assayframe.operators.neighbours import greedy_cases
 from assayframe.operators.ranking import draw_cutoffs, with_cut
 from assayframe.operators.splits import ceil_share
 from assayframe.sources.session import settle
@@ -14,12 +15,13 @@ from assayframe.sources.session import settle
 
 def survivors(rows: DataFrame, comp: DataFrame, scale: Scale, threshold: float, by: list[str] | None = None, **kw) -> DataFrame:
     """Rows (``by`` columns, row_id, item) whose item survives the greedy rule run on the
-    items of their group. The decision is per item, so every row of a kept item stays."""
+    items of their group. The decision is per item, so every row of a kept item stays. All
+    groups are resolved from one table of near pairs."""
     by = list(by or [])
     name = F.concat_ws("/", *by) if by else F.lit("all")
     tagged = rows.withColumn("grp", name)
     members = tagged.select("grp", F.col("item").alias("row_id")).distinct()
-    kept = greedy_keep(comp, scale, threshold, members=members, **kw).select("grp", F.col("row_id").alias("item"))
+    kept = greedy_cases(comp, scale, [threshold], members, **kw).select("grp", F.col("row_id").alias("item"))
     return tagged.join(kept, ["grp", "item"], "left_semi").select(*rows.columns)
 
 

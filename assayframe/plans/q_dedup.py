@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayframe.functions.numeric import six
 from assayframe.operators import arms as R
 from assayframe.operators import dedup as X
+from assayframe.operators import neighbours as N
 from assayframe.operators import splits as S
 from assayframe.plans import curation
 from assayframe.plans import standins as D
@@ -167,7 +168,43 @@ def _subsets(spark, sf):
 
 @query("f5_fold_dedup_arm", _FOLDS + "SELECT 'region' AS split, fold, 'dedup' AS arm, row_id FROM ded")
 def _(spark, sf):
-    return _subsets(spark, sf).where("arm = 'dedup'").drop("item")
+    comp = settle(D.composition(spark, sf, "l_suppkey"), "comp")
+    kept = R.survivors(_supplier_train(spark, sf), comp, D.brand_scale(spark, sf), _T, ["split", "fold"])
+    return kept.select("split", "fold", F.lit("dedup").alias("arm"), "row_id")
+
+
+_LEVELS = (0.1, 0.3, 0.6)
+_LEVELS_SQL = ", ".join(f"({t})" for t in _LEVELS)
+
+
+@query(
+    "f4_threshold_variants",
+    with_(
+        SUPP, _points_sql(), f"leveled AS (SELECT pts.*, t FROM pts, (VALUES {_LEVELS_SQL}) v(t))",
+        _greedy_sql("o.grp::DOUBLE", "leveled", "t::DOUBLE::VARCHAR"), recursive=True,
+    ) + "SELECT grp::DOUBLE AS threshold, row_id FROM kept",
+)
+def _(spark, sf):
+    comp = settle(D.composition(spark, sf, "l_suppkey"), "comp")
+    return N.greedy_cases(comp, D.brand_scale(spark, sf), list(_LEVELS)).select("threshold", "row_id")
+
+
+@query(
+    "f5_threshold_sweep",
+    with_(
+        SUPP, _points_sql(),
+        "sr AS (SELECT s_suppkey, n_regionkey::VARCHAR AS reg FROM supplier JOIN nation ON s_nationkey=n_nationkey)",
+        f"tr AS (SELECT fold, s_suppkey AS row_id, t FROM sr, (SELECT DISTINCT reg AS fold FROM sr), (VALUES {_LEVELS_SQL}) v(t) WHERE reg<>fold)",
+        "fpts AS (SELECT fold, t, pts.* FROM tr JOIN pts ON pts.row_id=tr.row_id)",
+        _greedy_sql("split_part(o.grp, '@', 2)::DOUBLE", "fpts", "fold||'@'||t::DOUBLE"), recursive=True,
+    ) + """SELECT split_part(grp, '@', 2)::DOUBLE AS threshold, split_part(grp, '@', 1) AS fold, count(*)::BIGINT AS n_kept, sum(row_id)::BIGINT AS id_sum
+    FROM kept GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    comp = settle(D.composition(spark, sf, "l_suppkey"), "comp")
+    members = _supplier_train(spark, sf).select(F.col("fold").alias("grp"), "row_id")
+    kept = N.greedy_cases(comp, D.brand_scale(spark, sf), list(_LEVELS), members)
+    return kept.groupBy("threshold", F.col("grp").alias("fold")).agg(F.count(F.lit(1)).alias("n_kept"), F.sum("row_id").alias("id_sum"))
 
 
 @query("f6_size_matched_control", _FOLDS + "SELECT 'region' AS split, fold, 'sizematched' AS arm, row_id FROM ctl")
