@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayframe.functions.numeric import six
+from assayframe.operators import linear as L
 from assayframe.operators import metrics as I
 from assayframe.operators import models as J
 from assayframe.plans import standins as D
@@ -299,9 +300,19 @@ def _(spark, sf):
     return _rounded(I.evaluate(pred, ["fold", "seed"]).select("fold", "seed", "n_test", "mae", "rmse", "r2"), "fold", "seed", "n_test")
 
 
+def _plain_rows(spark, sf, features):
+    """Orders with plain feature columns (no gaps), part and fold."""
+    from assayframe.operators.splits import random_parts
+
+    df = D.order_features(spark, sf).select("row_id", "target", "fold", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    df = settle(df, "plain-features")
+    parts = random_parts(df.select("row_id")).withColumnRenamed("part", "role")
+    return settle(df.join(parts, "row_id"), "plain-rows")
+
+
 @query("j3_grid_search")
 def _(spark, sf):
-    return _rounded(J.grid_search(_model_rows(spark, sf), "target"), "reg", "mix")
+    return _rounded(L.elastic_grid(_plain_rows(spark, sf, _X), "target", _X, (0.0, 0.1, 100.0, 10_000.0), (0.0, 0.5, 1.0)), "reg", "mix")
 
 
 @query("j4_log_target")
@@ -324,13 +335,8 @@ def _errors_sql(p):
     {r6(f'1-sum(({p}-y)*({p}-y))/(var_pop(y)*count(*))')} AS r2"""
 
 
-def _least_rows(spark, sf):
-    from assayframe.operators.splits import random_parts
-
-    df = D.order_features(spark, sf).select("row_id", "target", "fold", F.coalesce(F.col("qty").cast("double"), F.lit(0.0)).alias("qty"))
-    df = settle(df, "one-feature")
-    parts = random_parts(df.select("row_id")).withColumnRenamed("part", "role")
-    return settle(J.assemble(df.join(parts, "row_id"), ["qty"], ["row_id", "target", "role", "fold"]), "model-rows")
+def _three_mae(out):
+    return out.select("reg", "mix", (F.floor(F.col("val_mae") * 1e3 + 0.5) / 1e3).alias("val_mae"))
 
 
 def _three_all(df, *keep):
@@ -350,12 +356,44 @@ def _three_all(df, *keep):
     + f"SELECT cr.f AS fold, cr.seed, {_errors_sql('(a+b*x)')} FROM cr JOIN ft ON ft.f=cr.f AND ft.seed=cr.seed WHERE test GROUP BY 1,2",
 )
 def _(spark, sf):
-    rows = _least_rows(spark, sf).drop("role")
-    folds = sorted(r[0] for r in rows.select("fold").distinct().collect())
-    pred = J.sweep(rows, "target", ["qty"], folds, [42, 43], estimator=J.least_squares)
+    pred, _ = L.elastic_sweep(_plain_rows(spark, sf, ["qty"]), "target", ["qty"], [42, 43], [(0.0, 0.0)])
     return _three_all(I.evaluate(pred, ["fold", "seed"]), "fold", "seed")
 
 
+# Two-feature ridge and one-feature elastic net have closed forms: with standardised features and the penalty on them.
+_M2 = """m2 AS (SELECT o_orderkey AS row_id, o_totalprice AS y, o_orderpriority AS fold, coalesce(q, 0)::DOUBLE AS x1, coalesce(n, 0)::DOUBLE AS x2 FROM orders
+ LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey=o_orderkey)"""
+
+
+def _ridge_sql(src, keys, reg):
+    """CTEs mo and ft (keys, a, b1, b2) of the ridge on x1 and x2."""
+    by = f"{keys}, " if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    return f"""mo AS (SELECT {by}avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1,x2) AS c12, covar_pop(x1,y) AS c1y, covar_pop(x2,y) AS c2y FROM {src} {group}),
+    st AS (SELECT *, c12/(s1*s2) AS r, c1y/s1 AS u1, c2y/s2 AS u2 FROM mo),
+    pe AS (SELECT *, (1+reg)*(1+reg)-r*r AS det FROM st, (VALUES {reg}) g(reg)),
+    co AS (SELECT *, ((1+reg)*u1-r*u2)/det/s1 AS b1, ((1+reg)*u2-r*u1)/det/s2 AS b2 FROM pe),
+    ft AS (SELECT *, my-b1*m1-b2*m2 AS a FROM co)"""
+
+
+@query(
+    "j2_ridge_sweep",
+    with_(
+        _M2,
+        """cr AS (SELECT f.fold AS f, s.seed AS seed, y, x1, x2, m2.fold=f.fold AS test, row_number() OVER (PARTITION BY f.fold, s.seed, m2.fold=f.fold
+          ORDER BY md5(s.seed||':val/'||f.fold||':'||row_id), row_id) AS r, count(*) OVER (PARTITION BY f.fold, s.seed, m2.fold=f.fold) AS n
+          FROM m2, (SELECT DISTINCT fold FROM m2) f, (VALUES (42),(43),(44)) s(seed))""",
+        "tr AS (SELECT * FROM cr WHERE NOT test AND r > greatest(1, n//10))",
+        _ridge_sql("tr", "f, seed", "(0.0e0),(0.5e0),(4.0e0)"),
+    )
+    + f"SELECT cr.f AS fold, cr.seed, reg, {_errors_sql('(a+b1*x1+b2*x2)')} FROM cr JOIN ft ON ft.f=cr.f AND ft.seed=cr.seed WHERE test GROUP BY 1,2,3",
+)
+def _(spark, sf):
+    features = ["qty", "n_lines"]
+    pred, _ = L.elastic_sweep(_plain_rows(spark, sf, features), "target", features, [42, 43, 44], [(0.0, 0.0), (0.5, 0.0), (4.0, 0.0)])
+    return _three_all(I.evaluate(pred, ["fold", "seed", "reg"]), "fold", "seed", "reg")
+
+
 _PX = with_(PARTS, _MX, "px AS (SELECT mx.*, part FROM mx JOIN parts ON parts.row_id=mx.row_id)")
 
 
@@ -365,8 +403,27 @@ _PX = with_(PARTS, _MX, "px AS (SELECT mx.*, part FROM mx JOIN parts ON parts.ro
     SELECT 0e0 AS reg, mix, {_three('avg(abs(a+b*x-y))')} AS val_mae FROM px, ft, (VALUES (0e0),(0.5e0)) m(mix) WHERE part='val' GROUP BY mix""",
 )
 def _(spark, sf):
-    out = J.grid_search(_least_rows(spark, sf), "target", reg=(0.0,))
-    return out.select("reg", "mix", (F.floor(F.col("val_mae") * 1e3 + 0.5) / 1e3).alias("val_mae"))
+    return _three_mae(L.elastic_grid(_plain_rows(spark, sf, ["qty"]), "target", ["qty"], (0.0,), (0.0, 0.5)))
+
+
+@query(
+    "j3_ridge_grid",
+    with_(PARTS, _M2, "px AS (SELECT m2.*, part FROM m2 JOIN parts ON parts.row_id=m2.row_id)", "tr AS (SELECT * FROM px WHERE part='train')", _ridge_sql("tr", "", "(0.1e0),(1.0e0),(25.0e0)"))
+    + f"SELECT reg, 0e0 AS mix, {_three('avg(abs(a+b1*x1+b2*x2-y))')} AS val_mae FROM px, ft WHERE part='val' GROUP BY reg",
+)
+def _(spark, sf):
+    features = ["qty", "n_lines"]
+    return _three_mae(L.elastic_grid(_plain_rows(spark, sf, features), "target", features, (0.1, 1.0, 25.0), (0.0,)))
+
+
+@query(
+    "j3_elastic_grid",
+    _PX + f""", mo AS (SELECT avg(y) AS my, avg(x) AS m, stddev_pop(x) AS s, covar_pop(x,y) AS c FROM px WHERE part='train'),
+    co AS (SELECT *, sign(c/s)*greatest(abs(c/s)-reg*mix, 0)/(1+reg*(1-mix))/s AS b FROM mo, (VALUES (0.5e0),(1000e0),(1000000e0)) g(reg), (VALUES (0e0),(0.3e0),(1e0)) h(mix))
+    SELECT reg, mix, {_three('avg(abs(my+b*(x-m)-y))')} AS val_mae FROM px, co WHERE part='val' GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return _three_mae(L.elastic_grid(_plain_rows(spark, sf, ["qty"]), "target", ["qty"], (0.5, 1000.0, 1_000_000.0), (0.0, 0.3, 1.0)))
 
 
 @query(
@@ -375,5 +432,6 @@ def _(spark, sf):
     SELECT {_errors_sql('(exp(a+b*x)-1)')} FROM px, ft WHERE part='test'""",
 )
 def _(spark, sf):
-    pred, _ = J.least_squares(_least_rows(spark, sf), "target", ["qty"], log_target=True)
+    rows = J.assemble(_plain_rows(spark, sf, ["qty"]), ["qty"], ["row_id", "target", "role", "fold"])
+    pred, _ = J.least_squares(rows, "target", ["qty"], log_target=True)
     return _three_all(I.evaluate(pred.withColumnRenamed("target", "y_true"), []))
