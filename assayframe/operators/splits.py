@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.draws import draw_hash
 from assayframe.operators.composition import MANY, NONE
+from assayframe.operators.clustering import clusters, farthest
 from assayframe.operators.ranking import draw_cutoffs, global_rank, with_cut
 from assayframe.sources.session import settle
 
@@ -266,21 +267,13 @@ def range_extrapolation(
     return out.select(F.lit("extrapolation").alias("split"), F.inline(F.array(*sides)), "row_id")
 
 
-def feature_holdout(
-    rows: DataFrame, vector: str, k: int = 8, seed: int = 42, min_test: int = 30
-) -> DataFrame | None:
-    """(row_id, is_test): the k-means cluster farthest from the mean after standardising;
+def feature_holdout(rows: DataFrame, vector: str, k: int = 8, seed: int = 42, min_test: int = 30, steps: int = 10) -> DataFrame | None:
+    """(row_id, is_test): the cluster of the standardised array column ``vector`` whose centre is farthest from the mean;
     None when it holds fewer than ``min_test`` rows. Not part of the suite."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler
-
-    scaler = StandardScaler(inputCol=vector, outputCol="_z", withMean=True, withStd=True).fit(rows)
-    scaled = settle(scaler.transform(rows).select("row_id", "_z"), "scaled")
-    model = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="_c", maxIter=40).fit(scaled)
-    # The scaled data have mean zero, so a centre's norm is its distance from the mean.
-    norms = [float((c * c).sum()) for c in model.clusterCenters()]
-    far = max(range(len(norms)), key=norms.__getitem__)
-    out = settle(model.transform(scaled).select("row_id", (F.col("_c") == far).alias("is_test")), "far-cluster")
+    labelled, centres = clusters(rows, vector, k, seed, steps)
+    if not centres:
+        return None
+    out = settle(labelled.select("row_id", (F.col("cluster") == farthest(centres)).alias("is_test")), "far-cluster")
     return None if out.where("is_test").count() < min_test else out
 
 

@@ -129,15 +129,44 @@ def _(spark, sf):
     return S.range_extrapolation(D.order_rows(spark, sf), "target", 450000.0)
 
 
-@query("g9_feature_holdout")
-def _(spark, sf):
-    from pyspark.ml.functions import array_to_vector
+_K, _STEPS = 8, 10
+
+
+def _cluster_sql(src, p, k=_K, steps=_STEPS, seed=42):
+    """CTEs up to lab(row_id, j, far): seeding races and centre steps over src(row_id, v), spelled out round by round."""
+    d = lambda c: f"list_sum(list_transform(range(1,{p + 1}), lambda i: (z[i]-{c}[i])*(z[i]-{c}[i])))::BIGINT"
+    u = lambda r: f"((('0x'||md5('{seed}:centre/{r}:'||row_id)[1:8])::BIGINT::DOUBLE + 0.5e0)/4294967296e0)"
+    out = [
+        f"q AS MATERIALIZED (SELECT row_id, list_transform(v, lambda x: floor(x::DOUBLE/1e-6+0.5e0)::BIGINT) AS q FROM {src})",
+        "e AS (SELECT row_id, i, q[i] AS x FROM q, range(1, %d) r(i))" % (p + 1),
+        """m AS (SELECT i, sum(x)::HUGEINT::DOUBLE/count(*) AS m, sqrt((count(*)*sum(x::HUGEINT*x)::HUGEINT-sum(x)::HUGEINT*sum(x)::HUGEINT)::DOUBLE)/count(*) AS s FROM e GROUP BY i)""",
+        f"z AS MATERIALIZED (SELECT row_id, list(CASE WHEN s>0 THEN floor((x-m)/s*65536+0.5e0)::BIGINT ELSE 0 END ORDER BY e.i) AS z FROM e JOIN m ON e.i=m.i GROUP BY row_id)",
+        f"w0 AS MATERIALIZED (SELECT arg_min(z, {{'k': -ln({u(0)}), 'r': row_id}}) AS c FROM z)",
+        f"n0 AS MATERIALIZED (SELECT row_id, z, {d('c')} AS far FROM z, w0)",
+    ]
+    for r in range(1, k):
+        out.append(f"w{r} AS MATERIALIZED (SELECT arg_min(z, {{'k': -ln({u(r)})/far::DOUBLE, 'r': row_id}}) AS c FROM n{r - 1} WHERE far>0)")
+        out.append(f"n{r} AS MATERIALIZED (SELECT row_id, z, least(far, {d('c')}) AS far FROM n{r - 1}, w{r})")
+    out.append("c0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {r} AS j, c FROM w{r}" for r in range(k)) + ")")
+    for s in range(steps + 1):
+        out.append(f"a{s} AS MATERIALIZED (SELECT row_id, z, arg_min(j, {{'d': {d('c')}, 'j': j}}) AS j FROM z, c{s} GROUP BY row_id, z)")
+        if s < steps:
+            mean = f"SELECT j, list(floor(t/n)::BIGINT ORDER BY i) AS c FROM (SELECT j, i, sum(z[i])::HUGEINT AS t, count(*) AS n FROM a{s}, range(1, {p + 1}) r(i) GROUP BY 1, 2) GROUP BY j"
+            out.append(f"c{s + 1} AS MATERIALIZED (SELECT c.j, coalesce(n.c, c.c) AS c FROM c{s} c LEFT JOIN ({mean}) n ON n.j=c.j)")
+    out.append(f"fc AS (SELECT arg_max(j, {{'d': list_sum(list_transform(c, lambda x: x*x))::BIGINT, 'j': -j}}) AS far FROM c{steps})")
+    out.append(f"lab AS (SELECT row_id, j, far FROM a{steps}, fc)")
+    return ",\n".join(out)
+
 
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), array_to_vector("embedding").alias("v"))
-    out = S.feature_holdout(e, "v")
-    if out is None:  # one row that says so
-        return spark.range(1).selectExpr("CAST(NULL AS BIGINT) AS row_id", "CAST(NULL AS BOOLEAN) AS is_test", "'cluster too small' AS note")
-    return out.withColumn("note", F.lit(None).cast("string"))
+@query(
+    "g9_feature_holdout",
+    with_("src AS (SELECT vec_id AS row_id, embedding AS v FROM embeddings)", _cluster_sql("src", 64))
+    + "SELECT row_id, j=far AS is_test FROM lab WHERE (SELECT count(*) FROM lab WHERE j=far) >= 30",
+)
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    out = S.feature_holdout(e, "embedding", _K, steps=_STEPS)
+    return spark.createDataFrame([], "row_id long, is_test boolean") if out is None else out
 
 
 def _carve_sql(rule, take):
