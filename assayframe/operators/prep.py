@@ -12,11 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions.periodic import SYMBOLS
+from assayframe.operators import wide
 from assayframe.operators.ranking import exact_quantiles
 
 CORR_LIMIT = 0.95
@@ -86,107 +86,52 @@ def fold_medians(df: DataFrame, features: list[str], fold: str, labels: list[str
     return exact_quantiles(long, ["fold", "feature"], "value", [0.5], weight="w")
 
 
-def cross_sums(df: DataFrame, features: list[str], target: str, fold: str, origin: list[float]) -> DataFrame:
-    """(fold, i, j, v): sums of products over [1, y, x.., missing..], shifted by ``origin``
-    and zero where missing. Each task adds up its own rows and emits one small matrix."""
-    p = len(features)
-    sizes = 2 + 2 * p
-
-    def accumulate(batches):
-        sums: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            x = pdf[[f"f{i}" for i in range(p)]].to_numpy(dtype="float64")
-            gap = np.isnan(x)
-            x = np.where(gap, 0.0, x - np.asarray(origin[1:]))
-            y = pdf["y"].to_numpy(dtype="float64") - origin[0]
-            z = np.column_stack([np.ones(len(y)), y, x, gap.astype("float64")])
-            for name, where in pdf.groupby("fold", sort=False).indices.items():
-                part = z[where].T @ z[where]
-                sums[name] = part if name not in sums else sums[name] + part
-        for name, m in sums.items():
-            i, j = np.nonzero(np.triu(m))
-            yield pd.DataFrame({"fold": name, "i": i.astype("int32"), "j": j.astype("int32"), "v": m[i, j]})
-
-    cols = [F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)]
-    flat = df.select(F.col(fold).cast("string").alias("fold"), F.col(target).cast("double").alias("y"), *cols)
-    assert sizes == 2 * (p + 1)
-    parts = flat.mapInPandas(accumulate, "fold string, i int, j int, v double")
-    return parts.groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
+def redundant(r: np.ndarray, to_target: np.ndarray, limit: float, safe: list[bool]) -> set[int]:
+    """Columns to drop for the correlations ``r``: see ``wide.settle_pairs``."""
+    return wide.settle_pairs(np.argwhere(np.triu(np.abs(r) > limit, 1)), to_target, safe)
 
 
-def redundant(r: np.ndarray, to_target: np.ndarray, limit: float, safe: list[bool]) -> set[int]:
-    """Columns to drop. The pairs above the limit are settled in order of (first, second) as long as both of a pair
-    are still in: the one that ranks lower by (protected, relation to the target, earlier place) goes, unless it is protected."""
-    still_in = np.ones(len(safe), bool)
-    for pair in np.argwhere(np.triu(np.abs(r) > limit, 1)).tolist():
-        if still_in[pair].all():
-            lower = min(pair, key=lambda c: (safe[c], to_target[c], -c))
-            still_in[lower] = safe[lower]
-    return set(np.flatnonzero(~still_in).tolist())
-
-
-def _finish(sums: np.ndarray, features: list[str], med: dict[str, float], origin: list[float], limit: float, safe: set[str]) -> FittedPrep:
-    """Turn the sums of one training side into fitted statistics."""
-    dropped = {f: "all missing" for f in features if f not in med}
-    use = [i for i, f in enumerate(features) if f in med]
-    p = len(features)
-    n = sums[0, 0]
-    # Imputing adds (median - origin) wherever a value is missing: a linear map of the summed columns.
-    lift = np.zeros((len(use) + 2, 2 + 2 * p))
-    lift[0, 0] = lift[1, 1] = 1.0
-    for row, i in enumerate(use):
-        lift[row + 2, 2 + i] = 1.0
-        lift[row + 2, 2 + p + i] = med[features[i]] - origin[1 + i]
-    g = lift @ sums @ lift.T
-    avg = g[0] / n
-    cov = g / n - np.outer(avg, avg)
-    power = np.diag(g) / n
-    var = np.where(np.diag(cov) <= 1e-13 * power, 0.0, np.diag(cov))
-
-    cols = []
-    for row, i in enumerate(use):
-        f = features[i]
-        if var[row + 2] > 0 or f in safe:
-            cols.append((f, row + 2))
-        else:
+def _finish(side: wide.Margins, gone: set[int], features: list[str], med: dict[str, float], origin: np.ndarray, safe: set[str]) -> FittedPrep:
+    """Fitted statistics of one training side."""
+    dropped, kept = {}, []
+    for i, f in enumerate(features):
+        if f not in med:
+            dropped[f] = "all missing"
+        elif not side.sd[i] > 0 and f not in safe:
             dropped[f] = "zero variance"
-    at = [1] + [k for _, k in cols]
-    sd = np.sqrt(var[at])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        corr = np.round(cov[np.ix_(at, at)] / np.outer(sd, sd), 12)
-    corr = np.where(np.isfinite(corr), corr, 0.0)
-    out = redundant(corr[1:, 1:], np.abs(corr[0, 1:]), limit, [f in safe for f, _ in cols])
-    kept = []
-    for pos, (f, k) in enumerate(cols):
-        if pos in out:
+        elif i in gone:
             dropped[f] = "correlated"
         else:
-            kept.append((f, k))
-    where = {f: i for i, f in enumerate(features)}
+            kept.append((i, f))
     return FittedPrep(
-        kept=[f for f, _ in kept],
+        kept=[f for _, f in kept],
         median=med,
-        mean={f: float(avg[k] + origin[1 + where[f]]) for f, k in kept},
-        scale={f: float(np.sqrt(var[k])) if var[k] > 0 else 1.0 for f, k in kept},
+        mean={f: float(side.mean[1 + i] + origin[1 + i]) for i, f in kept},
+        scale={f: float(side.sd[i]) if side.sd[i] > 0 else 1.0 for i, f in kept},
         dropped=dropped,
     )
 
 
 def fit_folds(
     df: DataFrame, features: list[str], target: str, fold: str | None = None, labels: list[str] | None = None,
-    limit: float = CORR_LIMIT, names: list[str] | None = None,
+    limit: float = CORR_LIMIT, names: list[str] | None = None, block: int = wide.BLOCK,
 ) -> dict[str, FittedPrep]:
-    """Fit every fold's training side at once.
+    """Fit every fold's training side at once. Products are summed in blocks of ``block`` features, so the table may be wide: what reaches the
+    driver is a few numbers a feature and fold.
 
     With ``fold``, a row is on the test side of its own fold and trains the others
     named in ``labels``; without it all rows train the single fold "all". ``names`` turns on
     the protection of element columns.
     """
     safe = protected_columns(names)
-    rows = df.withColumn("_fold", F.col(fold).cast("string") if fold else F.lit("none"))
+    rows = df.withColumn("_fold", F.coalesce(F.col(fold).cast("string"), F.lit("")) if fold else F.lit("none"))
     # Any fixed value near the data serves as origin; the minimum keeps constants exact.
-    low = rows.agg(F.min(number(target)), *[F.min(number(f)) for f in features]).first()
-    origin = [0.0 if v is None else float(v) for v in low]
+    low = rows.agg(
+        F.min(number(target)), *[F.min(number(f)) for f in features], *[F.count_if(number(f).isNull()) for f in features]
+    ).first()
+    p = len(features)
+    origin = np.array([0.0 if v is None else float(v) for v in low[: p + 1]])
+    layout = wide.Layout(p, [i for i, n in enumerate(low[p + 1 :]) if n], block)
     labels = ["all"] if fold is None else list(labels)
     med_rows = (
         medians(rows, features).withColumn("fold", F.lit("all")) if fold is None else fold_medians(rows, features, "_fold", labels)
@@ -194,13 +139,12 @@ def fit_folds(
     med: dict[str, dict[str, float]] = {x: {} for x in labels}
     for r in med_rows:
         med[r["fold"]][r["feature"]] = float(r["quantile"])
-    size = 2 + 2 * len(features)
-    by: dict[str, np.ndarray] = {}
-    for r in cross_sums(rows, features, target, "_fold", origin).collect():
-        m = by.setdefault(r["fold"], np.zeros((size, size)))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
-    total = sum(by.values(), np.zeros((size, size)))
-    return {x: _finish(total - by.get(x, 0.0), features, med[x], origin, limit, safe) for x in labels}
+    # imputing adds (median - origin) wherever a value is missing
+    lifts = {x: np.array([med[x][f] - origin[1 + i] if f in med[x] else 0.0 for i, f in enumerate(features)]) for x in labels}
+    sides, gone = wide.correlated(
+        rows, number(target), [number(f) for f in features], layout, origin, lifts, limit, [f in safe for f in features], fold is not None
+    )
+    return {x: _finish(sides[x], gone[x], features, med[x], origin, safe) for x in labels}
 
 
 def fit(df: DataFrame, features: list[str], target: str, limit: float = CORR_LIMIT, names: list[str] | None = None) -> FittedPrep:
