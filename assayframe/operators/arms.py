@@ -10,6 +10,7 @@ from assayframe.operators.dedup import ARM_THRESHOLD, Scale
 from assayframe.operators.neighbours import greedy_cases
 from assayframe.operators.ranking import draw_cutoffs, with_cut
 from assayframe.operators.splits import ceil_share
+from assayframe.sources.artifacts import Ledger
 from assayframe.sources.session import settle
 
 
@@ -49,6 +50,18 @@ def train_subsets(
     )
 
 
+def resumed_subsets(
+    ledger: Ledger, train: DataFrame, comp: DataFrame, scale: Scale, threshold: float = ARM_THRESHOLD, seed: int = 42, by: tuple[str, ...] = ("split", "fold")
+) -> DataFrame:
+    """``train_subsets`` with a unit of work for each (split, fold), or for each split with ``by`` = ("split",): what a stopped run has finished
+    is not done again, and nothing is published before all units are done."""
+    name = F.concat_ws("/", *by)
+    units = sorted(r[0] for r in train.select(name).distinct().collect())  # one row a unit
+    ledger.run(units, lambda unit: train_subsets(train.where(name == unit), comp, scale, threshold, seed))
+    ledger.publish(units)
+    return ledger.published().drop("unit")
+
+
 def arm_sizes(train: DataFrame, subsets: DataFrame) -> DataFrame:
     """(split, fold, n_train, n_dedup)."""
     on = ["split", "fold"]

@@ -13,7 +13,8 @@ from assayframe.plans import curation
 from assayframe.plans import standins as D
 from assayframe.plans.registry import query
 from assayframe.plans.standins import COMP, NUM, SYM, r6, table, with_
-from assayframe.sources.session import settle
+from assayframe.sources.artifacts import Ledger
+from assayframe.sources.session import new_table_path, settle
 
 
 @query(
@@ -217,6 +218,17 @@ def _(spark, sf):
     return R.arm_sizes(_supplier_train(spark, sf), _subsets(spark, sf))
 
 
+@query("f7_resumed_subsets", _FOLDS + "SELECT 'region' AS split, tr.fold, count(*)::BIGINT AS n_train, any_value(k)::BIGINT AS n_dedup FROM tr JOIN sz ON sz.fold=tr.fold GROUP BY 2")
+def _(spark, sf):
+    """A first run does two folds and stops; a second one finishes, publishes and is read."""
+    train = settle(_supplier_train(spark, sf), "train")
+    comp, scale = settle(D.composition(spark, sf, "l_suppkey"), "comp"), D.brand_scale(spark, sf)
+    ledger = Ledger(spark, new_table_path(spark, "ledger"))
+    folds = sorted(r[0] for r in train.select(F.concat_ws("/", "split", "fold")).distinct().collect())
+    ledger.run(folds[:2], lambda unit: R.train_subsets(train.where(F.concat_ws("/", "split", "fold") == unit), comp, scale, _T))
+    return R.arm_sizes(train, R.resumed_subsets(ledger, train, comp, scale, _T))
+
+
 _ARMS = with_(
     SUPP, _points_sql(),
     "q AS (SELECT ceil(0.15e0*count(*))::BIGINT AS nt FROM supplier)",

@@ -9,12 +9,14 @@ from assayframe.functions.numeric import six
 from assayframe.operators import composition as C
 from assayframe.operators import filters as B
 from assayframe.operators import gates as K
+from assayframe.operators import part_gates as PG
 from assayframe.operators import splits as S
 from assayframe.plans import standins as D
 from assayframe.plans.curation import stage_counts
 from assayframe.plans.registry import query
 from assayframe.plans.standins import CAT, COMP, r6, table, with_
 from assayframe.operators.dedup import one_per_key
+from assayframe.sources import artifacts as J
 from assayframe.sources import fold_files as FF
 from assayframe.sources import tables as A
 from assayframe.sources.session import new_table_path, settle
@@ -97,19 +99,32 @@ def _(spark, sf):
     return A.read_folds(spark, path, ["lomo"]).select("split", "fold", "role", "row_id")
 
 
-@query(
-    "a6_fold_manifest",
+_MANIFEST_SQL = (
     _LOMO.rstrip() + """,
     m AS (SELECT 'lomo' AS split, fold, sum((category<>fold)::INT)::BIGINT AS n_train, sum((category=fold)::INT)::BIGINT AS n_test FROM cat, f GROUP BY 2
       UNION ALL SELECT 'priority', p, (SELECT count(*) FROM orders)-count(*), count(*) FROM (SELECT o_orderpriority AS p FROM orders) GROUP BY 2)
     SELECT s.split, fold, coalesce(n_train,0)::BIGINT AS n_train, coalesce(n_test,0)::BIGINT AS n_test
-    FROM (VALUES ('lomo'),('priority'),('feature_ood')) s(split) LEFT JOIN m ON m.split=s.split""",
+    FROM (VALUES ('lomo'),('priority'),('feature_ood')) s(split) LEFT JOIN m ON m.split=s.split"""
 )
-def _(spark, sf):
+
+
+def _manifest(spark, sf):
     counts = S.fold_counts(_lomo(spark, sf), "lomo").unionByName(S.fold_counts(_by_priority(spark, sf), "priority"))
     return S.listed(counts, ["lomo", "priority", "feature_ood"])
 
 
+@query("a6_fold_manifest", _MANIFEST_SQL)
+def _(spark, sf):
+    return _manifest(spark, sf)
+
+
+@query("a6_manifest_json", _MANIFEST_SQL)
+def _(spark, sf):
+    rows = _manifest(spark, sf)
+    path = J.write_json(rows, new_table_path(spark, "manifest"), by=["split"])
+    return J.read_json(spark, path, rows.schema).select(*rows.columns)
+
+
 PARTS = """q AS (SELECT count(*) AS n, ceil(0.15e0*count(*))::BIGINT AS nt FROM orders),
 q2 AS (SELECT nt, ceil((0.15e0/(1-0.15e0))*(n-nt))::BIGINT AS nv FROM q),
 rk AS (SELECT o_orderkey AS row_id, o_totalprice AS target, row_number() OVER (ORDER BY md5('42:parts:'||o_orderkey), o_orderkey) AS r FROM orders),
@@ -127,23 +142,39 @@ def _(spark, sf):
     return spark.read.parquet(path).select("part", "material_id", "formula", six(F.col("target").cast("double")).alias("target"))
 
 
-@query(
-    "a8_history_rows",
+_HISTORY_SQL = (
     f"""WITH h AS (SELECT vec_id, label, embedding AS t, list_reverse(embedding) AS p, unnest(range(0, len(embedding))) AS pos FROM embeddings)
     SELECT vec_id, pos::BIGINT AS pos, {r6('t[pos+1]::DOUBLE')} AS y_true, {r6('p[pos+1]::DOUBLE')} AS y_pred,
-      CASE WHEN label<>0 THEN pos::BIGINT END AS item FROM h""",
+      CASE WHEN label<>0 THEN pos::BIGINT END AS item FROM h"""
 )
-def _(spark, sf):
-    runs = table(spark, sf, "embeddings").select(
+
+
+def _runs(spark, sf):
+    return table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").alias("test_true"), F.reverse("embedding").alias("test_pred"),
         F.when(F.col("label") != 0, F.sequence(F.lit(0).cast("bigint"), F.size("embedding").cast("bigint") - 1)).otherwise(
             F.array(F.lit(0).cast("bigint"))
         ).alias("ids"),
     )
+
+
+def _history(runs):
     out = A.flatten_history(runs, ["vec_id"], "test_true", "test_pred", {"item": "ids"})
     return out.select("vec_id", "pos", six(F.col("y_true")).alias("y_true"), six(F.col("y_pred")).alias("y_pred"), "item")
 
 
+@query("a8_history_rows", _HISTORY_SQL)
+def _(spark, sf):
+    return _history(_runs(spark, sf))
+
+
+@query("a8_history_json", _HISTORY_SQL)
+def _(spark, sf):
+    """Nested histories, one JSON record a run, read back and flattened."""
+    runs = _runs(spark, sf)
+    return _history(J.read_json(spark, J.write_json(runs, new_table_path(spark, "history")), runs.schema))
+
+
 @query(
     "a9_given_folds",
     """WITH l AS (SELECT l_linenumber AS n, p_brand AS b FROM lineitem JOIN part ON l_partkey=p_partkey),
@@ -335,3 +366,20 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return K.part_manifest(table(spark, sf, "lineitem"), "l_returnflag")
+
+
+@query(
+    "k1_incremental_fingerprint",
+    f"SELECT {_FP} FROM (SELECT md5({_LINE_ROW}) AS h FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber=1))",
+)
+def _(spark, sf):
+    """Digests of a table's files, then of the one that comes to it: the second run reads that one alone."""
+    lines = table(spark, sf, "lineitem")
+    folder, manifest = new_table_path(spark, "lines"), new_table_path(spark, "lines-manifest")
+    lines.repartition(4).write.parquet(folder)
+    PG.refresh(spark, folder, manifest, lines.schema)
+    lines.where("l_linenumber = 1").coalesce(1).write.mode("append").parquet(folder)
+    now, read = PG.refresh(spark, folder, manifest, lines.schema)
+    if len(read) != 1:
+        raise RuntimeError(f"{len(read)} files were read again")
+    return PG.total(now)
