@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayframe.functions.numeric import six
 from assayframe.operators import prep as H
 from assayframe.operators import properties as P
+from assayframe.operators import sketches as Q
 from assayframe.plans import standins as D
 from assayframe.plans.registry import query
 from assayframe.plans.standins import COMP, CP, PROPS, r6, with_
@@ -37,6 +38,35 @@ def _(spark, sf):
     return _six_all(P.describe_exact(D.table(spark, sf, "lineitem"), _COLS), "feature", "count")
 
 
+_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query(
+    "d4_sketched_quantiles",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, p::DOUBLE AS prob, (SELECT count({c}) FROM lineitem)::BIGINT AS n, true AS near FROM (VALUES {', '.join(f'({p})' for p in _PROBS)}) v(p)"
+        for c in _COLS
+    ),
+)
+def _(spark, sf):
+    """Sketches of the table's parts by return flag, merged; and whether the ranks of their quantiles, counted in the table, are near enough."""
+    lines = D.table(spark, sf, "lineitem")
+    stored = settle(Q.sketched(lines, _COLS, "l_returnflag"), "sketches")
+    asked = settle(Q.quantiles(Q.merged(stored), list(_PROBS)).select("feature", "prob", "n", "quantile"), "quantiles")
+    limits = {(r["feature"], r["prob"]): r["quantile"] for r in asked.collect()}  # one row a feature and probability
+    # the quantile is near if the share of smaller values and the share of values up to it reach around the probability
+    shares = [
+        F.struct(
+            F.lit(f).alias("feature"), F.lit(p).alias("prob"), F.avg((F.col(f) < F.lit(v)).cast("double")).alias("below"), F.avg((F.col(f) <= F.lit(v)).cast("double")).alias("upto")
+        )
+        for (f, p), v in limits.items()
+    ]
+    ranks = lines.agg(F.array(*shares).alias("s")).select(F.inline("s"))
+    slack = 2 * Q.rank_error(800)
+    near = (F.col("below") <= F.col("prob") + slack) & (F.col("upto") >= F.col("prob") - slack)
+    return asked.join(ranks, ["feature", "prob"]).select("feature", "prob", "n", near.alias("near"))
+
+
 def _wmean(p):
     return f"sum(CASE WHEN {p} IS NOT NULL THEN amount*{p} END)/sum(CASE WHEN {p} IS NOT NULL THEN amount END)"
 
