@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import WORD, whole_text, word_count
+from assayframe.llm.common import WORD, whole_text
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -33,6 +33,11 @@ PHRASES = (
     "all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|enable javascript|javascript is disabled|"
     "accept (all )?cookies|sign (in|up)|log in to|subscribe (now|to)|click here|read more|share this|lorem ipsum"
 )
+#: Each of the phrases contains one of these.
+PHRASE_WORDS = (
+    "rights reserved", "terms of", "privacy policy", "cookie", "javascript", "sign in", "sign up", "log in to", "subscribe", "click here", "read more",
+    "share this", "lorem ipsum",
+)
 SENTENCE_END = r"""[.!?…]["'”’»)\]]*([\x20\x09-\x0D]|\z)"""
 SEPARATOR = "[|>»·]"
 
@@ -51,18 +56,26 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def chars(text: Column) -> Column:
-    """Code points in words."""
-    return F.length(F.regexp_replace(text, SPACE, ""))
+def blanked(text: Column) -> Column:
+    """The text with every white space as a space."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def chars(blank: Column) -> Column:
+    """Code points in the words of a blanked text."""
+    return F.length(F.replace(blank, F.lit(" "), F.lit("")))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, phrases: Column) -> Column:
+    """``phrases``: whether the text has a word that a phrase must contain. Costly tests come last."""
     words = F.regexp_count(line, F.lit(WORD))
     separators = F.regexp_count(line, F.lit(SEPARATOR))
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    punctuation = ~line.rlike(SENTENCE_END) | (3 * symbols > words)
+    symbols = F.regexp_count(line, F.lit(f"[{SYMBOLS}]"))
+    punctuation = ~line.rlike(SENTENCE_END) | ((symbols > 0) & (3 * symbols > words))
     navigation = (separators >= 2) & (words - separators <= 6 * (separators + 1))
-    return punctuation | navigation | F.lower(line).rlike(PHRASES)
+    return punctuation | navigation | (phrases & F.lower(line).rlike(PHRASES))
 
 
 def repeated_words(words: Column) -> Column:
@@ -87,7 +100,8 @@ def repeated_words(words: Column) -> Column:
         return bound(bound(pairs, places), total)
 
     def counted(w: Column) -> Column:
-        hashes = windows(w, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        # windows without equal hashes have no equal words; a hash of each word, and one of the hashes of each window
+        hashes = bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: windows(h, lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(WINDOW)])))
         clear = bound(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
         return F.when(clear, F.lit(0).cast("long")).otherwise(covered(w))
 
@@ -98,23 +112,30 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs`` with the base figures, base_failed, kept and cleaned_text (the lines that pass)."""
     text = whole_text()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    words = F.filter(F.split(text, SPACE, -1), lambda x: x != "")
-    total = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + chars(x))
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + chars(blanked(x)))
+    some_phrase = F.col("_lower").contains(PHRASE_WORDS[0])
+    for word in PHRASE_WORDS[1:]:
+        some_phrase = some_phrase | F.col("_lower").contains(word)
     figures = (
-        docs.withColumn("n_words", word_count(text))
-        .withColumn("word_chars", chars(text).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(words))
+        docs.withColumn("_blank", blanked(text))
+        .withColumn("_words", F.array_remove(F.split("_blank", " ", -1), ""))
+        .withColumn("n_words", F.size("_words").cast("long"))
+        .withColumn("word_chars", chars(F.col("_blank")).cast("long"))
+        .withColumn("n_symbols", F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"))
+        .withColumn("n_repeat_words", repeated_words(F.col("_words")))
+        .drop("_words", "_blank")
+        .withColumn("_lower", F.lower(text))
+        .withColumn("_phrases", some_phrase)
         .withColumn("_lines", lines)
         .withColumn("_once", F.array_distinct("_lines"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size("_once")).cast("long"))
-        .withColumn("_good", F.filter("_once", lambda x: ~line_fails(x)))
+        .withColumn("_good", F.filter("_once", lambda x: ~line_fails(x, F.col("_phrases"))))
         .withColumn("cleaned_text", F.array_join("_good", "\n"))
         .withColumn("kept_chars", total(F.col("_good")))
     )
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
     enough = 100 * F.col("kept_chars") >= rules.least_kept * F.col("word_chars")
-    return figures.withColumn("base_failed", failed).withColumn("kept", ~failed & enough).drop("_lines", "_once", "_good")
+    return figures.withColumn("base_failed", failed).withColumn("kept", ~failed & enough).drop("_lines", "_once", "_good", "_lower", "_phrases")
 
 
 def digest(docs: DataFrame) -> DataFrame:
