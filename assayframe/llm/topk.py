@@ -93,31 +93,34 @@ def _cell(search: Search):
             exact = float(np.abs(q.astype(float)).max()) * float(np.abs(x.astype(float)).max()) * q.shape[1] < 2**52
             kind = np.float64 if exact else np.int64
             columns = Columns(rows["vec_id"].to_numpy(), x.astype(kind), search)
-            for query_id, query in zip(queries["vec_id"], q.astype(kind)):
+            for ask, query_id, query in zip(queries["ask"], queries["vec_id"], q.astype(kind)):
                 ids, scores = columns.nearest(query_id, query)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores.astype(np.int64)}))
+                out.append(pd.DataFrame({"ask": ask, "query_id": query_id, "vec_id": ids, "score": scores.astype(np.int64)}))
         elif len(queries) and len(rows):  # vectors of no dimension: every score is 0
-            for query_id in queries["vec_id"]:
+            for ask, query_id in zip(queries["ask"], queries["vec_id"]):
                 ids = np.sort(rows["vec_id"].to_numpy()[rows["vec_id"].to_numpy() != query_id])[: search.k]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": np.zeros(len(ids), np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+                out.append(pd.DataFrame({"ask": ask, "query_id": query_id, "vec_id": ids, "score": np.zeros(len(ids), np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"ask": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, search: Search = Search()) -> DataFrame:
-    """query_id, rank, vec_id, score: the best rows of ``vectors`` for each of ``queries`` (both vec_id, v)."""
+    """query_id, rank, vec_id, score: the best rows of ``vectors`` for each of ``queries`` (both vec_id, v). Every row of ``queries`` asks for itself,
+    so a repeated id has as many answers as rows."""
+    queries = settle(queries.select("vec_id", "v", F.monotonically_increasing_id().alias("ask")), "topk-queries")
+    vectors = vectors.select("vec_id", "v", F.lit(0).cast("long").alias("ask"))
     n_rows, n_queries = vectors.count(), queries.count()
     row_blocks, query_blocks = -(-max(1, n_rows) // search.row_block), -(-max(1, n_queries) // search.query_block)
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         mine = F.pmod(F.xxhash64(F.lit(own), F.col("vec_id")), F.lit(n_own)).cast("int")
-        return df.select("vec_id", "v", F.size("v").alias("dim"), mine.alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+        return df.select("ask", "vec_id", "v", F.size("v").alias("dim"), mine.alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
 
     asked = dealt(queries, "query_block", query_blocks, "row_block", row_blocks).groupBy("dim", "query_block", "row_block")
     there = dealt(vectors, "row_block", row_blocks, "query_block", query_blocks).groupBy("dim", "query_block", "row_block")
-    found = asked.cogroup(there).applyInPandas(_cell(search), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = asked.cogroup(there).applyInPandas(_cell(search), "ask long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("ask").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= search.k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -127,10 +130,10 @@ def every_fiftieth(table: DataFrame) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS ask, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+s AS (SELECT q.ask, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
     FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
