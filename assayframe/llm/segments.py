@@ -111,7 +111,7 @@ class SegmentEncoder:
     Entries are kept from one call to the next, until there are ``most``. A segment that ends with a comma or full stop behind a
     letter is its beginning and the mark: the pattern never joins the two."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], leads: np.ndarray, most: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], leads: np.ndarray, most: int = 400_000):
         self.encode, self.leads, self.most = encode, leads, most
         self.table = Table()
         self.marks = dict(zip(",.", encode([",", "."])))
