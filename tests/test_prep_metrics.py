@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayframe.operators import gates as K
 from assayframe.operators import matching as E
@@ -150,3 +151,14 @@ def test_gates(spark):
     with pytest.raises(RuntimeError):
         K.verify_parts(df, "k", 3)
     assert K.verify_parts(None, "k", 2, allow_absent=True)["absent"]
+
+
+def test_pairs_of_a_hot_key_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(E, "PAIRS_A_TASK", 50)
+    a = spark.createDataFrame([("x", float(i)) for i in range(30)] + [("y", 1.0), ("y", 1.0), (None, 2.0), ("z", 3.0)], "key string, value double")
+    b = spark.createDataFrame([("x", float(i % 7)) for i in range(40)] + [("y", None), ("y", 4.0), (None, 2.0), ("w", 1.0)], "key string, value double")
+    got = E.fidelity_pairs(a, b)
+    plain = a.where("key is not null").select("key", F.col("value").alias("a")).join(b.select("key", F.col("value").alias("b")), "key")
+    assert sorted(map(repr, got.drop("diff").collect())) == sorted(map(repr, plain.collect()))
+    places = got.where("key = 'x'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(places) > 3 and max(r["count"] for r in places) < 30 * 40 / 2
