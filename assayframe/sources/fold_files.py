@@ -1,7 +1,7 @@
 """Predetermined folds that lie in files: one train and one test file a fold.
 
 A file (or a folder of part files) carries its fold and side in its name. All files are one scan: fold and side of
-a row come from the path that the scan itself reports, so a hundred folds are as many tasks and not as many
+a row come from the path that the scan itself reports, looked up among the names of the files, so a hundred folds are as many tasks and not as many
 plans. What is there is compared with what is expected from the listing alone, before a row is read.
 """
 
@@ -51,9 +51,34 @@ def read_fold_files(
     reader = spark.read.schema(schema).option("recursiveFileLookup", True)
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
-    fold, role = fold_of(F.col("_metadata.file_path"), pattern)
-    rows = reader.format(fmt).load(folder).select(*[F.col(f"`{c}`") for c in schema.names], fold.alias("fold"), role.alias("role"))
-    return rows.where(F.col("fold").isin([str(f) for f in folds]))
+    scan = reader.format(fmt).load(folder)
+    # a name is taken apart once a file, not once a row
+    fold, role = fold_of(F.col("_path"), pattern)
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("_metadata.file_path").alias("_path"))
+    told = names.select("_path", fold.alias("fold"), role.alias("role")).collect()  # one row a file
+    sides: dict[tuple[str, str], list[str]] = {}
+    others = []
+    for r in told:
+        if r["fold"] in {str(f) for f in folds}:
+            sides.setdefault((r["fold"], r["role"]), []).append(r["_path"])
+        else:
+            others.append(r["_path"])
+    path = F.col("_metadata.file_path")
+    rows = scan.select(*[F.col(f"`{c}`") for c in schema.names], _side(path, sorted(sides.items())).alias("_side"), path.alias("_path"))
+    if others:
+        rows = rows.where(~F.col("_path").isin(others))  # these are not opened
+    rows = rows if sides else rows.where("false")
+    return rows.select(*[F.col(f"`{c}`") for c in schema.names], "_side.fold", "_side.role")
+
+
+def _side(path: Column, sides: list[tuple[tuple[str, str], list[str]]]) -> Column:
+    """Fold and side of a path that is one of those listed: halves of the sides are told apart by sets of names."""
+    if len(sides) <= 1:
+        fold, role = sides[0][0] if sides else (None, None)
+        return F.struct(F.lit(fold).cast("string").alias("fold"), F.lit(role).cast("string").alias("role"))
+    half = len(sides) // 2
+    first = [f for _, files in sides[:half] for f in files]
+    return F.when(path.isin(first), _side(path, sides[:half])).otherwise(_side(path, sides[half:]))
 
 
 def write_fold_files(rows: DataFrame, folder: str, columns: list[str], fmt: str = "csv") -> str:

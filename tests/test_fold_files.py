@@ -81,3 +81,9 @@ def test_names_that_paths_would_change_are_refused(spark):
     rows = spark.createDataFrame([("A", 1.0, "a/b", "train")], "formula string, gap double, fold string, role string")
     with pytest.raises(Exception, match="no name for a fold file: a/b"):
         FF.write_fold_files(rows, new_table_path(spark, "folds"), ["formula", "gap"])
+
+
+def test_names_are_taken_apart_once_a_file(spark, folder):
+    """What is done for each row has no pattern in it: fold and side are joined on."""
+    plan = FF.read_fold_files(spark, str(folder), SCHEMA, ["0", "1"])._jdf.queryExecution().toString()
+    assert "regexp_extract" not in plan and "url_decode" not in plan
