@@ -111,3 +111,19 @@ def test_only_changed_files_are_read_again(spark, tmp_path):
     assert PG.total(third).first() == whole() and third.count() == 4
     _, read = PG.refresh(spark, folder, manifest, schema, trust=False)
     assert len(read) == 4
+
+
+def test_files_that_come_to_a_table_are_written_by_many(spark, monkeypatch):
+    """The rows appended to a fingerprinted table are no file of one task: there may be several, and they alone are read."""
+    from assayframe.plans import q_sources
+    from assayframe.plans.registry import QUERIES, load_all
+
+    load_all()
+    reads, refresh = [], q_sources.PG.refresh
+    monkeypatch.setattr(q_sources, "_FILE_ROWS", 400)
+    monkeypatch.setattr(q_sources.PG, "refresh", lambda *a, **k: reads.append(refresh(*a, **k)) or reads[-1])
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["k1_incremental_fingerprint"](spark, sf).first()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert got == K.fingerprint(lines.unionByName(lines.where("l_linenumber = 1"))).first()
+    assert len(reads[1][1]) > 1 and not set(reads[0][1]) & set(reads[1][1])
