@@ -6,8 +6,9 @@ characters around it. The network (numpy: one-hot characters, one layer of filte
 of width 5, maximum over positions, logistic output) sees candidate and context with
 the keyword blotted out in half of the training views, so that it learns what a secret
 looks like as well as how it is announced. Labelled findings: candidates that a rule
-confirms against those it does not (each stretch of up to 40 characters once). The scores of a held-out third are
-calibrated by Platt scaling, and the threshold is the highest that still finds ``recall`` of
+confirms against those it does not (each stretch of up to 40 characters once), all of them: they are dealt by hash to parts of
+some thousands, and the weights that an epoch over each part ends with are averaged, which is where the next epoch begins.
+The scores of a held-out third are calibrated by Platt scaling, and the threshold is the highest that still finds ``recall`` of
 the held-out secrets (``precision`` is what it costs there); what is above it is added. A longer candidate is seen in
 overlapping views, and the highest score counts; what a rule leaves over of a candidate is scored as well.
 
@@ -18,9 +19,11 @@ gives an empty result; other columns are ignored. Positions are code points.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.common import per_row
+from assayframe.operators.ranking import global_rank
 from assayframe.sources.session import settle
 
 # The three rules and the least lengths of their findings.
@@ -48,9 +52,9 @@ SYMBOLS, BLANK = 12, 10
 
 @dataclass(frozen=True)
 class Net:
-    """Parameters; ``sample`` bounds the labelled candidates of either kind that the fit sees."""
+    """Parameters; ``part`` is the number of labelled candidates, about, that one step of the fit on Spark goes over."""
 
-    sample: int = 4_000
+    part: int = 8_000
     filters: int = 24
     width: int = 5
     epochs: int = 30
@@ -152,9 +156,10 @@ class CharNet:
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """The larger one of two views: with what stands before the candidate, and without. A secret is announced, or looks like one."""
-        alone = x.copy()
-        alone[:, :LEFT] = BLANK
-        return 1 / (1 + np.exp(-np.clip(self.scale * np.maximum(self.raw(x), self.raw(alone)) + self.shift, -50, 50)))
+        return self.sure(self.told(x))
+
+    def sure(self, score: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * score + self.shift, -50, 50)))
 
     def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         h = self._hidden(x)
@@ -170,47 +175,118 @@ class CharNet:
         self.w -= rate * (error @ best)
         self.c -= rate * error.sum()
 
-    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> None:
-        rng = np.random.default_rng(self.net.seed)
-        own = np.flatnonzero(~held)
-        weight = np.where(y == 1, 0.5 / max(1, (y[own] == 1).sum()), 0.5 / max(1, (y[own] == 0).sum())) * len(own)
-        for _ in range(self.net.epochs):
-            for part in np.array_split(rng.permutation(own), max(1, len(own) // 64)):
-                view = x[part].copy()
-                blot = rng.random(len(part)) < 0.5
-                view[blot, :LEFT] = BLANK
-                self.step(view, y[part], weight[part] / len(part))
-        alone = x[held]
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+        """One epoch over the rows, in groups of about 64."""
+        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
+            view = x[part].copy()
+            blot = rng.random(len(part)) < 0.5
+            view[blot, :LEFT] = BLANK
+            self.step(view, y[part], weight[part] / max(1, len(part)))
+
+    def told(self, x: np.ndarray) -> np.ndarray:
+        """The larger score of a view with what stands before the candidate and without."""
+        alone = x.copy()
         alone[:, :LEFT] = BLANK
-        score, truth = np.maximum(self.raw(x[held]), self.raw(alone)), y[held]
-        for _ in range(300):  # Platt scaling
+        return np.maximum(self.raw(x), self.raw(alone))
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.k.ravel(), self.b, self.w, [self.c]])
+
+    def take(self, flat: np.ndarray) -> None:
+        k, b, w, c = np.split(flat, np.cumsum([self.k.size, self.b.size, self.w.size]))
+        self.k, self.b, self.w, self.c = k.reshape(self.k.shape), b, w, float(c[0])
+
+    def calibrate(self, score: np.ndarray, truth: np.ndarray, n: np.ndarray) -> None:
+        """Platt scaling of scores that occur ``n`` times each."""
+        for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(self.scale * score + self.shift, -50, 50)))
-            self.scale -= 0.1 * np.mean((p - truth) * score)
-            self.shift -= 0.1 * np.mean(p - truth)
-        told = self.probability(x[held])
-        good = np.sort(told[truth == 1])
-        if len(good):
-            self.threshold = good[int((1 - self.net.recall) * len(good))]
-            self.precision = float(truth[told >= self.threshold].mean())
+            self.scale -= 0.1 * np.sum((p - truth) * score * n) / n.sum()
+            self.shift -= 0.1 * np.sum((p - truth) * n) / n.sum()
+
+
+def _parts(values: DataFrame, n: int, net: Net) -> DataFrame:
+    """Values (hit, body, view, held) dealt by hash to parts of about ``net.part``, a row each: part, and the bytes of codes, y and held."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["hit", "order", "body"], ascending=[False, True, True])
+        x = codes(rows["view"].tolist()).astype(np.uint8)
+        flags = [rows[c].to_numpy(np.uint8).tobytes() for c in ("hit", "held")]
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "x": [x.tobytes()], "y": [flags[0]], "held": [flags[1]]})
+
+    dealt = values.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "body"), F.lit(max(1, -(-n // net.part)))))
+    return settle(dealt.groupBy("part").applyInPandas(pack, "part long, x binary, y binary, held binary"), "secret-parts")
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.frombuffer(row.x, np.uint8).reshape(-1, LEFT + BODY + RIGHT).astype(np.int64)
+    return x, np.frombuffer(row.y, np.uint8).astype(float), np.frombuffer(row.held, np.uint8) > 0
+
+
+#: Averages of weights are taken in whole numbers of this part, so that they are the same in any order.
+_FINE = 2.0**24
+
+
+def _epoch(packed: DataFrame, model: CharNet, first: int, epochs: int, own: dict[bool, int]) -> None:
+    """Train on every part from the same weights, and average what comes out by the rows of a part. Each task sends one row of sums."""
+    shared = packed.sparkSession.sparkContext.broadcast(model)
+    total = sum(own.values())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, rows = 0, 0
+        for frame in frames:
+            for row in frame.itertuples():
+                model = copy.deepcopy(shared.value)
+                x, y, held = _unpacked(row)
+                x, y = x[~held], y[~held]
+                weight = np.where(y == 1, 0.5 / max(1, own[True]), 0.5 / max(1, own[False])) * total
+                rng = np.random.default_rng([model.net.seed, row.part, first])
+                for _ in range(epochs):
+                    model.train(x, y, weight, rng)
+                sums, rows = sums + np.round(model.weights() * len(x) * _FINE).astype(np.int64), rows + len(x)
+        if rows:
+            yield pd.DataFrame({"n": [rows], "sums": [sums.tobytes()]})
+
+    found = packed.mapInPandas(run, "n long, sums binary").collect()  # one row a task
+    if found:
+        model.take(sum(np.frombuffer(r["sums"], np.int64) for r in found) / _FINE / sum(r["n"] for r in found))
 
 
 def fit(scanned: DataFrame, net: Net = Net()) -> CharNet:
-    """Fit on at most ``sample`` values of either kind, the first ones by hash; each value once."""
+    """Fit on every value of either kind, each value once; every third by hash is held out."""
     every = scanned.select(F.explode("cands").alias("c")).select(
         F.col("c.hit").alias("hit"), F.substring("c.view", LEFT + 1, BODY).alias("body"), "c.view"
     )
-    order = F.xxhash64(F.lit(net.seed), F.col("body"))
-    frames = [
-        every.where(F.col("hit").eqNullSafe(hit)).groupBy("body").agg(F.min("view").alias("view")).orderBy(order, "body").limit(net.sample).toPandas()
-        for hit in (True, False)
-    ]
+    each = every.where("hit is not null").groupBy("hit", "body").agg(F.min("view").alias("view"))
+    each = settle(each.withColumn("order", F.xxhash64(F.lit(net.seed), F.col("body"))), "secret-values")
+    counts = {r["hit"]: r["count"] for r in each.groupBy("hit").count().collect()}  # two rows
     model = CharNet(net)
-    if min(map(len, frames)) < 3:
+    if min(counts.get(hit, 0) for hit in (True, False)) < 3:
         return model
-    views = pd.concat(frames)["view"].tolist()
-    y = np.repeat([1.0, 0.0], [len(f) for f in frames])
-    held = np.concatenate([np.arange(len(f)) % 3 == 0 for f in frames])
-    model.fit(codes(views), y, held)
+    ranked = global_rank(each, ["order", "body"], group=["hit"]).withColumn("held", F.col("rank") % 3 == 0).drop("rank")
+    packed = _parts(ranked, sum(counts.values()), net)
+    own = {hit: n - -(-n // 3) for hit, n in counts.items()}
+    # a single part has nothing to average
+    rounds, epochs = (1, net.epochs) if sum(counts.values()) <= net.part else (net.epochs, 1)
+    for first in range(rounds):
+        _epoch(packed, model, first, epochs, own)
+
+    shared = scanned.sparkSession.sparkContext.broadcast(model)
+
+    def scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                x, y, held = _unpacked(row)
+                yield pd.DataFrame({"part": row.part, "place": np.flatnonzero(held), "y": y[held], "score": shared.value.told(x[held])})
+
+    held = settle(packed.mapInPandas(scores, "part long, place long, y double, score double"), "secret-scores")
+    steps = held.groupBy("y", F.round("score", 3).alias("score")).count().orderBy("y", "score").toPandas()  # a row for each thousandth that scores reach
+    model.calibrate(steps["score"].to_numpy(float), steps["y"].to_numpy(float), steps["count"].to_numpy(float))
+    good = held.where("y = 1")
+    place = int((1 - net.recall) * -(-counts[True] // 3))
+    least = global_rank(good, ["score", "part", "place"]).where(F.col("rank") == place).first()
+    if least is not None:
+        model.threshold = float(model.sure(np.array([least["score"]]))[0])
+        model.precision = float(held.where(F.col("score") >= least["score"]).agg(F.avg("y")).first()[0])
     return model
 
 
