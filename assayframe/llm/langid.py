@@ -6,11 +6,10 @@ document is compared with each language by the sum over its own list of how far
 each n-gram is out of place, an n-gram that the language lacks counting as
 ``n_ranks``. Lower case; everything but letters is a word edge.
 
-Profiles are fitted on at most about ``train_docs`` whole documents of each language,
-chosen by hash (documented bound; smaller languages are read whole). Prediction
+Profiles are fitted on all documents given. Prediction
 reads every whole text and uses nothing but the text.
 
-``limits`` says from which score on a text is in its language at all: labelled documents, and what they begin with
+``limits`` says from which score on a text is in its language at all: all labelled documents, and what they begin with
 up to 1, 2, 4 ... words, are scored, and the limit of a language and number of different n-grams (by powers of two) is
 ``SPREADS`` times as far below the median as the twentieth part with the lowest scores begins. So it is loose for
 short texts, whose scores spread, and strict for long ones; it rises no further once a text fills a whole list.
@@ -33,13 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayframe.llm.common import per_row
+from assayframe.operators.ranking import exact_quantiles
 from assayframe.sources.session import settle
 
 N_RANKS = 300
-TRAIN_DOCS = 4_000
 UNKNOWN = "und"
-#: Documents of a language that limits are taken from, about; scores a limit needs; its distance; the limit if there are too few.
-LIMIT_DOCS = 1_000
+#: Texts whose n-grams a task lists at a time, and different ones that it holds counts of before it sends them on.
+COUNT_TEXTS = 200
+COUNT_CODES = 500_000
+#: Scores a limit needs; its distance; the limit if there are too few.
 LEAST_SCORES = 20
 SPREADS = 4.5
 LEAST_SCORE = 0.1
@@ -77,22 +78,33 @@ def ranked(codes: np.ndarray, n_ranks: int) -> np.ndarray:
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for lang, texts in frame.groupby("lang")["text"]:
-            codes = [ngrams(t) for t in texts if t is not None]
-            if codes:
-                values, counts = np.unique(np.concatenate(codes), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "code": values, "n": counts})
+    """Counts of the n-grams of each language, added up as long as a task can hold them."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
+    def sent(lang: str) -> pd.DataFrame:
+        values, counts = held.pop(lang)
+        return pd.DataFrame({"lang": lang, "code": values, "n": counts})
 
-def profiles(labelled: DataFrame, n_ranks: int = N_RANKS, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    for frame in frames:
+        for lang, texts in frame.groupby("lang")["text"]:
+            for at in range(0, len(texts), COUNT_TEXTS):
+                new = np.unique(np.concatenate([ngrams(t) for t in texts.iloc[at : at + COUNT_TEXTS]]), return_counts=True)
+                if lang in held:
+                    values, spot = np.unique(np.concatenate((held[lang][0], new[0])), return_inverse=True)
+                    counts = np.zeros(len(values), np.int64)
+                    np.add.at(counts, spot, np.concatenate((held[lang][1], new[1])))
+                    new = values, counts
+                held[lang] = new
+                if len(new[0]) > COUNT_CODES:
+                    yield sent(lang)
+    for lang in list(held):
+        yield sent(lang)
+
+
+def profiles(labelled: DataFrame, n_ranks: int = N_RANKS) -> DataFrame:
     """lang, code, place (from 0) of the documents given (doc_id, text, lang)."""
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = settle(labelled.groupBy("lang").agg((F.lit(float(train_docs)) / F.count("*")).alias("share")), "langid-shares")
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
-    # as many as the draws select: train_docs of a large language, give or take a few per cent
-    chosen = labelled.select("doc_id", "lang", "text").join(share, "lang").where(draw < F.col("share")).select("lang", "text")
-    counts = chosen.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    counts = labelled.mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "code")
     return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < n_ranks).select("lang", "code", "place")
 
@@ -143,16 +155,19 @@ def limits(labelled: DataFrame, profile: DataFrame, least_scores: int = LEAST_SC
 
     Too few scores: those of all languages are taken, or else the limit of the next smaller number of n-grams, or larger one."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = settle(labelled.groupBy("lang").agg((F.lit(float(LIMIT_DOCS)) / F.count("*")).alias("share")), "langid-limit-shares")
-    draw = F.pmod(F.xxhash64(F.lit("limits"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
-    chosen = labelled.select("doc_id", "lang", "text").join(share, "lang").where(draw < F.col("share"))
     last = F.ceil(F.log2(F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1)).cast("int")
-    cuts = chosen.select("text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    cuts = labelled.select("text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     scored = predict(cuts.select(F.expr("substring_index(text, ' ', shiftleft(1, k))").alias("text")), profile, counted=True)
-    points = F.percentile("score", F.array(F.lit(0.05), F.lit(0.5)))
-    groups = scored.where(F.col("lang_pred") != UNKNOWN).select("power", "score", F.explode(F.array("lang_pred", F.lit(None))).alias("lang_pred"))
-    rows = groups.groupBy("lang_pred", "power").agg(F.count("*").alias("n"), points.alias("at")).collect()
-    found = {(r["lang_pred"], r["power"]): r["at"][1] - spreads * (r["at"][1] - r["at"][0]) for r in rows if r["n"] >= least_scores}
+    # equal scores are one row; ``every`` marks those of all languages together
+    one = scored.where(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred", "power", "score").agg(F.count("*").alias("n"))
+    one = settle(one, "langid-scores")
+    groups = one.withColumn("every", F.lit(False)).unionByName(one.withColumn("every", F.lit(True)).withColumn("lang_pred", F.lit("")))
+    keys = ["every", "lang_pred", "power"]
+    sizes = {tuple(r[k] for k in keys): r["n"] for r in groups.groupBy(*keys).agg(F.sum("n").alias("n")).collect()}
+    at: dict[tuple, dict[float, float]] = {}
+    for r in exact_quantiles(groups, keys, "score", [0.05, 0.5], "n").collect():  # two rows a limit
+        at.setdefault(tuple(r[k] for k in keys), {})[r["prob"]] = r["quantile"]
+    found = {(None if k[0] else k[1], k[2]): q[0.5] - spreads * (q[0.5] - q[0.05]) for k, q in at.items() if sizes[k] >= least_scores}
     out = []
     for lang in sorted({r["lang"] for r in profile.select("lang").distinct().collect()}):
         own = {p: found.get((lang, p), found.get((None, p))) for p in range(POWERS)}
