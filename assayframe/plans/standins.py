@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from assayframe.functions.periodic import SYMBOLS
 from assayframe.operators.dedup import Scale
 
+#: Lines that one task groups.
+TASK_LINES = 1_000_000
+
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 # Stand-in categories: some brands belong to none, so both catch-alls occur.
@@ -32,7 +35,12 @@ def composition(spark: SparkSession, sf: str, row: str = "l_orderkey") -> DataFr
     """(row_id, element, amount) of orders, or of another lineitem key."""
     lines = table(spark, sf, "lineitem").select(row, "l_partkey", "l_quantity")
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("element"))
-    return lines.join(parts, "l_partkey").groupBy(F.col(row).alias("row_id"), "element").agg(F.sum("l_quantity").alias("amount"))
+    placed = lines.join(parts, "l_partkey")
+    # Many lines go to as many tasks as their number asks for; groupings by row_id that follow find them in place.
+    tasks = -(-lines.count() // TASK_LINES)
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        placed = placed.repartition(tasks, row)
+    return placed.groupBy(F.col(row).alias("row_id"), "element").agg(F.sum("l_quantity").alias("amount"))
 
 
 def suffix(c) -> "F.Column":

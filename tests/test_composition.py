@@ -81,3 +81,20 @@ def test_results_do_not_depend_on_partitioning(spark):
         one, eight = fn(comp.repartition(1)), fn(comp.repartition(8))
         assert sorted(map(str, one.collect())) == sorted(map(str, eight.collect()))
     assert comp.where(F.col("amount") > 0).count() == len(rows)
+
+
+def test_many_lines_go_to_as_many_tasks(spark, tmp_path, monkeypatch):
+    from assayframe.plans import standins as D
+
+    lines = [(i % 301 if i % 50 else None, i % 40, float(i % 7 + 1)) for i in range(2_000)]
+    parts = [(p, f"Brand#{p % 25 + 1}") for p in range(40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    want = {}
+    for o, p, q in lines:
+        want[o, f"Brand#{p % 25 + 1}"] = want.get((o, f"Brand#{p % 25 + 1}"), 0.0) + q
+    monkeypatch.setattr(D, "TASK_LINES", 100)
+    comp = D.composition(spark, str(tmp_path))
+    assert comp.rdd.getNumPartitions() == 20
+    rows = [tuple(r) for r in comp.collect()]
+    assert sorted(rows, key=str) == sorted(((*k, v) for k, v in want.items()), key=str)
