@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions.draws import draw_hash
-from assayframe.operators.ranking import draw_cutoffs, with_cut
-from assayframe.sources.session import settle
+from assayframe.operators.ranking import draw_cutoffs
+from assayframe.sources.session import release, settle
 
 
 def assemble(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -76,32 +79,60 @@ def least_squares(df: DataFrame, target: str, features: list[str], role: str = "
     return out, {"seed": seed, "coefficients": dict(zip(features, model.coefficients.toArray().tolist())), "intercept": model.intercept}
 
 
+def _is_test(fold_col: str, fold) -> Column:
+    return F.col(fold_col).eqNullSafe(F.lit(fold))
+
+
+def _validation_sides(base: DataFrame, fold_col: str, cases: list[tuple], quotas: list[int]) -> list[Column]:
+    """For each (fold, seed) a boolean ``_val<number>``: is the row among the first ``quotas`` draws outside the fold?"""
+    if not cases:
+        return []
+    spark = base.sparkSession
+    draw = lambda k: draw_hash(cases[k][1], f"val/{cases[k][0]}", "row_id")
+    one = lambda k: F.when(~_is_test(fold_col, cases[k][0]), F.struct(F.lit(k).alias("case"), draw(k).alias("h")))
+    drawn = base.select("row_id", F.explode(F.array(*[one(k) for k in range(len(cases))])).alias("_d")).where("_d IS NOT NULL")
+    wanted = spark.createDataFrame([(k, "val", n) for k, n in enumerate(quotas)], "case int, tag string, take long")  # one row a fit
+    cuts = draw_cutoffs(drawn.select("row_id", "_d.*"), wanted, ["case"])
+    found = {r["case"]: r for r in cuts.collect()}  # one row a fit
+    sides = []
+    for k in range(len(cases)):
+        bound = [F.lit(found[k]["cut_h"]).alias("h"), F.lit(found[k]["cut_id"]).alias("row_id")] if k in found else []
+        inside = F.struct(draw(k).alias("h"), "row_id") <= F.struct(*bound) if bound else F.lit(False)
+        sides.append(inside.alias(f"_val{k}"))
+    return sides
+
+
 def sweep(
     df: DataFrame, target: str, features: list[str], folds: list[str], seeds: list[int], fold_col: str = "fold", row_id: str = "row_id",
-    estimator=boosted_trees, **kw,
+    estimator=boosted_trees, parallelism: int = 2, **kw,
 ) -> DataFrame:
     """Predictions (fold, seed, row_id, y_true, y_pred) over folds and seeds. Each fit is a
-    distributed job; the driver only walks the short list of (fold, seed). A tenth of a
-    fold's training rows, rounded down and at least one, is its validation side.
+    distributed job; the driver only walks the short list of (fold, seed), ``parallelism`` fits at a time. A tenth of a
+    fold's training rows, rounded down and at least one, is its validation side. The sides of all fits are
+    drawn and written together, so that no pass of a fit repeats the draws.
 
     ``estimator`` takes (rows with x and role, target, features, seed=...) and returns (predictions with y_pred, facts)."""
     out = None
     base = settle(df, "sweep").withColumnRenamed(row_id, "row_id")
     sizes = {r["_f"]: r["n"] for r in base.groupBy(F.col(fold_col).alias("_f")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_rows = sum(sizes.values())
-    for fold in folds:
-        test = F.col(fold_col).eqNullSafe(F.lit(fold))
-        n_val = max(1, (n_rows - sizes.get(fold, 0)) // 10)
-        for seed in seeds:
-            drawn = base.withColumn("h", draw_hash(seed, f"val/{fold}", "row_id"))
-            cut = draw_cutoffs(drawn.where(~test), {"val": n_val})
-            role = F.when(test, "test").when(F.col("_val"), "val").otherwise("train")
-            sided = with_cut(drawn, cut, "val", "_val").withColumn("role", role).drop("h", "_val")
-            pred, _ = estimator(sided, target, features, seed=seed, **kw)
-            part = pred.select(
-                F.lit(fold).alias("fold"), F.lit(seed).alias("seed"), "row_id", F.col(target).alias("y_true"), "y_pred"
-            )
-            part = settle(part, "sweep-predictions")
+    cases = [(fold, seed) for fold in folds for seed in seeds]
+    quotas = [max(1, (n_rows - sizes.get(fold, 0)) // 10) for fold, _ in cases]
+    sided = settle(base.select("*", *_validation_sides(base, fold_col, cases, quotas)), "sweep-sides")
+    release(base)
+
+    def fitted(k: int) -> DataFrame:
+        fold, seed = cases[k]
+        role = F.when(_is_test(fold_col, fold), "test").when(F.col(f"_val{k}"), "val").otherwise("train")
+        own = sided.withColumn("role", role).drop(*[f"_val{i}" for i in range(len(cases))])
+        pred, _ = estimator(own, target, features, seed=seed, **kw)
+        part = pred.select(
+            F.lit(fold).alias("fold"), F.lit(seed).alias("seed"), "row_id", F.col(target).alias("y_true"), "y_pred"
+        )
+        return settle(part, "sweep-predictions")
+
+    with ThreadPool(min(parallelism, len(cases)) or 1) as pool:
+        for part in pool.map(inheritable_thread_target(base.sparkSession)(fitted), range(len(cases)), 1):
             out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("row_id", row_id)
 

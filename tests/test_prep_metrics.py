@@ -162,3 +162,28 @@ def test_pairs_of_a_hot_key_are_dealt(spark, monkeypatch):
     assert sorted(map(repr, got.drop("diff").collect())) == sorted(map(repr, plain.collect()))
     places = got.where("key = 'x'").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(places) > 3 and max(r["count"] for r in places) < 30 * 40 / 2
+
+
+def test_sweep_draws_the_sides_of_all_fits_once(spark):
+    import hashlib
+
+    from assayframe.operators import models as J
+
+    rows = [(i, "abc"[i % 3], float(i)) for i in range(95)]
+    df = spark.createDataFrame(rows, "id long, fold string, y double")
+    seen, plans = {}, []
+
+    def estimator(own, target, features, seed):
+        plans.append(own._jdf.queryExecution().toString())
+        sides = {r["row_id"]: r["role"] for r in own.collect()}
+        seen[seed, frozenset(k for k, v in sides.items() if v == "test")] = {k for k, v in sides.items() if v == "val"}
+        return own.where("role = 'test'").withColumn("y_pred", F.lit(1.0)), {}
+
+    out = J.sweep(df, "y", [], ["a", "c"], [42, 7], row_id="id", estimator=estimator).collect()
+    assert len(out) == 2 * (32 + 31) and set(out[0].asDict()) == {"fold", "seed", "id", "y_true", "y_pred"}
+    assert not any("md5" in p for p in plans)  # no pass of a fit repeats the draws
+    for fold in "ac":
+        test = frozenset(i for i, f, _ in rows if f == fold)
+        for seed in (42, 7):
+            drawn = sorted((hashlib.md5(f"{seed}:val/{fold}:{i}".encode()).hexdigest(), i) for i, f, _ in rows if f != fold)
+            assert seen[seed, test] == {i for _, i in drawn[: (95 - len(test)) // 10]}
