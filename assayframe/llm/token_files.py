@@ -23,6 +23,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -155,6 +156,12 @@ def text_encoder(path: str) -> SegmentEncoder:
     return SegmentEncoder(encode, leads)
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(path: str) -> SegmentEncoder:
+    """The encoder of this worker: its tasks share what it has learned."""
+    return text_encoder(path)
+
+
 def id_kind(fmt: Format) -> str:
     """Ids of two bytes where the vocabulary allows."""
     return "<u2" if max(_tokenizer(fmt.tokenizer).get_vocab_size(), fmt.end_id + 1) <= 1 << 16 else "<u4"
@@ -165,7 +172,7 @@ def tokenized(docs: DataFrame, fmt: Format, kind: str, bounds: list[int]) -> Dat
     path, end = fmt.tokenizer, fmt.end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = text_encoder(path)
+        encode = kept_encoder(path)
         for batch in batches:
             done = 0
             for texts in chunks(strings(batch.column("text"))):
@@ -174,7 +181,6 @@ def tokenized(docs: DataFrame, fmt: Format, kind: str, bounds: list[int]) -> Dat
                 part = np.searchsorted(bounds, doc_ids.fill_null(-(2**63)).to_numpy(), "left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(part), packed(np.insert(ids, np.cumsum(n), end), n + 1, kind)], ["doc_id", "part", "ids"])
                 done += len(texts)
-        del encode
         pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, ids binary")

@@ -140,3 +140,15 @@ def test_query(spark):
     rows = QUERIES["op13_packing"](spark, sf).collect()
     taken = packed_rightly(rows, docs, 2048)
     assert taken <= -(-sum(r.length for r in rows) // 2048) + 1
+
+
+def test_tasks_of_a_worker_share_what_the_encoder_has_learned(spark):
+    import pyarrow as pa
+
+    kept = token_files.kept_encoder(PATH)
+    assert token_files.kept_encoder(PATH) is kept
+    texts = pa.array(["one two, three\nfour", "", "two  five two"], pa.large_string())
+    for _ in range(2):
+        ids, n = kept(texts)
+        fresh_ids, fresh_n = token_files.text_encoder(PATH)(texts)
+        assert ids.tolist() == fresh_ids.tolist() and n.tolist() == fresh_n.tolist()
