@@ -189,11 +189,18 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, near: Near,
     return full.mapInPandas(_similar(near.percent), "a long, b long")
 
 
+def _starred(ends: DataFrame) -> bool:
+    """Has every larger end one smaller end, which is no larger end itself? A round would change nothing then."""
+    sides = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    met = ends.select(F.inline(sides)).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not met.where("up > 1 OR (up > 0 AND down > 0)").limit(1).count()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node that can be reached. Alternates stars of larger and of smaller neighbours;
-    every round is a written table, so a lost executor costs the round at most."""
-    ends = settle(links.where("a <> b").distinct(), "near-edges")
-    while True:
+    """node, label: the smallest node that can be reached. Alternates stars of larger and of smaller neighbours until
+    only stars are left; every round is a written table, so a lost executor costs the round at most."""
+    ends = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
+    while not _starred(ends):
         both = ends.select(F.col("a").alias("u"), F.col("b").alias("v")).union(ends.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -201,12 +208,9 @@ def components(links: DataFrame) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m")).where("a <> b")
         after = settle(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
-        same = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        changed = after.exceptAll(same).union(same.exceptAll(after)).limit(1).count()
         release(ends)
         ends = after
-        if not changed:
-            return ends.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return ends.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def _deviations(head: list, items: list) -> tuple[list, list]:

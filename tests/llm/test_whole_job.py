@@ -85,3 +85,24 @@ def test_html_near_copies_keep_their_article(spark):
         rows.append((i, f"http://{host}/{i}", page.format(mark=mark, text=text)))
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_components_write_no_round_that_changes_nothing(spark, monkeypatch):
+    import random
+
+    from assayframe.llm import neardup
+
+    written = []
+    plain = neardup.settle
+    monkeypatch.setattr(neardup, "settle", lambda df, label: written.append(label) or plain(df, label))
+    stars = spark.createDataFrame([(5, 1), (1, 7), (5, 1), (9, 8), (3, 3)], "a long, b long")
+    assert sorted(tuple(r) for r in neardup.components(stars).collect()) == [(5, 1), (7, 1), (9, 8)]
+    assert len(written) == 1  # links that are stars need no round
+    rnd = random.Random(4)
+    pairs = [(i, i + 1) for i in range(100, 130)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)]
+    label = {n: n for p in pairs for n in p}
+    for _ in label:
+        for x, y in pairs:
+            label[x] = label[y] = min(label[x], label[y])
+    got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {n: m for n, m in label.items() if n != m}
