@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.operators import cells
 from assayframe.operators.ranking import global_rank
 from assayframe.sources.session import settle
 
 DEFAULT_THRESHOLD = 5.0  # curation
 ARM_THRESHOLD = 0.5  # training arms
-_DIGITS = 1e9  # distances are compared at nine decimals
+_DIGITS = cells.DIGITS
 _UNROLL = 48
-_SMALL_BYTES = 64 << 20  # points up to this size are broadcast
-_HOT_MIN = 20_000  # cells up to this many points are never salted
+_SMALL_BYTES = 64 << 20  # tiles of points up to this size in all are not divided
+_LEAST_PAIRS, _PAIRS_A_POINT = 16_000_000, 40  # near pairs of a prefix
+_CROWD = 4  # near pairs for a pair in one cell
+_HOT_MIN = 20_000  # tiles up to this many points are never salted
 
 
 def one_per_key(df: DataFrame, key: str, prefer_min: str | None, row_id: str) -> DataFrame:
@@ -98,54 +103,54 @@ def pair_distances(pairs: DataFrame, comp: DataFrame, scale: Scale) -> DataFrame
 
 
 class _Grid:
-    """Cells over block sums of the coordinates.
+    """Tiles over block sums of the coordinates.
 
-    The sum of |differences of block sums| never exceeds the distance, so two points
-    within the threshold lie in the same or adjacent cells of width >= threshold.
+    The sum of |differences of block sums| never exceeds the distance, so a point within
+    the threshold of another lies in a tile that the threshold reaches from there. A task
+    searches a tile by finer cells (``cells.Cells``).
     """
 
     def __init__(self, width: int, threshold: float, blocks: int):
-        blocks = max(1, min(blocks, width))
-        cuts = [round(i * width / blocks) for i in range(blocks + 1)]
-        self.spans = [(cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(blocks)]
-        self.cell = max(threshold, 1e-6) * (1 + 1e-9) + 1e-9
-        self.width, self.threshold = width, threshold
+        self.width, self.threshold, self.reach = width, threshold, cells.reach_of(threshold)
+        self.spans = [(a + 1, b - a) for a, b in cells.spans_of(width, blocks)]
+        self.side = 2 * max(self.reach, 1e-6)
 
     def sums(self, coords: Column) -> Column:
-        add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        return F.array(*[add(F.slice(coords, start, size)) for start, size in self.spans])
+        return _block_sums(coords, self.spans)
 
     def _index(self, sums: Column) -> list[Column]:
-        return [F.floor(F.get(sums, F.lit(i)) / self.cell) for i in range(len(self.spans))]
+        return [F.floor(F.get(sums, F.lit(i)) / self.side) for i in range(len(self.spans))]
 
     def key(self, grp: Column, sums: Column) -> Column:
-        """64-bit cell key; a collision only adds candidates, which are checked in full."""
+        """64-bit tile key; a collision only adds candidates, which are checked in full."""
         return F.xxhash64(grp, *self._index(sums))
 
     def around(self, grp: Column, sums: Column) -> Column:
-        """Keys of the cell and its neighbours."""
-        shifts = [[]]
-        for _ in self.spans:
-            shifts = [s + [d] for s in shifts for d in (-1, 0, 1)]
+        """Keys of the tiles within reach: the own one and those past borders whose distances add up to no more."""
         idx = self._index(sums)
-        return F.array_distinct(F.array(*[F.xxhash64(grp, *[c + d for c, d in zip(idx, s)]) for s in shifts]))
+        over = [F.get(sums, F.lit(i)) - c * self.side for i, c in enumerate(idx)]
+        keys = []
+        for shifts in product((-1, 0, 1), repeat=len(idx)):
+            cost = F.lit(0.0)
+            for d, o in zip(shifts, over):
+                cost = cost + (o if d < 0 else F.lit(self.side) - o) if d else cost
+            key = F.xxhash64(grp, *[c + d for c, d in zip(idx, shifts)])
+            keys.append(F.when(cost <= self.reach, key) if any(shifts) else key)
+        return F.array_distinct(F.array_compact(F.array(*keys)))
 
-    def within(self) -> Column:
-        """Is the pair (coords, n_coords) within the threshold? The block sums, a few
-        additions, turn most candidates away before the full distance is taken."""
-        low = F.lit(0.0)
-        for i in range(len(self.spans)):
-            low = low + F.abs(F.get(F.col("sums"), F.lit(i)) - F.get(F.col("n_sums"), F.lit(i)))
-        full = distance(F.col("coords"), F.col("n_coords"), self.width) <= self.threshold
-        return (F.col("grp") == F.col("n_grp")) & (low <= self.cell) & full
+    def crowd(self, coords: Column) -> Column:
+        """Key of the cell by which points are searched. Pairs in one cell tell about how many pairs are near."""
+        sums = _block_sums(coords, [(a + 1, b - a) for a, b in cells.spans_of(self.width, cells.BLOCKS)])
+        return F.xxhash64(F.transform(sums, lambda s: F.floor(s / (self.side * cells.SIDE / 2))))
 
-    @property
-    def fan(self) -> int:
-        return 3 ** len(self.spans)
+
+def _block_sums(coords: Column, spans: list[tuple[int, int]]) -> Column:
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return F.array(*[add(F.slice(coords, start, size)) for start, size in spans])
 
 
 def _hot_cells(points: DataFrame, cap: int) -> DataFrame:
-    """Cells above ``cap`` points and the number of salts each gets."""
+    """Tiles above ``cap`` points and the number of salts each gets."""
     return settle(
         points.groupBy("ck").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
         .select("ck", F.ceil(F.col("_n") / cap).cast("int").alias("_salts")),
@@ -153,46 +158,72 @@ def _hot_cells(points: DataFrame, cap: int) -> DataFrame:
     )
 
 
-def _salted(points: DataFrame, hot: DataFrame | None, n: int) -> DataFrame:
-    """The side that is divided: each point of a hot cell gets one of its salts. It is
-    partitioned on the join keys by point count, because pair work is heavy per byte;
-    a shuffle join uses the same partitioning."""
+def _salted(points: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The side that is divided: each point of a hot tile gets one of its salts."""
     if hot is None:
-        points = points.withColumn("salt", F.lit(0))
-    else:
-        salts = F.coalesce("_salts", F.lit(1))
-        points = points.join(hot, "ck", "left").withColumn("salt", F.pmod(F.xxhash64("rank"), salts).cast("int")).drop("_salts")
-    return points.repartition(_spread(points, n), "ck", "salt")
+        return points.withColumn("salt", F.lit(0))
+    salts = F.coalesce("_salts", F.lit(1))
+    return points.join(hot, "ck", "left").withColumn("salt", F.pmod(F.xxhash64("rank"), salts).cast("int")).drop("_salts")
 
 
 def _spread(points: DataFrame, n: int) -> int:
     """Partitions for n points of pair work."""
-    return max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
+    return max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
 
 
 def _fanned(points: DataFrame, grid: _Grid, hot: DataFrame | None) -> DataFrame:
-    """The side that is copied: one row per neighbouring cell and salt of that cell."""
-    near = points.select(
-        F.col("grp").alias("n_grp"), F.col("rank").alias("n_rank"), F.col("coords").alias("n_coords"),
-        F.col("sums").alias("n_sums"), F.explode_outer(grid.around(F.col("grp"), F.col("sums"))).alias("ck"),
-    )
+    """The side that is copied: one row per tile within reach and salt of that tile."""
+    named = [F.col(c).alias(f"n_{c}") for c in ("grp", "rank", "coords")]  # a cogroup mixes up columns of one table on both sides
+    near = points.select(*named, F.explode(grid.around(F.col("grp"), F.col("sums"))).alias("ck"))
     if hot is None:
         return near.withColumn("salt", F.lit(0))
     salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    return near.join(hot, "ck", "left").select("n_grp", "n_rank", "n_coords", "n_sums", "ck", F.explode(salts).alias("salt"))
+    return near.join(hot, "ck", "left").select("n_grp", "n_rank", "n_coords", "ck", F.explode(salts).alias("salt"))
 
 
-def _near(fan: DataFrame, plain: DataFrame, grid: _Grid, hot: DataFrame | None, n: int) -> DataFrame:
-    """Pairs of a point of ``fan`` (n_ columns) and one of ``plain`` within the threshold.
-    While ``plain`` is counted to be small it is broadcast and met by the copies of
-    ``fan``, which each task makes for its own share of points; otherwise both sides
-    are shuffled on the cell."""
-    spread = fan.repartition(_spread(fan, n), "rank")
+def _met(fan: DataFrame, plain: DataFrame, grid: _Grid, hot: DataFrame | None, n: int, work, schema: str) -> DataFrame:
+    """``work`` on each tile: the points of ``fan`` within its reach and its own of ``plain``. Tiles of inputs that are
+    counted to be small are not divided."""
     if n * (grid.width + 12) * 8 <= _SMALL_BYTES:
-        met = _fanned(spread, grid, None).join(F.broadcast(plain.withColumn("salt", F.lit(0))), ["ck", "salt"])
-    else:
-        met = _fanned(spread, grid, hot).join(_salted(plain, hot, n), ["ck", "salt"])
-    return met.where(grid.within())
+        hot = None
+    near, keys, tasks = ["n_grp", "ck", "salt"], ["grp", "ck", "salt"], _spread(fan, n)
+    # The smaller columns first: rows are partitioned by point count, because pair work is heavy per byte.
+    left = _fanned(fan.repartition(tasks, "rank"), grid, hot).repartition(tasks, *near)
+    right = _salted(plain.select("grp", "rank", "coords", "ck"), hot).repartition(tasks, *keys)
+    return left.groupBy(*near).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
+
+
+def _near(fan: DataFrame, plain: DataFrame, grid: _Grid, hot: DataFrame | None, n: int) -> DataFrame:
+    """(grp, n_rank, rank, d): pairs of a point of ``fan`` (n_rank) and one of ``plain`` within the threshold; of whole-number
+    ranks only those with n_rank < rank."""
+    width, threshold = grid.width, grid.threshold
+    numbered = plain.schema["rank"].dataType.simpleString() in ("int", "bigint")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            left, right = left.slice(0, 0), right.slice(0, 0)
+        later = (right["rank"].to_numpy(), left["n_rank"].to_numpy()) if numbered else None
+        tree = cells.Cells(cells.matrix(left["n_coords"], width), threshold)
+        query, at, d = tree.pairs(cells.matrix(right["coords"], width), later)
+        columns = {"grp": right["grp"].take(query), "n_rank": left["n_rank"].take(at), "rank": right["rank"].take(query), "d": pa.array(d)}
+        return pa.table(columns)
+
+    kind = plain.schema["rank"].dataType.simpleString()
+    return _met(fan, plain, grid, hot, n, work, f"grp string, n_rank {kind}, rank {kind}, d double")
+
+
+def _untouched(fan: DataFrame, plain: DataFrame, grid: _Grid, hot: DataFrame | None, n: int) -> DataFrame:
+    """(grp, rank, coords, ck) of the points of ``plain`` that no point of ``fan`` is near to."""
+    width, threshold = grid.width, grid.threshold
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.select(["grp", "rank", "coords", "ck"])
+        if not (left.num_rows and right.num_rows):
+            return right
+        tree = cells.Cells(cells.matrix(left["n_coords"], width), threshold)
+        return right.filter(pa.array(~tree.touched(cells.matrix(right["coords"], width))))
+
+    return _met(fan, plain, grid, hot, n, work, "grp string, rank long, coords array<double>, ck long")
 
 
 def _scan_edges(edges: pd.DataFrame) -> pd.DataFrame:
@@ -256,9 +287,9 @@ def greedy_keep(
     The result is that of the sequential scan for any data, while the work is bounded
     as follows. Points with identical coordinates collapse to the first of them. The
     undecided points are then taken in prefixes of the order: a prefix is the longest
-    whose candidate pairs fit ``pair_budget`` (from exact cell counts), its pairs
-    within the threshold are found by an equi-join on grid cells and resolved among
-    themselves, and the points it keeps remove everything near them from the rest.
+    whose near pairs, as told by cell counts, fit ``pair_budget``, its pairs within the
+    threshold are found tile by tile and resolved among themselves, and the points it
+    keeps remove everything near them from the rest, for which one of them is enough.
     Dense data therefore shrinks before its pairs are ever formed.
     """
     pts = coordinates(comp, scale)
@@ -281,8 +312,8 @@ def greedy_keep(
         items = items.where(~is_seed & (distance(F.col("coords"), here, width) > threshold))
 
     # Same point, same fate: the first keeps or loses the place for all copies.
-    open_ = items.groupBy("grp", "coords").agg(F.min("rank").alias("rank")).withColumn("sums", grid.sums(F.col("coords")))
-    open_ = settle(open_.withColumn("ck", grid.key(F.col("grp"), F.col("sums"))), "open")
+    open_ = items.groupBy("grp", "coords").agg(F.min("rank").cast("long").alias("rank"))
+    open_ = settle(open_.withColumn("ck", grid.key(F.col("grp"), grid.sums(F.col("coords")))), "open")
     high = pts.agg(F.max("rank")).first()[0] or 0
 
     parts = [] if kept is None else [kept]
@@ -294,7 +325,8 @@ def greedy_keep(
         cap = max(_HOT_MIN, n // 200)
         hot = _hot_cells(open_, cap) if fullest > cap else None
         head = open_.where(F.col("rank") < cut)
-        edges = _near(head, head, grid, hot, n).where(F.col("n_rank") < F.col("rank"))
+        summed = lambda df: df.withColumn("sums", grid.sums(F.col("coords")))
+        edges = _near(summed(head), head, grid, hot, n)
         edges = settle(edges.select("grp", F.col("n_rank").alias("lo"), F.col("rank").alias("hi")), "edges")
         n_edges = edges.count()
         dropped = _independent(edges, n_edges, few_edges)
@@ -304,10 +336,9 @@ def greedy_keep(
         if cut > high:
             break
         rest = open_.where(F.col("rank") >= cut)
-        hits = _near(chosen, rest, grid, hot, n).select("grp", "rank").distinct()
-        open_ = settle(rest.join(hits, ["grp", "rank"], "left_anti"), "open")
+        open_ = settle(_untouched(summed(chosen), rest, grid, hot, n), "open")
         # Candidates that seldom are edges mean sparse points: dare a longer prefix.
-        patience = min(64, patience * 4) if n_edges < n else patience
+        patience = min(64, patience * 2) if n_edges < n else patience
 
     out = parts[0] if parts else items.select("grp", "rank").limit(0)
     for p in parts[1:]:
@@ -316,26 +347,21 @@ def greedy_keep(
     return out.select("row_id") if members is None else out
 
 
-def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | None, patience: int = 1, steps: int = 12) -> tuple[int, int, int]:
-    """(points left, points in the fullest cell, rank bound): the largest bound, among
-    quarterings of the rank range, whose candidate pairs fit the budget. Cells of n points
-    and their neighbours make at most fan * sum(n^2) pairs."""
+def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | None, patience: int = 1, steps: int = 24) -> tuple[int, int, int]:
+    """(points left, points in the fullest tile, rank bound): the largest bound, among
+    halvings of the rank range, whose near pairs, as told by the cells that are searched, fit the budget."""
     bounds = []
     for k in range(steps + 1):
-        b = low + max(1, (high - low + 1) >> (2 * k))
+        b = low + max(1, (high - low + 1) >> k)
         if not bounds or b != bounds[-1]:
             bounds.append(b)
     names = [f"_{i}" for i in range(len(bounds))]
-    cells = open_.groupBy("ck").agg(
-        F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col("rank") < b).alias(c) for c, b in zip(names, bounds)]
-    )
-    load = cells.agg(
-        F.sum("_all").alias("n"), F.max("_all").alias("fullest"),
-        *[F.sum(F.col(c).cast("double") * F.col(c)).alias(c) for c in names],
-    ).first()
-    n = load["n"] or 0
+    full = open_.groupBy("ck").count().agg(F.sum("count").alias("n"), F.max("count").alias("fullest")).first()
+    n = full["n"] or 0
     if n == 0:
         return 0, 0, bounds[0]
-    budget = (budget or max(16_000_000, 250 * n)) * patience
-    fits = [b for c, b in zip(names, bounds) if load[c] * grid.fan <= budget]
-    return n, load["fullest"], (fits or bounds[-1:])[0]
+    crowds = open_.groupBy("grp", grid.crowd(F.col("coords"))).agg(*[F.count_if(F.col("rank") < b).alias(c) for c, b in zip(names, bounds)])
+    load = crowds.agg(*[F.sum(F.col(c).cast("double") * F.col(c)).alias(c) for c in names]).first()
+    budget = (budget or max(_LEAST_PAIRS, _PAIRS_A_POINT * n)) * patience
+    fits = [b for c, b in zip(names, bounds) if load[c] * _CROWD <= budget]
+    return n, full["fullest"], (fits or bounds[-1:])[0]
