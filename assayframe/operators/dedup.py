@@ -338,7 +338,7 @@ def greedy_keep(
         rest = open_.where(F.col("rank") >= cut)
         open_ = settle(_untouched(summed(chosen), rest, grid, hot, n), "open")
         # Candidates that seldom are edges mean sparse points: dare a longer prefix.
-        patience = min(64, patience * 2) if n_edges < n else patience
+        patience = min(64, patience * 4) if n_edges < n else patience
 
     out = parts[0] if parts else items.select("grp", "rank").limit(0)
     for p in parts[1:]:
@@ -347,12 +347,12 @@ def greedy_keep(
     return out.select("row_id") if members is None else out
 
 
-def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | None, patience: int = 1, steps: int = 24) -> tuple[int, int, int]:
+def _prefix(open_: DataFrame, grid: _Grid, low: int, high: int, budget: int | None, patience: int = 1, steps: int = 12) -> tuple[int, int, int]:
     """(points left, points in the fullest tile, rank bound): the largest bound, among
-    halvings of the rank range, whose near pairs, as told by the cells that are searched, fit the budget."""
+    quarterings of the rank range, whose near pairs, as told by the cells that are searched, fit the budget."""
     bounds = []
     for k in range(steps + 1):
-        b = low + max(1, (high - low + 1) >> k)
+        b = low + max(1, (high - low + 1) >> (2 * k))
         if not bounds or b != bounds[-1]:
             bounds.append(b)
     names = [f"_{i}" for i in range(len(bounds))]
