@@ -164,6 +164,21 @@ def test_pairs_of_a_hot_key_are_dealt(spark, monkeypatch):
     assert len(places) > 3 and max(r["count"] for r in places) < 30 * 40 / 2
 
 
+def test_tiles_of_pairs_copy_few_rows(spark, monkeypatch):
+    """Every part of a key once held all rows of one side: 40,000 copies for the 40,000 pairs of the key x."""
+    monkeypatch.setattr(E, "PAIRS_A_TASK", 100)
+    a = spark.createDataFrame([("x", float(i)) for i in range(200)] + [("n", float(i)) for i in range(300)] + [("m", None), ("o", 1.0)], "key string, value double")
+    b = spark.createDataFrame([("x", float(i % 9)) for i in range(200)] + [("n", 1.0)] + [("m", float(i)) for i in range(300)] + [("o", None), ("o", 1.0)], "key string, value double")
+    sent, repartition = [], type(a).repartition
+    monkeypatch.setattr(type(a), "repartition", lambda self, *args: (sent.append(self.where("key = 'x'").count()), repartition(self, *args))[1])
+    got = E.fidelity_pairs(a, b)
+    plain = a.select("key", F.col("value").alias("a")).join(b.select("key", F.col("value").alias("b")), "key")
+    assert sorted(map(repr, got.drop("diff").collect())) == sorted(map(repr, plain.collect()))
+    assert len(sent) == 2 and 400 < sum(sent) < 40_000 / 4
+    places = got.where("key = 'x'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(places) > 20 and max(r["count"] for r in places) < 40_000 / 8
+
+
 def test_sweep_draws_the_sides_of_all_fits_once(spark):
     import hashlib
 
