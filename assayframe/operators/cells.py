@@ -9,10 +9,14 @@ import pyarrow as pa
 
 #: Distances are compared at nine decimals.
 DIGITS = 1e9
-#: Block sums that sort the points of a tile, and the width of their cells as a part of the reach.
+#: Block sums that sort the points of a tile, and the width of the cells that tell how crowded they are as a part of the reach.
 BLOCKS, SIDE = 8, 0.5
+_LEAF, _LEVELS = 4, 3  # points of a last range, at least; halvings between two looks at ranges
+_STEPS = 124
 _QUERIES = 2_048
-_PAIRS = 1 << 21
+_PAIRS = 1 << 18
+_TOPS, _BYTES = np.uint64(0x8080808080808080), np.uint64(0x0101010101010101)
+_EVEN, _ONES = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
 
 
 def reach_of(threshold: float) -> float:
@@ -33,66 +37,122 @@ def matrix(coords: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(len(coords), width).T)
 
 
-def _children(owner: np.ndarray, node: np.ndarray, cost: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (owner, node) with all children of the node; those of node i are first[i] to first[i + 1]."""
+def _children(owner: np.ndarray, node: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (owner, place) with all places of the node; those of node i are first[i] to first[i + 1]."""
     n = first[node + 1] - first[node]
     shift = np.repeat(first[node] - (np.cumsum(n) - n), n)
-    return np.repeat(owner, n), np.arange(len(shift)) + shift, np.repeat(cost, n)
+    return np.repeat(owner, n), np.arange(len(shift)) + shift
+
+
+def _starts(n: int, level: int) -> np.ndarray:
+    """Where the 2 ** level ranges of n places begin and the last ends."""
+    return np.arange((1 << level) + 1) * n >> level
+
+
+def _halved(sums: np.ndarray, depth: int) -> np.ndarray:
+    """An order in which each range of ``_starts`` is one half of a range of the level above, along its widest block."""
+    order, far = np.arange(sums.shape[1]), np.abs(sums).max(initial=0.0) * 2 + 1
+    for level in range(depth):
+        first = _starts(len(order), level)
+        here = sums[:, order]
+        wide = (np.maximum.reduceat(here, first[:-1], axis=1) - np.minimum.reduceat(here, first[:-1], axis=1)).argmax(0)
+        part = np.repeat(np.arange(len(wide)), np.diff(first))
+        order = order[np.argsort(here[wide[part], np.arange(len(order))] + part * far)]
+    return order
+
+
+def _word(codes: np.ndarray) -> np.ndarray:
+    """The codes of a point, one in a byte; bytes to spare are the same for all."""
+    out = np.ones((codes.shape[1], 8), np.uint8)
+    out[:, : len(codes)] = codes.T
+    return out.view(np.uint64)[:, 0]
+
+
+def _apart(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far the eight bytes of x are from the ranges low to high, added up; all bytes are below 128."""
+    below = (low | _TOPS) - x
+    mask = below & _TOPS
+    mask -= mask >> np.uint64(7)
+    below &= mask  # low - x where that is positive
+    x |= _TOPS
+    x -= high
+    np.bitwise_and(x, _TOPS, out=mask)
+    mask -= mask >> np.uint64(7)
+    x &= mask
+    x += below
+    np.bitwise_and(x, _EVEN, out=mask)
+    x >>= np.uint64(8)
+    x &= _EVEN
+    x += mask
+    x *= _ONES
+    x >>= np.uint64(48)
+    return x
 
 
 class Cells:
-    """Points by the cells of their block sums, as a tree: a node of level i holds the points with the same cells in blocks 0 to i,
-    and the range of their sums of block i. The distances of a point to these ranges add up along a branch to no more than its
-    distance to any point below, so branches beyond the reach are left."""
+    """Points by their block sums, as a tree that halves them along the widest block. Sums count in steps of which a byte holds all
+    there are, so that a word is a point or a corner of a range of points, and a few operations on words tell how far a
+    point is from eight ranges. That is no more than its distance to any point there, so ranges beyond the reach are left."""
 
     def __init__(self, points: np.ndarray, threshold: float):
         self.threshold, self.reach = threshold, reach_of(threshold)
         self.spans = spans_of(len(points), BLOCKS)
         self.at = np.flatnonzero(np.isfinite(points).all(0))
         sums = self._sums(points[:, self.at])
-        cells = np.floor(sums / max(self.reach * SIDE, 1e-6))
-        order = np.lexsort(cells[::-1])
-        self.at, self.sums, cells = self.at[order], sums[:, order], cells[:, order]
+        n = sums.shape[1]
+        self.base = sums.min(1, initial=np.inf)[:, None] if n else np.zeros((len(sums), 1))
+        self.step = max(float((sums - self.base).max(initial=0.0)), self.reach) / _STEPS
+        depth = max(0, (n // _LEAF).bit_length())
+        order = _halved(sums, depth)
+        self.at, self.sums = self.at[order], sums[:, order]
         self.points = points[:, self.at]
-        self.low, self.high, starts = [], [], []
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for c, s in zip(cells, self.sums):
-            new[1:] |= c[1:] != c[:-1]
-            starts.append(np.flatnonzero(new))
-            self.low.append(np.minimum.reduceat(s, starts[-1]) if len(s) else s)
-            self.high.append(np.maximum.reduceat(s, starts[-1]) if len(s) else s)
-        self.first = [np.append(np.searchsorted(b, a), len(b)) for a, b in zip(starts, starts[1:])]
-        self.first.append(np.append(starts[-1], len(order)))
+        codes = self._codes(self.sums)
+        self.words = _word(codes)
+        self.levels = []
+        for k in sorted({*range(depth, 0, -_LEVELS), min(depth, _LEVELS)} if depth else {0}):
+            first = _starts(n, k)
+            low, high = ((f(codes, first[:-1], axis=1) for f in (np.minimum.reduceat, np.maximum.reduceat)) if n else (codes, codes))
+            self.levels.append((k, _word(low - 1), _word(high + 1)))
+        self.first = _starts(n, depth)
 
     def _sums(self, points: np.ndarray) -> np.ndarray:
         return np.stack([points[a:b].sum(0) for a, b in self.spans])
 
+    def _codes(self, sums: np.ndarray) -> np.ndarray:
+        """The step of each sum, from 1 to 126."""
+        return (np.clip(np.floor((sums - self.base) / self.step), 0, _STEPS + 1) + 1).astype(np.uint8)
+
     def _candidates(self, sums: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray] | None:
         """Pairs (query, place of a point) that the tree leaves; None if they are too many for one pass."""
-        owner, node, cost = np.arange(sums.shape[1]), np.zeros(sums.shape[1], np.int64), np.zeros(sums.shape[1])
-        first = np.array([0, len(self.low[0])])
-        for s, low, high, below in zip(sums, self.low, self.high, self.first):
-            if sums.shape[1] > 1 and (first[node + 1] - first[node]).sum() > _PAIRS:
+        # points less than k + 1 steps apart may have k + 1 borders between them, of which _apart leaves out one
+        words, limit = _word(self._codes(sums)), np.uint64(min(int(reach / self.step + 1e-6), 2_000))
+        n, reached = sums.shape[1], 0
+        owner, node = np.arange(n), np.zeros(n, np.int64)
+        for k, low, high in self.levels:
+            more = 1 << (k - reached)
+            if n > 1 and len(owner) * more > _PAIRS:
                 return None
-            owner, node, cost = _children(owner, node, cost, first)
-            x = s[owner]
-            cost += np.maximum(np.maximum(low[node] - x, x - high[node]), 0)
-            near = cost <= reach
-            owner, node, cost, first = owner[near], node[near], cost[near], below
-        if sums.shape[1] > 1 and (first[node + 1] - first[node]).sum() > _PAIRS:
+            owner, node, reached = np.repeat(owner, more), (node[:, None] * more + np.arange(more)).ravel(), k
+            near = np.flatnonzero(_apart(words[owner], low[node], high[node]) <= limit)
+            owner, node = owner[near], node[near]
+        if n > 1 and (self.first[node + 1] - self.first[node]).sum() > _PAIRS:
             return None
-        owner, place, _ = _children(owner, node, cost, first)
-        return owner, place
+        owner, place = _children(owner, node, self.first)
+        own = self.words[place]
+        near = np.flatnonzero(_apart(words[owner], own - _BYTES, own + _BYTES) <= limit)
+        return owner[near], place[near]
 
     def _passes(self, sums: np.ndarray, which: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        todo = [which[i : i + _QUERIES] for i in range(0, len(which), _QUERIES)][::-1]
-        while todo:
-            some = todo.pop()
+        done, size = 0, _QUERIES
+        while done < len(which) and len(self.at):
+            some = which[done : done + size]
             found = self._candidates(sums[:, some], reach)
             if found is None:
-                todo += [some[len(some) // 2 :], some[: len(some) // 2]]
-            elif len(found[0]):
+                size = -(-len(some) // 2)
+                continue
+            done += len(some)
+            size = min(_QUERIES, size + size // 8 + 1)
+            if len(found[0]):
                 yield some[found[0]], found[1]
 
     def _near(self, points: np.ndarray, sums: np.ndarray, query: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

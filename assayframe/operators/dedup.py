@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from assayframe.operators import cells
 from assayframe.operators.ranking import global_rank
@@ -22,6 +27,7 @@ _SMALL_BYTES = 64 << 20  # tiles of points up to this size in all are not divide
 _LEAST_PAIRS, _PAIRS_A_POINT = 16_000_000, 40  # near pairs of a prefix
 _CROWD = 4  # near pairs for a pair in one cell
 _HOT_MIN = 20_000  # tiles up to this many points are never salted
+_CELLS = 1 << 21  # numbers that a task sets out at a time
 
 
 def one_per_key(df: DataFrame, key: str, prefer_min: str | None, row_id: str) -> DataFrame:
@@ -62,22 +68,60 @@ class Scale:
         return [sum(w for e, w in bag.items() if self.positions[e] <= p) / total * gap for p, gap in self.steps]
 
 
-def coordinates(comp: DataFrame, scale: Scale) -> DataFrame:
-    """(row_id, num_atoms, coords): the composition as a point whose L1 distances are
-    earth-mover distances (cumulative share at each position times the gap after it).
-    Rows with an element outside the scale are left out."""
+def _bags(comp: DataFrame, scale: Scale) -> DataFrame:
+    """(row_id, num_atoms, bag): position and amount of the elements of a composition, in order. Rows with an element
+    outside the scale are left out."""
     placed = comp.withColumn("_pos", scale.place(F.col("element")))
     bags = placed.groupBy("row_id").agg(
         F.sum("amount").alias("num_atoms"),
-        F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("p"), F.col("amount").alias("w")))).alias("_bag"),
+        F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("p"), F.col("amount").cast("double").alias("w")))).alias("bag"),
         F.count_if(F.col("_pos").isNull()).alias("_stray"),
     )
-    steps = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(g).alias("g")) for p, g in scale.steps])
-    upto = lambda p: F.aggregate(
-        F.col("_bag"), F.lit(0.0), lambda s, e: s + F.when(e["p"] <= p, e["w"]).otherwise(0.0)
-    )
-    coords = F.transform(steps, lambda s: upto(s["p"]) / F.col("num_atoms") * s["g"])
-    return bags.where("_stray = 0 and num_atoms > 0").select("row_id", "num_atoms", coords.alias("coords"))
+    return bags.where("_stray = 0 and num_atoms > 0").drop("_stray")
+
+
+def _shares(bag: pa.ListArray, total: np.ndarray, steps: list[tuple[float, float]]) -> pa.ListArray:
+    """Cumulative shares of bags, times the gaps; amounts are added in the order of the bag. Behind a missing amount shares are missing."""
+    at, gaps = (np.array(x, float) for x in zip(*steps))
+    flat, size = bag.flatten(), bag.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    amounts, first = flat.field("w"), np.cumsum(size) - size
+    missing, amounts = amounts.is_null().to_numpy(zero_copy_only=False), amounts.to_numpy(zero_copy_only=False)
+    place = np.searchsorted(at, flat.field("p").to_numpy(zero_copy_only=False))
+    owner, n, width = np.repeat(np.arange(len(bag)), size), len(bag), len(at)
+    below = np.bincount(owner * (width + 1) + place, minlength=n * (width + 1)).reshape(n, width + 1)[:, :width].cumsum(1)
+    upto, lost = np.zeros((n, size.max(initial=0) + 1)), np.zeros((n, size.max(initial=0) + 1), bool)
+    for k in range(upto.shape[1] - 1):
+        has = np.flatnonzero(size > k)
+        upto[has, k + 1] = upto[has, k] + amounts[first[has] + k]
+        lost[has, k + 1] = lost[has, k] | missing[first[has] + k]
+    out = np.take_along_axis(upto, below, 1) / total[:, None] * gaps
+    values = pa.array(out.ravel(), mask=np.take_along_axis(lost, below, 1).ravel() if missing.any() else None)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), values)
+
+
+def _on_scale(bags: DataFrame, scale: Scale) -> DataFrame:
+    """Bags as points: ``coords`` in place of ``bag``."""
+    steps = scale.steps
+    others = [c for c in bags.columns if c != "bag"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            longest = pc.max(pc.list_value_length(batch["bag"])).as_py() or 0
+            rows = max(1, _CELLS // (longest + len(steps) + 1))
+            for start in range(0, batch.num_rows, rows):
+                some = batch.slice(start, rows)
+                total = some["num_atoms"].cast(pa.float64()).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*(some[c] for c in others), _shares(some["bag"], total, steps)], [*others, "coords"])
+
+    schema = StructType([*(bags.schema[c] for c in others), StructField("coords", ArrayType(DoubleType()))])
+    return bags.mapInArrow(place, schema)
+
+
+def coordinates(comp: DataFrame, scale: Scale) -> DataFrame:
+    """(row_id, num_atoms, coords): the composition as a point whose L1 distances are
+    earth-mover distances (cumulative share at each position times the gap after it).
+    Rows with an element outside the scale are left out."""
+    return _on_scale(_bags(comp, scale), scale)
 
 
 def distance(a: Column, b: Column, width: int) -> Column:
@@ -145,6 +189,8 @@ class _Grid:
 
 
 def _block_sums(coords: Column, spans: list[tuple[int, int]]) -> Column:
+    if sum(size for _, size in spans) <= _UNROLL:
+        return F.array(*[reduce(lambda s, i: s + F.get(coords, F.lit(i)), range(start - 1, start - 1 + size), F.lit(0.0)) for start, size in spans])
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     return F.array(*[add(F.slice(coords, start, size)) for start, size in spans])
 
@@ -292,10 +338,10 @@ def greedy_keep(
     keeps remove everything near them from the rest, for which one of them is enough.
     Dense data therefore shrinks before its pairs are ever formed.
     """
-    pts = coordinates(comp, scale)
     width = len(scale.steps)
     grid = _Grid(width, threshold, blocks)
-    pts = settle(global_rank(pts, ["num_atoms", "row_id"]).withColumn("rank", F.col("rank") + 1), "points")
+    ranked = global_rank(_bags(comp, scale), ["num_atoms", "row_id"])  # bags are narrower than points, and passed over twice
+    pts = settle(_on_scale(ranked.withColumn("rank", F.col("rank") + 1), scale), "points")
     if members is None:
         items = pts.withColumn("grp", F.lit("all"))
     else:
