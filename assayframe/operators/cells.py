@@ -102,7 +102,7 @@ class Cells:
         n = sums.shape[1]
         self.base = sums.min(1, initial=np.inf)[:, None] if n else np.zeros((len(sums), 1))
         self.step = max(float((sums - self.base).max(initial=0.0)), self.reach) / _STEPS
-        depth = max(0, (n // _LEAF).bit_length())
+        depth = (n // _LEAF).bit_length()
         order = _halved(sums, depth)
         self.at, self.sums = self.at[order], sums[:, order]
         self.points = points[:, self.at]
@@ -175,6 +175,8 @@ class Cells:
         ``points``, ranks of these), only pairs of a point and one of lower rank."""
         which = np.flatnonzero(np.isfinite(points).all(0))
         sums, parts = self._sums(points), []
+        # neighbours look at the same ranges, one after the other
+        which = which[_halved(sums[:, which], (len(which) // _LEAF).bit_length())]
         for query, place in self._passes(sums, which, self.reach):
             if later is not None:
                 ahead = later[1][self.at[place]] < later[0][query]
