@@ -98,7 +98,7 @@ class Cells:
         self.threshold, self.reach = threshold, reach_of(threshold)
         self.spans = spans_of(len(points), BLOCKS)
         self.at = np.flatnonzero(np.isfinite(points).all(0))
-        sums = self._sums(points[:, self.at])
+        sums = self._sums(points)[:, self.at]
         n = sums.shape[1]
         self.base = sums.min(1, initial=np.inf)[:, None] if n else np.zeros((len(sums), 1))
         self.step = max(float((sums - self.base).max(initial=0.0)), self.reach) / _STEPS
